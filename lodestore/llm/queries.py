@@ -6,12 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join
+from . import decontaminate, jaccard_join, pieces, quality, secrets, sharding
 from ._common import table
 
+_GAP = r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
 _TOKEN = r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All secrets of the documents, by their place and test results."""
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slot and the shard of each document."""
+    return sharding.place(table(spark, sf_dir, "documents"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The piece ids of each document, checked against the library and decoded again."""
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document without the benchmark's passages."""
+    return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores and decisions of the quality classifier for each document."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of documents whose word 3-grams have a Jaccard similarity of at least 0.5."""
     return jaccard_join.near_duplicate_pairs(table(spark, sf_dir, "documents"))
@@ -37,9 +63,75 @@ WHERE c / (x.n + y.n - c)::DOUBLE >= {jaccard_join.THRESHOLD} - 1e-12
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_scans": op2_secret_scans,
+    "op3_sharding": op3_sharding,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op6_decontamination": op6_decontamination,
+    "op8_quality": op8_quality,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
+_NEED = f"least({decontaminate.LENGTH}, greatest({decontaminate.LEAST}, ceil({decontaminate.COVERAGE} * len(w) - 1e-9)))::INT"
+
+OP6_SQL = rf"""
+WITH items AS (
+  SELECT DISTINCT regexp_extract_all(lower(text), '{_TOKEN}') AS w FROM benchmark WHERE text IS NOT NULL
+), keyed AS (SELECT w, {_NEED} AS k FROM items WHERE len(w) >= {decontaminate.LEAST}
+), keys AS (
+  SELECT DISTINCT k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g FROM keyed
+), words AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '{_TOKEN}') AS w FROM documents
+), places AS (
+  SELECT doc_id, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM words CROSS JOIN (SELECT DISTINCT k FROM keys) WHERE len(w) >= k
+), hits AS (
+  SELECT p.doc_id, p.i, p.k FROM places p JOIN keys ON keys.k = p.k AND keys.g = array_to_string(p.w[p.i:p.i + p.k - 1], ' ')
+), covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS i FROM hits
+), pieces AS (
+  SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS at
+  FROM (SELECT doc_id, regexp_extract_all(text, '{_TOKEN}|{_GAP}') AS p FROM documents)
+), numbered AS (
+  SELECT doc_id, at, piece, regexp_full_match(piece, '{_TOKEN}') AS is_word,
+    count(*) FILTER (WHERE regexp_full_match(piece, '{_TOKEN}')) OVER (PARTITION BY doc_id ORDER BY at) AS i
+  FROM pieces
+), kept AS (
+  SELECT n.doc_id, string_agg(piece, '' ORDER BY at) FILTER (
+    WHERE NOT ((is_word AND a.i IS NOT NULL) OR (NOT is_word AND a.i IS NOT NULL AND b.i IS NOT NULL))) AS text
+  FROM numbered n LEFT JOIN covered a ON a.doc_id = n.doc_id AND a.i = n.i LEFT JOIN covered b ON b.doc_id = n.doc_id AND b.i = n.i + 1
+  GROUP BY n.doc_id
+), counted AS (
+  SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE step IS DISTINCT FROM 1) AS n_spans
+  FROM (SELECT doc_id, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS step FROM covered) GROUP BY doc_id
+)
+SELECT d.doc_id, CASE WHEN coalesce(n_removed, 0) <= {decontaminate.DOCUMENT} * coalesce(len(w), 0) THEN coalesce(kept.text, CASE WHEN d.text IS NOT NULL THEN '' END) END AS text,
+  coalesce(len(w), 0)::BIGINT AS n_tokens, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  coalesce(n_removed, 0) > {decontaminate.DOCUMENT} * coalesce(len(w), 0) AS dropped
+FROM documents d JOIN words USING (doc_id) LEFT JOIN kept USING (doc_id) LEFT JOIN counted USING (doc_id)
+"""
+
+_HEX = "('0x' || substr(md5({}), 1, 15))::BIGINT"
+
+#: Each turn of the table's filling is a row of the recursion: the shard in turn claims its first free slot.
+OP3_SQL = f"""
+WITH RECURSIVE shards AS (
+  SELECT i, {_HEX.format("'offset:' || name")} % {sharding.SIZE} AS offs, {_HEX.format("'skip:' || name")} % {sharding.SIZE - 1} + 1 AS skip
+  FROM (SELECT range AS i, 'shard-' || lpad(range::VARCHAR, 2, '0') AS name FROM range({len(sharding.SHARDS)}))
+), orders AS MATERIALIZED (
+  SELECT list(slots ORDER BY i) AS o FROM (
+    SELECT i, list_transform(range({sharding.SIZE}), lambda s: (offs + s * skip) % {sharding.SIZE}) AS slots FROM shards)
+), turns AS (
+  SELECT 0 AS n, NULL::BIGINT AS slot, [false for x in range({sharding.SIZE})] AS taken
+  UNION ALL
+  SELECT n + 1, slot, list_transform(taken, lambda t, j: t OR j = slot + 1) FROM (
+    SELECT n, taken, list_filter(o[n % {len(sharding.SHARDS)} + 1], lambda s: NOT taken[s + 1])[1] AS slot
+    FROM turns, orders WHERE n < {sharding.SIZE})
+), filled AS (SELECT slot, (n - 1) % {len(sharding.SHARDS)} AS shard FROM turns WHERE n > 0
+), keyed AS (SELECT doc_id, ({_HEX.format("coalesce(doc_id::VARCHAR, '')")} % {sharding.SIZE})::INT AS slot FROM documents)
+SELECT doc_id, keyed.slot, shard::INT AS shard FROM keyed JOIN filled ON filled.slot = keyed.slot
+"""
+
+
 ORACLE: dict[str, str] = {
+    "op3_sharding": OP3_SQL,
+    "op6_decontamination": OP6_SQL,
     "op10_jaccard_join": OP10_SQL,
 }
