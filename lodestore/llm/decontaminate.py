@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Tokens, chunks, tokenize
+from ._common import Tokens, chunks, spare, tokenize
 
 LENGTH, COVERAGE, LEAST, DOCUMENT = 13, 0.8, 5, 0.5
 MAX_TOKENS = 1_000_000
@@ -245,9 +245,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, **limits: float) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **limits: float) -> DataFrame:
     """The documents without test passages; columns as they came, n_chars (if there) of the new text."""
-    name = "__m"
-    while name in docs.columns:
-        name += "_"
+    name = spare(docs, "__m")
     m = with_matches(docs, benchmark, name, **limits).where(~F.col(f"{name}.dropped"))
     changed = F.col(f"{name}.changed")
     new = {"text": F.coalesce(changed, F.col("text"))}

@@ -2,16 +2,18 @@
 
 Plan, with no all-pairs step and no per-pair shuffle of n-gram sets:
 
-1. Each text becomes the set of its word n-grams' 48-bit hashes. Texts with equal sets share
-   one key, so exact copies cost one set. A mapper sends each reducer its range of hashes as
-   one packed blob (about 6 bytes an n-gram).
+1. Each text becomes the set of its word n-grams' hashes. Texts with equal sets share one key,
+   so exact copies cost one set. A mapper sends each reducer its range of hashes as one packed
+   blob of 5 bytes an n-gram: there are reducers * 2**40 hashes, so the chance that two
+   n-grams have one stays the same at any size.
 2. A reducer sees every posting list of its range, so it knows each n-gram's exact document
    frequency. N-grams in one set only can't be in an intersection: they stay behind, and only
    their number counts. The others go back to their key with their frequency.
 3. Per key: n-grams sorted rare-first (ties by hash); singletons fill the front of the prefix.
    Keys whose whole prefix is singletons have no partner and end here.
-4. Keys that share prefix n-grams get a common label (least key of the postings), and pairs of
-   labels that meet at some prefix n-gram become blocks. Big labels are split in sub-blocks.
+4. A key's label is the least key of its prefix's postings. Labels that meet at some prefix
+   n-gram form components; a component's labels fill bins of SUB_BLOCK sets, big labels are
+   split. Blocks are the bins, and the pairs of bins whose labels meet.
 5. A block joins its sets: prefix n-grams give candidates, then the length, positional and
    suffix filters, then one exact count a pair. Every pair belongs to exactly one block.
 
@@ -27,19 +29,19 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import chunks, cut, mix, partitions, tokenize
+from ._common import chunks, cut, mix, partitions, spare, tokenize
 
-N, THRESHOLD = 3, 0.5
+N, THRESHOLD = 5, 0.4
 #: Sets in a sub-block; two meet in a block, so memory is bounded by twice as many sets.
 SUB_BLOCK = 1500
-_BITS = np.uint64((1 << 48) - 1)
+_LOW = np.uint64((1 << 40) - 1)
 
 
-def gram_sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (document, 48-bit hash), sorted: two arrays."""
+def gram_sets(texts: list[str | None], n: int, reducers: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (document, hash under reducers * 2**40), sorted: two arrays."""
     t = tokenize(texts)
     h, at = t.ngrams(n)
     doc = t.doc[at]
@@ -52,7 +54,7 @@ def gram_sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
             x = np.where(has, t.hash[np.minimum(first[short] + k, len(t.hash) - 1)], np.uint64(0))
             extra = mix(extra * np.uint64(31) + x + np.uint64(k))
         h, doc = np.concatenate([h, extra]), np.concatenate([doc, short])
-    h = h & _BITS
+    h = ((h >> np.uint64(40)) % np.uint64(reducers)) << np.uint64(40) | h & _LOW
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     if len(h):
@@ -61,14 +63,15 @@ def gram_sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
     return doc, h
 
 
-def _pack48(h: np.ndarray) -> bytes:
-    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _pack(h: np.ndarray) -> bytes:
+    """The low 40 bits; the bucket has the others."""
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
 
-def _unpack48(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel().astype(np.uint64)
+def _unpack(b: bytes, bucket: int) -> np.ndarray:
+    out = np.zeros((len(b) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel().astype(np.uint64) | np.uint64(bucket) << np.uint64(40)
 
 
 def _mapper(n: int, reducers: int):
@@ -78,7 +81,7 @@ def _mapper(n: int, reducers: int):
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             for a, b in chunks(texts):
-                doc, h = gram_sets(texts[a:b], n)
+                doc, h = gram_sets(texts[a:b], n, reducers)
                 if not len(h):
                     continue
                 size = np.bincount(doc, minlength=b - a)
@@ -86,7 +89,7 @@ def _mapper(n: int, reducers: int):
                 key = np.zeros(b - a, np.uint64)
                 np.add.at(key, doc, mix(h + np.uint64(0x51ED27)))
                 key = mix(key + size.astype(np.uint64))
-                bucket = ((h * np.uint64(reducers)) >> np.uint64(48)).astype(np.int64)
+                bucket = (h >> np.uint64(40)).astype(np.int64)
                 order = np.lexsort((doc, bucket))
                 bs, ds, hs = bucket[order], doc[order], h[order]
                 edge = np.flatnonzero(np.diff(bs, prepend=-1))
@@ -105,7 +108,7 @@ def _mapper(n: int, reducers: int):
                     rows["keys"].append(key[ds[e:f][at]].tobytes())
                     rows["sizes"].append(size[ds[e:f][at]].astype(np.int32).tobytes())
                     rows["counts"].append(np.diff(at, append=f - e).astype(np.int32).tobytes())
-                    rows["grams"].append(_pack48(hs[e:f]))
+                    rows["grams"].append(_pack(hs[e:f]))
                     rows["member_key"].append(key[mine].tobytes())
                     rows["member_id"].append(ids[a:b][mine].astype(np.int64).tobytes())
                 yield pa.RecordBatch.from_pydict(rows, schema=_SCHEMA_1)
@@ -115,7 +118,7 @@ def _mapper(n: int, reducers: int):
 
 _SCHEMA_1 = pa.schema([("bucket", pa.int32()), *((k, pa.binary()) for k in ("keys", "sizes", "counts", "grams", "member_key", "member_id"))])
 _DDL_1 = "bucket int, keys binary, sizes binary, counts binary, grams binary, member_key binary, member_id binary"
-_DDL_2 = "home int, keys binary, sizes binary, grams binary, df binary, low binary, member_key binary, member_id binary"
+_DDL_2 = "home int, bucket int, keys binary, sizes binary, counts binary, grams binary, df binary, low binary, member_key binary, member_id binary"
 
 
 def _join(col, kind) -> np.ndarray:
@@ -127,7 +130,8 @@ def _frequencies(homes: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, counts = _join(pdf["keys"], np.uint64), _join(pdf["counts"], np.int32)
-        gram = _unpack48(b"".join(pdf["grams"]))
+        bucket = int(pdf["bucket"].iloc[0])
+        gram = _unpack(b"".join(pdf["grams"]), bucket)
         member = np.repeat(np.arange(len(keys)), counts)
         # a first cut by hash alone drops most n-grams before the exact sort by key
         order = np.argsort(gram, kind="stable")
@@ -149,14 +153,16 @@ def _frequencies(homes: int):
         sizes = _join(pdf["sizes"], np.int32)[m]
         mk, mi = _join(pdf["member_key"], np.uint64), _join(pdf["member_id"], np.int64)
         h1, h2 = (k >> np.uint64(16)) % np.uint64(homes), (mk >> np.uint64(16)) % np.uint64(homes)
-        o1, o2 = np.argsort(h1, kind="stable"), np.argsort(h2, kind="stable")
+        o1, o2 = np.lexsort((g, k, h1)), np.argsort(h2, kind="stable")
         e1, e2 = np.searchsorted(h1[o1], np.arange(homes + 1)), np.searchsorted(h2[o2], np.arange(homes + 1))
         out = []
         for r in range(homes):
             a, b = o1[e1[r] : e1[r + 1]], o2[e2[r] : e2[r + 1]]
             if len(a) or len(b):
-                out.append((r, k[a].tobytes(), sizes[a].tobytes(), g[a].tobytes(), df[a].astype(np.int32).tobytes(), (low[a] >> np.uint64(32)).astype(np.uint32).tobytes(), mk[b].tobytes(), mi[b].tobytes()))
-        return pd.DataFrame(out, columns=["home", "keys", "sizes", "grams", "df", "low", "member_key", "member_id"])
+                first = np.flatnonzero(np.concatenate([[True], k[a][1:] != k[a][:-1]])) if len(a) else np.zeros(0, np.int64)
+                count = np.diff(first, append=len(a)).astype(np.int32)
+                out.append((r, bucket, k[a][first].tobytes(), sizes[a][first].tobytes(), count.tobytes(), _pack(g[a]), df[a].astype(np.int32).tobytes(), (low[a] >> np.uint64(32)).astype(np.uint32).tobytes(), mk[b].tobytes(), mi[b].tobytes()))
+        return pd.DataFrame(out, columns=["home", "bucket", "keys", "sizes", "counts", "grams", "df", "low", "member_key", "member_id"])
 
     return run
 
@@ -174,8 +180,10 @@ def _assemble(threshold: float):
         mk, mi = mk[order], mi[order]
         new = np.concatenate([[True], (mk[1:] != mk[:-1]) | (mi[1:] != mi[:-1])]) if len(mk) else np.zeros(0, bool)
         mk, mi = mk[new], mi[new]
-        k, g, df = _join(pdf["keys"], np.uint64), _join(pdf["grams"], np.uint64), _join(pdf["df"], np.int32)
-        size, low = _join(pdf["sizes"], np.int32), _join(pdf["low"], np.uint32)
+        counts = _join(pdf["counts"], np.int32)
+        k, size = np.repeat(_join(pdf["keys"], np.uint64), counts), np.repeat(_join(pdf["sizes"], np.int32), counts)
+        g = np.concatenate([_unpack(x, int(r)) for x, r in zip(pdf["grams"], pdf["bucket"])])
+        df, low = _join(pdf["df"], np.int32), _join(pdf["low"], np.uint32)
         order = np.lexsort((g, df, k))
         k, g, df, size, low = k[order], g[order], df[order], size[order], low[order]
         start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
@@ -216,7 +224,7 @@ def _prefix_entries(reducers: int):
             g, lab = g[order], lab[order]
             new = np.concatenate([[True], (g[1:] != g[:-1]) | (lab[1:] != lab[:-1])]) if len(g) else np.zeros(0, bool)
             g, lab = g[new], lab[new]
-            b = ((g * np.uint64(reducers)) >> np.uint64(48)).astype(np.int64)
+            b = (g >> np.uint64(40)).astype(np.int64)
             edge = np.searchsorted(b, np.arange(reducers + 1))
             yield pd.DataFrame([(r, g[s:e].tobytes(), lab[s:e].astype(np.uint32).tobytes()) for r, (s, e) in enumerate(zip(edge[:-1], edge[1:])) if e > s], columns=["bucket", "grams", "labels"])
 
@@ -336,11 +344,10 @@ def _blocks(threshold: float, forest: bool):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, part in pdf.groupby(["la", "sa", "lb", "sb"], sort=False):
+        for (ba, bb), part in pdf.groupby(["ba", "bb"], sort=False):
             part = part.drop_duplicates("key")
             sets = [(int(k), int(n), np.frombuffer(g, np.uint64), np.frombuffer(d, np.int32)) for k, n, g, d in zip(part["key"], part["size"], part["grams"], part["df"])]
-            la, sa, lb, sb = part.iloc[0][["la", "sa", "lb", "sb"]]
-            side = None if (la, sa) == (lb, sb) else ((part["label"].to_numpy() == lb) & (part["sub"].to_numpy() == sb)).astype(np.int8)
+            side = None if ba == bb else (part["bin"].to_numpy() == bb).astype(np.int8)
             pairs = join_sets(sets, part["prefix"].tolist(), side, threshold)
             if forest:
                 root = list(range(len(sets)))
@@ -375,25 +382,43 @@ def set_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, forest:
     live = sets.where("prefix > 0")
     entries = live.select("grams", "prefix", "label").mapInPandas(_prefix_entries(reducers), "bucket int, grams binary, labels binary")
     met = entries.groupBy("bucket").applyInPandas(_meetings, "la long, lb long").distinct()
-    sizes = live.groupBy("label").agg(F.ceil(F.count("*") / F.lit(SUB_BLOCK)).cast("int").alias("parts"))
+    met = cut(met)
+    parts = F.ceil(F.count("*") / F.lit(SUB_BLOCK)).cast("int")
+    labels = live.groupBy("label").agg(F.count("*").alias("n"), parts.alias("parts")).join(components(met), "label", "left")
+    # units: labels, or parts of big ones; bins: units of a component in a row, of SUB_BLOCK sets together
+    units = labels.select("label", F.coalesce("root", "label").alias("root"), F.ceil(F.col("n") / F.col("parts")).alias("n"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("sub"), "parts")
+    before = F.sum("n").over(Window.partitionBy("root").orderBy("label", "sub").rowsBetween(Window.unboundedPreceding, -1))
+    units = cut(units.withColumn("bin", F.xxhash64("root", F.floor(F.coalesce(before, F.lit(0)) / SUB_BLOCK))))
+    a, b = (units.select(F.col("label").alias(f"l{x}"), F.col("bin").alias(f"b{x}")) for x in "ab")
+    meet = met.join(a, "la").join(b, "lb").unionByName(a.join(b.withColumnRenamed("lb", "la"), "la").withColumn("lb", F.col("la")))
+    meet = meet.select(F.least("ba", "bb").alias("ba"), F.greatest("ba", "bb").alias("bb"))
+    grid = meet.unionByName(units.select(F.col("bin").alias("ba"), F.col("bin").alias("bb"))).distinct()
+    ends = grid.withColumn("bin", F.explode(F.array_distinct(F.array("ba", "bb"))))
     sub = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
-    placed = live.join(sizes, "label").withColumn("sub", sub)
-    a, b = sizes.select(F.col("label").alias("la"), F.col("parts").alias("pa")), sizes.select(F.col("label").alias("lb"), F.col("parts").alias("pb"))
-    meet = met.join(a, "la").join(b, "lb")
-    alone = a.withColumn("lb", F.col("la")).withColumn("pb", F.col("pa"))
-    grid = (
-        meet.unionByName(alone)
-        .withColumn("sa", F.explode(F.sequence(F.lit(0), F.col("pa") - 1)))
-        .withColumn("sb", F.explode(F.sequence(F.when(F.col("la") == F.col("lb"), F.col("sa")).otherwise(0), F.col("pb") - 1)))
-        .select("la", "sa", "lb", "sb")
-    )
-    ends = grid.withColumn("end", F.explode(F.array_distinct(F.array(F.struct(F.col("la").alias("label"), F.col("sa").alias("sub")), F.struct(F.col("lb").alias("label"), F.col("sb").alias("sub"))))))
-    ends = ends.select("la", "sa", "lb", "sb", "end.label", "end.sub")
-    sent_sets = placed.select("key", "size", "prefix", "label", "sub", "grams", "df").join(ends, ["label", "sub"])
-    grouped = sent_sets.withColumn("work", F.pmod(F.xxhash64("la", "sa", "lb", "sb"), F.lit(reducers))).groupBy("work")
+    placed = live.join(labels.select("label", "parts"), "label").withColumn("sub", sub).join(units.select("label", "sub", "bin"), ["label", "sub"])
+    sent_sets = placed.select("key", "size", "prefix", "grams", "df", "bin").join(ends, "bin")
+    grouped = sent_sets.withColumn("work", F.pmod(F.xxhash64("ba", "bb"), F.lit(reducers))).groupBy("work")
     return sets, grouped.applyInPandas(_blocks(threshold, forest), "ka long, kb long, jaccard double")
 
 
+def components(edges: DataFrame, a: str = "la", b: str = "lb") -> DataFrame:
+    """(label, root): the least label of each connected component; labels without an edge are left out.
+
+    Each round takes the least root among the neighbours, then jumps to that root's root, until
+    no root changes; the lineage is cut each round.
+    """
+    both = cut(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct())
+    roots = cut(both.groupBy(F.col("x").alias("label")).agg(F.least(F.first("x"), F.min("y")).alias("root")))
+    while True:
+        near = both.join(roots.withColumnRenamed("label", "y"), "y").groupBy(F.col("x").alias("label")).agg(F.min("root").alias("near"))
+        step = roots.join(near, "label").select("label", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+        jump = step.select(F.col("label").alias("root"), F.col("root").alias("far"))
+        step = cut(step.join(jump, "root", "left").select("label", "old", F.least("root", F.coalesce("far", "root")).alias("root")))
+        roots = step.select("label", "root")
+        if step.where("root < old").isEmpty():
+            return roots
+
+
 def near_duplicate_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_a, doc_b, jaccard), doc_a < doc_b: all pairs of documents of at least this similarity."""
     sets, pairs = set_pairs(docs, n, threshold)
@@ -408,22 +433,16 @@ def near_duplicate_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHO
 def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, keeper): connected groups of near duplicates, named by their least doc_id; only documents that have a partner.
 
-    Least-label propagation over a spanning forest of each block, so its edges grow with the
-    sets and not with the pairs. It ends when no label changes.
+    Components over a spanning forest of each block, so its edges grow with the sets and not
+    with the pairs.
     """
     sets, pairs = set_pairs(docs, n, threshold, forest=True)
     members = sets.select("key", "doc_ids")
-    edges = cut(pairs.select("ka", "kb"))
-    both = edges.unionByName(edges.select(F.col("kb").alias("ka"), F.col("ka").alias("kb"))).distinct()
-    label = cut(members.select("key", F.array_min("doc_ids").alias("low")))
-    while True:
-        seen = both.join(label.withColumnRenamed("key", "kb"), "kb").groupBy(F.col("ka").alias("key")).agg(F.min("low").alias("near"))
-        step = cut(label.join(seen, "key", "left").select("key", F.least("low", F.coalesce("near", "low")).alias("low"), (F.col("near") < F.col("low")).alias("moved")))
-        label = step.select("key", "low")
-        if step.where("moved").isEmpty():
-            break
-    named = label.join(members, "key").select(F.explode("doc_ids").alias("doc_id"), "low")
-    return named.groupBy("doc_id").agg(F.min("low").alias("keeper"))
+    roots = components(pairs, "ka", "kb").withColumnRenamed("label", "key")
+    named = members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    least = named.groupBy("root").agg(F.min(F.array_min("doc_ids")).alias("low"))
+    found = named.join(least, "root").select(F.explode("doc_ids").alias("doc_id"), "low")
+    return found.groupBy("doc_id").agg(F.min("low").alias("keeper"))
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
@@ -431,5 +450,6 @@ def drop_near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHO
 
     Rows that repeat a doc_id keep or lose together; rows with a null doc_id stay.
     """
-    gone = groups(docs, n, threshold).where("keeper < doc_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    name = spare(docs, "gone")
+    gone = groups(docs, n, threshold).where("keeper < doc_id").select(F.col("doc_id").alias(name))
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")

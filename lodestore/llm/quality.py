@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, tokenize, unique_sorted
+from ._common import chunks, spare, tokenize, unique_sorted
 
 BITS = 20
 MAX_ROWS = 8000
@@ -160,7 +160,5 @@ def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Da
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """The documents that the classifier keeps; columns as they came."""
-    name = "__s"
-    while name in docs.columns:
-        name += "_"
+    name = spare(docs, "__s")
     return with_scores(docs, labels, name, max_rows).where(F.col(f"{name}.keep")).drop(name)

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks
+from ._common import chunks, spare
 
 SHORTEST, FDR, RANDOM = 16, 0.05, 1e-4
 MASK = "[SECRET]"
@@ -237,9 +237,7 @@ def redact(docs: DataFrame, shortest: int = SHORTEST, fdr: float = FDR, random:
                 out[a + d] = b"".join([*parts, raws[d][at:]]).decode("utf-8", "replace")
         return pd.Series(out, dtype=object)
 
-    name = "__s"
-    while name in docs.columns:
-        name += "_"
+    name = spare(docs, "__s")
     m = docs.withColumn(name, mask(docs["text"]))
     new = {"text": F.coalesce(F.col(name), F.col("text"))}
     if "n_chars" in docs.columns:

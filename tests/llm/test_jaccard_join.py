@@ -94,7 +94,7 @@ def test_sub_blocks(spark, monkeypatch):
 def test_groups_and_columns(spark):
     rows = made(4)
     df = spark.createDataFrame([(i, t, "en", i) for i, t in rows] + [(None, "x", "en", 1)], "doc_id long, text string, key string, __gone long")
-    found = brute(rows, 3, 0.5)
+    found = brute(rows, J.N, J.THRESHOLD)
     root = {i: i for i, _ in rows}
 
     def find(i):
