@@ -7,13 +7,14 @@ document costs memory in proportion to its own length and nothing is cut off.
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shared import cut, shared_dir  # noqa: F401
+
 CHUNK_BYTES = 2 << 20
 
 _B = np.arange(256, dtype=np.uint16)
@@ -149,26 +150,6 @@ def unique_sorted(keys: np.ndarray) -> np.ndarray:
     return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        own = sc._jsc.sc().getCheckpointDir()
-        if own.isDefined():
-            return own.get()
-        at = tempfile.mkdtemp(prefix="lodestore-checkpoint-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(at)
-    return at
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -5,14 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, pieces, quality, secrets, sharding
+from . import decontaminate, flac, jaccard_join, language, pieces, pii, quality, secrets, sharding, url_templates
 from ._common import table
 
 _GAP = r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
 _TOKEN = r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
 
 
+def op1_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PCM blocks of the clips made of all vectors, encoded as FLAC and decoded again; pcm in hexadecimal."""
+    media = flac.clips(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    found = flac.blocks(media, "vec_id")
+    return found.select("vec_id", "block", "first_sample", "n_samples", "channels", "sample_rate", "bits", "ok", F.hex("pcm").alias("pcm"))
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All secrets of the documents, by their place and test results."""
     return secrets.scan(table(spark, sf_dir, "documents"))
@@ -28,16 +36,38 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's mixture of languages."""
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document without the benchmark's passages."""
     return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, good): the quality label of the document whose number the page's URL ends with."""
+    number = F.regexp_extract("url", r"^[a-z]+://[^/]+/[a-z]+/(\d+)", 1).try_cast("long")
+    pages = table(spark, sf_dir, "pages").select("page_id", number.alias("doc_id"))
+    return pages.join(table(spark, sf_dir, "labels"), "doc_id").select("page_id", F.col("quality").alias("good"))
+
+
+def op7_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The path template of each page, its purity and whether it is rejected."""
+    return url_templates.templates(table(spark, sf_dir, "pages"), page_labels(spark, sf_dir))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores and decisions of the quality classifier for each document."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with its personal data masked."""
+    return pii.redact(table(spark, sf_dir, "documents"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of documents whose word 3-grams have a Jaccard similarity of at least 0.5."""
     return jaccard_join.near_duplicate_pairs(table(spark, sf_dir, "documents"))
@@ -63,11 +93,15 @@ WHERE c / (x.n + y.n - c)::DOUBLE >= {jaccard_join.THRESHOLD} - 1e-12
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_flac": op1_flac,
     "op2_secret_scans": op2_secret_scans,
     "op3_sharding": op3_sharding,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_language": op5_language,
     "op6_decontamination": op6_decontamination,
+    "op7_url_templates": op7_url_templates,
     "op8_quality": op8_quality,
+    "op9_pii": op9_pii,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
@@ -87,14 +121,14 @@ WITH items AS (
   SELECT p.doc_id, p.i, p.k FROM places p JOIN keys ON keys.k = p.k AND keys.g = array_to_string(p.w[p.i:p.i + p.k - 1], ' ')
 ), covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS i FROM hits
 ), pieces AS (
-  SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS at
+  SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS pos
   FROM (SELECT doc_id, regexp_extract_all(text, '{_TOKEN}|{_GAP}') AS p FROM documents)
 ), numbered AS (
-  SELECT doc_id, at, piece, regexp_full_match(piece, '{_TOKEN}') AS is_word,
-    count(*) FILTER (WHERE regexp_full_match(piece, '{_TOKEN}')) OVER (PARTITION BY doc_id ORDER BY at) AS i
+  SELECT doc_id, pos, piece, regexp_full_match(piece, '{_TOKEN}') AS is_word,
+    count(*) FILTER (WHERE regexp_full_match(piece, '{_TOKEN}')) OVER (PARTITION BY doc_id ORDER BY pos) AS i
   FROM pieces
 ), kept AS (
-  SELECT n.doc_id, string_agg(piece, '' ORDER BY at) FILTER (
+  SELECT n.doc_id, string_agg(piece, '' ORDER BY pos) FILTER (
     WHERE NOT ((is_word AND a.i IS NOT NULL) OR (NOT is_word AND a.i IS NOT NULL AND b.i IS NOT NULL))) AS text
   FROM numbered n LEFT JOIN covered a ON a.doc_id = n.doc_id AND a.i = n.i LEFT JOIN covered b ON b.doc_id = n.doc_id AND b.i = n.i + 1
   GROUP BY n.doc_id
@@ -129,8 +163,67 @@ WITH RECURSIVE shards AS (
 SELECT doc_id, keyed.slot, shard::INT AS shard FROM keyed JOIN filled ON filled.slot = keyed.slot
 """
 
+#: What the clips' PCM must be: levels of 16 samples with ramps, the second channel half of it with a sawtooth
+OP1_SQL = f"""
+WITH levels AS (
+  SELECT vec_id, [round(v::DOUBLE * 20000)::BIGINT for v in embedding] AS level FROM embeddings WHERE len(embedding) > 0
+), samples AS (
+  SELECT vec_id, t, level[t // {flac.STEP} + 1] AS a, level[least(t // {flac.STEP} + 2, len(level))] AS z
+  FROM (SELECT *, unnest(range(len(level) * {flac.STEP})) AS t FROM levels)
+), channels AS (
+  SELECT vec_id, t, a + floor((z - a) * (t % {flac.STEP}) / {flac.STEP}::DOUBLE)::BIGINT AS l FROM samples
+), both AS (
+  SELECT vec_id, t, l, floor(l / 2::DOUBLE)::BIGINT + (t * 7919) % 23 - 11 AS r FROM channels
+), words AS (
+  SELECT vec_id, t, printf('%02X%02X%02X%02X', l & 255, (l >> 8) & 255, r & 255, (r >> 8) & 255) AS x FROM both
+)
+SELECT vec_id, (t // 400)::INT AS block, (t // 400) * 400 AS first_sample, count(*)::INT AS n_samples, 2 AS channels, 16000 AS sample_rate, 16 AS bits, true AS ok,
+  string_agg(x, '' ORDER BY t) AS pcm
+FROM words GROUP BY vec_id, t // 400
+"""
+
+
+def _op7_sql() -> str:
+    u = url_templates
+    out = ["""WITH lab AS (
+  SELECT page_id, count(*) AS l, count(*) FILTER (WHERE quality = 0) AS b
+  FROM (SELECT page_id, try_cast(regexp_extract(url, '^[a-z]+://[^/]+/[a-z]+/([0-9]+)', 1) AS BIGINT) AS doc_id FROM pages) JOIN labels USING (doc_id)
+  WHERE quality IS NOT NULL GROUP BY page_id
+), parsed AS (
+  SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^?#]*)', 1) AS rest FROM pages
+), r0 AS (
+  SELECT page_id, nullif(lower(regexp_extract(rest, '^(?:[^/@]*@)?([^/:@]+)', 1)), '') AS host,
+    list_filter(string_split(regexp_extract(rest, '^[^/]*(/.*)$', 1), '/'), lambda s: s <> '') AS segs,
+    coalesce(l, 0) AS l, coalesce(b, 0) AS b, '' AS prefix
+  FROM parsed LEFT JOIN lab USING (page_id))"""]
+    for d in range(u.DEPTH):
+        out.append(f"""c{d} AS (SELECT host, prefix, segs[{d + 1}] AS seg, count(*) AS n, sum(l) AS l, sum(b) AS b FROM r{d} WHERE host IS NOT NULL AND len(segs) > {d} GROUP BY ALL),
+n{d} AS (SELECT host, prefix, sum(n) AS pn, sum(l) AS pl, sum(b) AS pb FROM c{d} GROUP BY ALL),
+b{d} AS (
+  SELECT host, prefix, CASE WHEN n >= {u.LEAST} AND n >= {u.SHARE} * pn THEN seg ELSE '*' END AS name, sum(l)::DOUBLE AS l, sum(b)::DOUBLE AS b, any_value(pl)::DOUBLE AS pl, any_value(pb)::DOUBLE AS pb
+  FROM c{d} JOIN n{d} USING (host, prefix) GROUP BY ALL),
+s{d} AS (
+  SELECT host, prefix, name, CASE WHEN l = 0 OR pl = l OR pb = 0 OR pb = pl THEN true
+    ELSE abs(b / l - (pb - b) / (pl - l)) / sqrt(pb / pl * (1 - pb / pl) * (1 / l + 1 / (pl - l))) < {u.Z} END AS same FROM b{d}),
+a{d} AS (SELECT *, count(*) FILTER (WHERE same) OVER (PARTITION BY host, prefix) AS alike FROM s{d}),
+r{d + 1} AS (
+  SELECT page_id, r.host, segs, l, b, CASE WHEN len(segs) <= {d} OR r.host IS NULL THEN r.prefix
+    WHEN coalesce(x.same, y.same) AND coalesce(x.alike, y.alike) >= 2 THEN r.prefix || '/~' ELSE r.prefix || '/' || coalesce(x.name, '*') END AS prefix
+  FROM r{d} r LEFT JOIN a{d} x ON x.host = r.host AND x.prefix = r.prefix AND x.name = segs[{d + 1}]
+  LEFT JOIN a{d} y ON y.host = r.host AND y.prefix = r.prefix AND y.name = '*')""")
+    return ",\n".join(out) + f""", z AS (
+  SELECT page_id, host, l, b, CASE WHEN host IS NULL THEN '' WHEN len(segs) > {u.DEPTH} THEN prefix || '/**' ELSE prefix END AS template FROM r{u.DEPTH}
+), w AS (SELECT 1 - sum(b) / sum(l)::DOUBLE AS prior FROM z WHERE host IS NOT NULL
+), t AS (SELECT host, template, count(*) AS pages, sum(l)::BIGINT AS labelled, sum(b)::BIGINT AS bad FROM z WHERE host IS NOT NULL GROUP BY ALL
+), p AS (SELECT t.*, round((labelled - bad + {u.WEIGHT} * coalesce(prior, 1)) / (labelled + {u.WEIGHT}), 6) AS purity FROM t, w)
+SELECT page_id, z.host, z.template, coalesce(pages, 0) AS pages, coalesce(labelled, 0) AS labelled, coalesce(bad, 0) AS bad, purity,
+  coalesce(purity < {u.PURITY} AND labelled > 0, false) AS rejected
+FROM z LEFT JOIN p ON p.host = z.host AND p.template = z.template"""
+
 
 ORACLE: dict[str, str] = {
+    "op1_flac": OP1_SQL,
+    "op7_url_templates": _op7_sql(),
     "op3_sharding": OP3_SQL,
     "op6_decontamination": OP6_SQL,
     "op10_jaccard_join": OP10_SQL,
