@@ -136,9 +136,14 @@ def page_text_of(page: str) -> str:
     return "".join(p.parts)
 
 
-@F.pandas_udf("string")
-def parsed_page_text(page: pd.Series) -> pd.Series:
-    return pd.Series([None if p is None else page_text_of(p) for p in page], dtype=object)
+def parsed_page_text(page: Column) -> Column:
+    """page_text_of() in Arrow batches: any page, all entities."""
+
+    @F.pandas_udf("string")
+    def run(pages: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None else page_text_of(p) for p in pages], dtype=object)
+
+    return run(page)
 
 
 #: Entities that the expression below decodes; others need parsed_page_text
