@@ -7,7 +7,7 @@ distance needs only XOR and popcount on longs and stays in whole-stage codegen.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,14 +33,17 @@ def planes(code: Column, words: int = 1) -> list[Column]:
     for k in range(8):
         for w in range(words):
             part = F.slice(code, F.lit(w * 64 + 1), F.lit(64))
-            shifted = F.transform(part, lambda b, i, k=k: _placed(b, i, k))
+            shifted = F.transform(part, _placed(k))
             out.append(F.aggregate(shifted, F.lit(0).cast("long"), lambda a, v: a.bitwiseOR(v)))
     return out
 
 
-def _placed(b: Column, i: Column, k: int) -> Column:
-    bit = F.shiftright(b, 7 - k).bitwiseAND(F.lit(1)).cast("long")
-    return F.call_function("shiftleft", bit, (F.lit(63) - i).cast("int"))
+def _placed(k: int) -> Callable[[Column, Column], Column]:
+    def place(b: Column, i: Column) -> Column:
+        bit = F.shiftright(b, 7 - k).bitwiseAND(F.lit(1)).cast("long")
+        return F.call_function("shiftleft", bit, (F.lit(63) - i).cast("int"))
+
+    return place
 
 
 def planes_of(code: Sequence[int], words: int = 1) -> list[int]:
