@@ -26,6 +26,8 @@ from . import search as S
 from .embed import Embedder, HashingEmbedder
 
 CUT = 8
+#: Rows of one call that are looked up by a list of ids; more are joined.
+LOOKUP = 2000
 
 
 class Collection:
@@ -41,6 +43,7 @@ class Collection:
         self.tokenizer = tokenizer or T.WordTokenizer()
         self.match = match
         self._mutations = 0
+        self._next: int | None = None  # the seq after the last, where it is known
         current = self._pointer()
         self.df = spark.read.parquet(f"{self._at()}/{current['version']}").select(*R.COLUMNS) if current else spark.createDataFrame([], R.SCHEMA)
 
@@ -87,7 +90,7 @@ class Collection:
 
     def clear(self) -> None:
         """Forget all rows and delete what is saved."""
-        self.df = self.spark.createDataFrame([], R.SCHEMA)
+        self.df, self._next = self.spark.createDataFrame([], R.SCHEMA), None
         fs, p = self._fs(self._at())
         fs.delete(p, True)
 
@@ -119,9 +122,26 @@ class Collection:
         if self._mutations % CUT == 0:
             df = cut(df)
         self.df = df
+        self._next = None
 
     # writing
 
+    def _put(self, new: list[tuple]) -> None:
+        """Upsert rows that the driver holds: the known among their ids are looked up first, so the plan gets no join and names the old state once."""
+        if not new:
+            return
+        if len(new) > LOOKUP:
+            self._set(R.upsert(self.df, self.spark.createDataFrame(new, R.SCHEMA)))
+            return
+        ids = [r[0] for r in new]
+        at = {r.chunk_id: r.seq for r in self.df.where(F.col("chunk_id").isin(ids)).select("chunk_id", "seq").collect()}
+        if self._next is None:
+            self._next = self.df.agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0]
+        rows = [(c, i, k, at.get(c, self._next + seq), *rest) for c, i, k, seq, *rest in new]
+        top = max(self._next, *(r[3] + 1 for r in rows))
+        self._set(self.df.where(~F.col("chunk_id").isin(ids)).select(*R.COLUMNS).unionByName(self.spark.createDataFrame(rows, R.SCHEMA)))
+        self._next = top
+
     def _chunks(self, text: str, need_chunks: bool, fast: bool) -> list[str]:
         if not need_chunks:
             return [text]
@@ -152,8 +172,7 @@ class Collection:
             notes += [{**own, **(metadata or {})}] * len(parts)
         codes = self.embedder.encode(texts)
         new = [(f"{item_id}_{i}", item_id, i, i, t, json.dumps(m), [int(b) for b in c]) for i, (t, m, c) in enumerate(zip(texts, notes, codes))]
-        if new:
-            self._set(R.upsert(self.df, self.spark.createDataFrame(new, R.SCHEMA)))
+        self._put(new)
         return [(item_id, codes, notes[-1] if notes else dict(metadata or {}))]
 
     def add_dataframe(self, docs: DataFrame, item_id: str, text: str, metadata: Column | None = None, need_chunks: bool = True, fast: bool = True, order: str | None = None) -> None:
@@ -179,8 +198,7 @@ class Collection:
             code = [_byte(b) for b in e]
             item = str(uuid.uuid4())
             new.append((f"{item}_0", item, 0, n, t, json.dumps(m), code))
-        if new:
-            self._set(R.upsert(self.df, self.spark.createDataFrame(new, R.SCHEMA)))
+        self._put(new)
         self.save()
 
     def update(self, id: str, text: str | None = None, metadata: Mapping[str, Any] | None = None, vector: Sequence[int] | None = None, reembed: bool = False) -> bool:
