@@ -69,7 +69,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of documents whose word 3-grams have a Jaccard similarity of at least 0.5."""
+    """All pairs of documents whose word 5-grams have a Jaccard similarity of at least 0.4."""
     return jaccard_join.near_duplicate_pairs(table(spark, sf_dir, "documents"))
 
 
@@ -172,10 +172,10 @@ WITH levels AS (
   FROM (SELECT *, unnest(range(len(level) * {flac.STEP})) AS t FROM levels)
 ), channels AS (
   SELECT vec_id, t, a + floor((z - a) * (t % {flac.STEP}) / {flac.STEP}::DOUBLE)::BIGINT AS l FROM samples
-), both AS (
+), stereo AS (
   SELECT vec_id, t, l, floor(l / 2::DOUBLE)::BIGINT + (t * 7919) % 23 - 11 AS r FROM channels
 ), words AS (
-  SELECT vec_id, t, printf('%02X%02X%02X%02X', l & 255, (l >> 8) & 255, r & 255, (r >> 8) & 255) AS x FROM both
+  SELECT vec_id, t, printf('%02X%02X%02X%02X', l & 255, (l >> 8) & 255, r & 255, (r >> 8) & 255) AS x FROM stereo
 )
 SELECT vec_id, (t // 400)::INT AS block, (t // 400) * 400 AS first_sample, count(*)::INT AS n_samples, 2 AS channels, 16000 AS sample_rate, 16 AS bits, true AS ok,
   string_agg(x, '' ORDER BY t) AS pcm

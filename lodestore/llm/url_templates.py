@@ -15,7 +15,8 @@ A template (host, path of branches) is rejected if its smoothed purity
 `purity`. At `depth` levels the rest of a path is `**`.
 
 Each level aggregates before it shuffles further: (node, segment) counts, then (node, branch)
-counts, and one map of literal branches for each node joins the URLs.
+counts, and one map of literal branches for each node joins the URLs. The URLs' lineage is cut
+at each level.
 
 Defined results: scheme, port, query, fragment and empty segments don't matter, and hosts are
 lower case; a null or unparsable URL has a null host and the template of a bare host, and is
@@ -29,6 +30,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import cut
+
 LEAST, SHARE, Z, WEIGHT, PURITY, DEPTH = 5, 0.02, 1.96, 10.0, 0.6, 6
 
 
@@ -48,6 +51,7 @@ def templates(pages: DataFrame, labels: DataFrame, least: int = LEAST, share: fl
     counted = labels.where("good is not null and page_id is not null").groupBy("page_id").agg(F.count("*").alias("l"), F.sum((F.col("good") == 0).cast("long")).alias("b"))
     rows = parsed(pages).join(counted, "page_id", "left").select("page_id", "host", "segs", F.coalesce("l", F.lit(0)).alias("l"), F.coalesce("b", F.lit(0)).alias("b"), F.lit("").alias("prefix"))
     for d in range(depth):
+        rows = cut(rows)  # a level names its rows three times
         seg = F.get("segs", F.lit(d))
         child = rows.withColumn("seg", seg).where("seg is not null and host is not null").groupBy("host", "prefix", "seg").agg(F.count("*").alias("n"), F.sum("l").alias("l"), F.sum("b").alias("b"))
         nodes = child.groupBy("host", "prefix").agg(F.sum("n").alias("pn"), F.sum("l").alias("pl"), F.sum("b").alias("pb"))
@@ -66,6 +70,7 @@ def templates(pages: DataFrame, labels: DataFrame, least: int = LEAST, share: fl
         step = F.when(seg.isNotNull() & F.col("own").isNotNull(), F.concat("prefix", F.lit("/"), name)).otherwise(F.col("prefix"))
         rows = joined.select("page_id", "host", "segs", "l", "b", step.alias("prefix"))
     rows = rows.select("page_id", "host", "l", "b", F.when(F.size("segs") > depth, F.concat("prefix", F.lit("/**"))).otherwise(F.col("prefix")).alias("template"))
+    rows = cut(rows)
     whole = rows.where("host is not null").agg(F.sum("l").alias("all_l"), F.sum("b").alias("all_b"))
     stats = rows.where("host is not null").groupBy("host", "template").agg(F.count("*").alias("pages"), F.sum("l").alias("labelled"), F.sum("b").alias("bad")).crossJoin(whole)
     prior = F.when(F.col("all_l") > 0, 1 - F.col("all_b") / F.col("all_l")).otherwise(F.lit(1.0))
