@@ -9,7 +9,7 @@ A merge can only join two characters that stand side by side in some piece, so a
 apart, exactly, at every other pair of neighbours; equal parts are encoded once per worker and
 kept. All parts that are new to a worker are also encoded by the sentencepiece library, a batch
 at a time, and must be equal (`checked`). The vocabulary file's path is a parameter; it is read
-where the worker runs, or on the driver with ship=True.
+where the worker runs.
 
 Defined results: a null text has null ids and counts; an empty text has no pieces; the
 vocabulary's space symbol in a text counts as a space, as in the library; repeated rows are each
@@ -21,16 +21,21 @@ from __future__ import annotations
 import heapq
 import os
 import re
+from array import array
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁"
-#: Parts that a worker keeps; beyond that the oldest half goes. It bounds memory and changes no result.
-KEEP = 600_000
+#: Parts of a generation that a worker keeps; beyond that the last one goes but for what was used since. It bounds memory and changes no result.
+KEEP = 400_000
+#: Text of an output batch
+SLICE_BYTES = 1 << 20
 
 
 def _fields(data: bytes):
@@ -111,6 +116,7 @@ class Vocabulary:
         if {USER, UNUSED} & set(self.kinds):
             raise ValueError("user-defined and unused pieces are not supported")
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == NORMAL}
+        self.cost = {p: -self.scores[i] for p, i in self.ids.items()}
         self.unknown = next(i for i, k in enumerate(self.kinds) if k == UNKNOWN)
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == BYTE}
         self.neighbours = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
@@ -124,32 +130,31 @@ class Vocabulary:
         symbols: list[str] = list(part)
         n = len(symbols)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        ids, scores = self.ids, self.scores
-        heap: list[tuple[float, int, int, str]] = []
-
-        def offer(a: int, b: int) -> None:
-            both = symbols[a] + symbols[b]
-            i = ids.get(both)
-            if i is not None:
-                heapq.heappush(heap, (-scores[i], a, b, both))
-
-        for a in range(n - 1):
-            offer(a, a + 1)
+        cost, push = self.cost.get, heapq.heappush
+        heap = [(c, i, i + 1, part[i : i + 2]) for i in range(n - 1) if (c := cost(part[i : i + 2])) is not None]
+        heapq.heapify(heap)
         while heap:
             _, a, b, both = heapq.heappop(heap)
             if not symbols[a] or not symbols[b] or len(symbols[a]) + len(symbols[b]) != len(both):
                 continue  # one of them has merged since
             symbols[a], symbols[b] = both, ""
-            after[a] = after[b]
-            if after[b] >= 0:
-                before[after[b]] = a
-                offer(a, after[b])
-            if before[a] >= 0:
-                offer(before[a], a)
+            right, left = after[b], before[a]
+            after[a] = right
+            if right >= 0:
+                before[right] = a
+                new = both + symbols[right]
+                c = cost(new)
+                if c is not None:
+                    push(heap, (c, a, right, new))
+            if left >= 0:
+                new = symbols[left] + both
+                c = cost(new)
+                if c is not None:
+                    push(heap, (c, left, a, new))
         out = []
         for s in symbols:
             if s:
-                i = ids.get(s)
+                i = self.ids.get(s)
                 if i is not None:
                     out.append(i)
                 else:
@@ -195,7 +200,7 @@ class Encoder:
         self.vocabulary = v = Vocabulary(data)
         self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.known: dict[str, bytes] = {}
-        self.small: dict[str, tuple[list[int], str]] = {}
+        self.old: dict[str, bytes] = {}
         # a part: spaces and what follows up to the next space; newlines and the like by themselves
         self.by_newline = "\n" in v.alone
         self.cut = None if v.spaced else re.compile(f"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+" if self.by_newline else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -210,19 +215,25 @@ class Encoder:
 
     def _encode_new(self, new: list[str]) -> int:
         """Encode parts by the agenda; how many of them differ from the library."""
-        v, small = self.vocabulary, self.small
-        if len(self.known) + len(new) > KEEP:
-            for k in list(self.known)[: len(self.known) // 2]:
-                del self.known[k]
-            small.clear()
+        v, known, old = self.vocabulary, self.known, self.old
+        had = [p for p in new if p in old]
+        for p in had:
+            known[p] = old[p]
+        if len(had) == len(new):
+            return 0
+        new = [p for p in new if p not in old]
         for part in new:
-            ids: list[int] = []
-            for a in v.atoms(part):
-                got = small.get(a)
+            atoms = v.atoms(part)
+            if len(atoms) == 1:
+                known[part] = array("I", v.agenda(part)).tobytes()
+                continue
+            ids = []
+            for a in atoms:  # an atom is as often a part itself
+                got = known.get(a)
                 if got is None:
-                    got = small[a] = v.agenda(a)
-                ids += got
-            self.known[part] = np.array(ids, "<u4").tobytes()
+                    got = known[a] = array("I", v.agenda(a)).tobytes()
+                ids.append(got)
+            known[part] = b"".join(ids)
         return self._compare(new)
 
     def _compare(self, new: list[str]) -> int:
@@ -230,29 +241,26 @@ class Encoder:
         v, wrong = self.vocabulary, 0
         if not v.dummy_prefix or not self.by_newline:
             theirs = self.library.encode([p.replace(SPACE, " ") for p in new], num_threads=1)
-            return 0 if v.dummy_prefix else sum(np.array(t, "<u4").tobytes() != self.known[p] for p, t in zip(new, theirs))
+            return 0 if v.dummy_prefix else sum(array("I", t).tobytes() != self.known[p] for p, t in zip(new, theirs))
         texts = [p[1:].replace(SPACE, " ") if p[0] == SPACE and len(p) > 1 else "\n" + p.replace(SPACE, " ") for p in new]
         lead = len(self.library.encode("\n"))
         for p, t in zip(new, self.library.encode(texts, num_threads=1)):
             t = t if p[0] == SPACE and len(p) > 1 else t[lead:]
-            wrong += np.array(t, "<u4").tobytes() != self.known[p]
+            wrong += array("I", t).tobytes() != self.known[p]
         return wrong
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], int]:
         """Ids of each text; new parts that the library encodes otherwise."""
         out, wrong = [], 0
         for text in texts:
+            if len(self.known) > KEEP:
+                self.old, self.known = self.known, {}
             parts = self.parts(text)
             known = self.known
             try:
                 ids = b"".join(map(known.__getitem__, parts))
             except KeyError:
-                own = set(parts)
-                new = [p for p in own if p not in known]
-                kept = len(known) + len(new) <= KEEP
-                wrong += self._encode_new(new)
-                if not kept:  # some of this text's may just have gone
-                    self._encode_new([p for p in own if p not in known])
+                wrong += self._encode_new([p for p in set(parts) if p not in known])
                 ids = b"".join(map(known.__getitem__, parts))
             out.append(np.frombuffer(ids, "<u4").astype(np.int32))
         return out, wrong
@@ -269,27 +277,35 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def with_pieces(docs: DataFrame, column: str, path: str = MODEL) -> DataFrame:
-    """docs with a struct column: ids, n_pieces, checked (the library agrees on all that was new), round_trip."""
+_OUT = ["ids", "n_pieces", "checked", "round_trip"]
+
+
+def _slices(batch: pa.RecordBatch):
+    """Parts of a batch, each of about SLICE_BYTES of text, so memory follows a part and not the batch."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
 
-    @F.pandas_udf("ids array<int>, n_pieces int, checked boolean, round_trip boolean")
-    def encode(text: pd.Series) -> pd.DataFrame:
+def _encoded(path: str):
+    def run(batches):
         e = encoder(path)
-        texts = text.tolist()
-        ids, wrong = e.encode([t if t is not None else "" for t in texts])
-        null = [t is None for t in texts]
         table = e.vocabulary
-        trip = [None if t is None else decoded(table, i) == t.replace(SPACE, " ") for t, i in zip(texts, ids)]
-        return pd.DataFrame(
-            {
-                "ids": pd.Series([None if n else i for n, i in zip(null, ids)], dtype=object),
-                "n_pieces": pd.Series([None if n else len(i) for n, i in zip(null, ids)], dtype="Int32"),
-                "checked": pd.Series([None if n else wrong == 0 for n in null], dtype="boolean"),
-                "round_trip": pd.Series(trip, dtype="boolean"),
-            }
-        )
+        for part in (p for b in batches for p in _slices(b)):
+            texts = part.column(1).to_pylist()
+            ids, wrong = e.encode([t if t is not None else "" for t in texts])
+            null = np.array([t is None for t in texts])
+            n = np.array([len(i) for i in ids], np.int32)
+            trip = [None if t is None else decoded(table, i) == t.replace(SPACE, " ") for t, i in zip(texts, ids)]
+            edge = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), mask=np.append(null, False))
+            lists = pa.ListArray.from_arrays(edge, pa.array(np.concatenate(ids), pa.int32()))
+            checked = pa.array(np.full(len(texts), wrong == 0), mask=null)
+            yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(n, mask=null), checked, pa.array(trip, pa.bool_())], ["doc_id", *_OUT])
 
-    return docs.withColumn(column, encode(docs["text"]))
+    return run
 
 
 def decoded(v: Vocabulary, ids: np.ndarray) -> str:
@@ -301,8 +317,10 @@ def decoded(v: Vocabulary, ids: np.ndarray) -> str:
 
 
 def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """A row for each document: doc_id, ids, n_pieces, checked, round_trip."""
-    return with_pieces(docs.select("doc_id", "text"), "__p", path).select("doc_id", "__p.*")
+    """A row for each document: doc_id, ids, n_pieces, checked (the library agrees on all that was new), round_trip."""
+    rows = docs.select("doc_id", docs["text"].cast("string").alias("text"))
+    key = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(_encoded(path), f"doc_id {key}, ids array<int>, n_pieces int, checked boolean, round_trip boolean")
 
 
 def decode(rows: DataFrame, path: str = MODEL, ids: str = "ids", column: str = "text") -> DataFrame:
