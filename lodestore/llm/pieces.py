@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁"
 #: Parts of a generation that a worker keeps; beyond that the last one goes but for what was used since. It bounds memory and changes no result.
-KEEP = 400_000
+KEEP = 600_000
 #: Text of an output batch
 SLICE_BYTES = 1 << 20
 
@@ -201,6 +201,8 @@ class Encoder:
         self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.newline = array("I", v.agenda("\n")).tobytes()
+        self.lead = array("I", v.agenda(SPACE + "\n") if v.dummy_prefix else v.agenda("\n")).tobytes()
         # a part: spaces and what follows up to the next space; newlines and the like by themselves
         self.by_newline = "\n" in v.alone
         self.cut = None if v.spaced else re.compile(f"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+" if self.by_newline else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -237,17 +239,27 @@ class Encoder:
         return self._compare(new)
 
     def _compare(self, new: list[str]) -> int:
-        """Parts from a space on go to the library as they are; others behind a newline, whose pieces are left out."""
-        v, wrong = self.vocabulary, 0
-        if not v.dummy_prefix or not self.by_newline:
-            theirs = self.library.encode([p.replace(SPACE, " ") for p in new], num_threads=1)
-            return 0 if v.dummy_prefix else sum(array("I", t).tobytes() != self.known[p] for p, t in zip(new, theirs))
-        texts = [p[1:].replace(SPACE, " ") if p[0] == SPACE and len(p) > 1 else "\n" + p.replace(SPACE, " ") for p in new]
-        lead = len(self.library.encode("\n"))
-        for p, t in zip(new, self.library.encode(texts, num_threads=1)):
-            t = t if p[0] == SPACE and len(p) > 1 else t[lead:]
-            wrong += array("I", t).tobytes() != self.known[p]
-        return wrong
+        """Whether the library encodes new parts otherwise.
+
+        They go to it in one text: a word with its leading spaces as it is, others between
+        newlines, where no piece crosses. Where newlines aren't such a border, each goes alone.
+        """
+        v, known = self.vocabulary, self.known
+        if not v.dummy_prefix:
+            return sum(array("I", t).tobytes() != known[p] for p, t in zip(new, self.library.encode([p.replace(SPACE, " ") for p in new], num_threads=1)))
+        if not self.by_newline:
+            theirs = self.library.encode([p.replace(SPACE, " ", 1).removeprefix(" ").replace(SPACE, " ") for p in new if p[0] == SPACE], num_threads=1)
+            return sum(array("I", t).tobytes() != known[p] for p, t in zip([p for p in new if p[0] == SPACE], theirs))
+        texts, want, line = ["\n"], [self.lead], self.newline
+        for p in new:
+            if p[0] == SPACE and p[-1] != SPACE:
+                texts.append(p)
+                want.append(known[p])
+            else:
+                texts += ("\n", p, "\n")
+                want += (line, known[p], line)
+        got = self.library.encode("".join(texts).replace(SPACE, " "))
+        return int(array("I", got).tobytes() != b"".join(want))
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], int]:
         """Ids of each text; new parts that the library encodes otherwise."""
