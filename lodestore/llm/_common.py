@@ -6,16 +6,19 @@ document costs memory in proportion to its own length and nothing is cut off.
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shared import cut, shared_dir  # noqa: F401
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 _B = np.arange(256, dtype=np.uint16)
 IS_WORD = ((_B >= 48) & (_B <= 57)) | ((_B >= 65) & (_B <= 90)) | ((_B >= 97) & (_B <= 122)) | (_B >= 128)
@@ -145,6 +148,24 @@ def chunks(texts: list[str | None], size: int = CHUNK_BYTES) -> Iterator[tuple[i
         yield begin, len(texts)
 
 
+def slices(batch: pa.RecordBatch, text: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, each of about this size of text, so memory follows a part and not the batch."""
+    end = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + size, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+    if give:
+        give(0)
+
+
 def unique_sorted(keys: np.ndarray) -> np.ndarray:
     keys = np.sort(keys)
     return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys

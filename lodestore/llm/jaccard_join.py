@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import chunks, cut, mix, partitions, spare, tokenize
+from ._common import cut, mix, partitions, slices, spare, tokenize, trim
 
 N, THRESHOLD = 5, 0.4
 #: Sets in a sub-block; two meet in a block, so memory is bounded by twice as many sets.
@@ -79,14 +79,14 @@ def _mapper(n: int, reducers: int):
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            for a, b in chunks(texts):
-                doc, h = gram_sets(texts[a:b], n, reducers)
+            for part in slices(batch, 1):
+                ids, m = part.column(0).to_numpy(zero_copy_only=False), part.num_rows
+                doc, h = gram_sets(part.column(1).to_pylist(), n, reducers)
                 if not len(h):
                     continue
-                size = np.bincount(doc, minlength=b - a)
+                size = np.bincount(doc, minlength=m)
                 has = np.flatnonzero(size)
-                key = np.zeros(b - a, np.uint64)
+                key = np.zeros(m, np.uint64)
                 np.add.at(key, doc, mix(h + np.uint64(0x51ED27)))
                 key = mix(key + size.astype(np.uint64))
                 bucket = (h >> np.uint64(40)).astype(np.int64)
@@ -95,11 +95,11 @@ def _mapper(n: int, reducers: int):
                 edge = np.flatnonzero(np.diff(bs, prepend=-1))
                 home = (key[has] % np.uint64(reducers)).astype(np.int64)
                 rows = {k: [] for k in ("bucket", "keys", "sizes", "counts", "grams", "member_key", "member_id")}
-                parts = {int(bs[e]): (e, f) for e, f in zip(edge, [*edge[1:], len(bs)])}
+                spans = {int(bs[e]): (e, f) for e, f in zip(edge, [*edge[1:], len(bs)])}
                 by_home = np.argsort(home, kind="stable")
                 home_at = np.searchsorted(home[by_home], np.arange(reducers + 1))
                 for r in range(reducers):
-                    e, f = parts.get(r, (0, 0))
+                    e, f = spans.get(r, (0, 0))
                     mine = has[by_home[home_at[r] : home_at[r + 1]]]
                     if e == f and not len(mine):
                         continue
@@ -110,8 +110,9 @@ def _mapper(n: int, reducers: int):
                     rows["counts"].append(np.diff(at, append=f - e).astype(np.int32).tobytes())
                     rows["grams"].append(_pack(hs[e:f]))
                     rows["member_key"].append(key[mine].tobytes())
-                    rows["member_id"].append(ids[a:b][mine].astype(np.int64).tobytes())
+                    rows["member_id"].append(ids[mine].astype(np.int64).tobytes())
                 yield pa.RecordBatch.from_pydict(rows, schema=_SCHEMA_1)
+        trim()
 
     return run
 
@@ -138,7 +139,8 @@ def _frequencies(homes: int):
         g = gram[order]
         same = g[1:] == g[:-1]
         many = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(g) else np.zeros(0, bool)
-        g, m = g[many], member[order][many]
+        g, m = g[many], member[order[many]]
+        del gram, member, same, many
         k = keys[m]
         order = np.lexsort((k, g))
         g, m, k = g[order], m[order], k[order]
@@ -162,6 +164,7 @@ def _frequencies(homes: int):
                 first = np.flatnonzero(np.concatenate([[True], k[a][1:] != k[a][:-1]])) if len(a) else np.zeros(0, np.int64)
                 count = np.diff(first, append=len(a)).astype(np.int32)
                 out.append((r, bucket, k[a][first].tobytes(), sizes[a][first].tobytes(), count.tobytes(), _pack(g[a]), df[a].astype(np.int32).tobytes(), (low[a] >> np.uint64(32)).astype(np.uint32).tobytes(), mk[b].tobytes(), mi[b].tobytes()))
+        trim()
         return pd.DataFrame(out, columns=["home", "bucket", "keys", "sizes", "counts", "grams", "df", "low", "member_key", "member_id"])
 
     return run
@@ -202,6 +205,7 @@ def _assemble(threshold: float):
             if found or e - s > 1:
                 n, p, label, grams, dfs = found or (0, 0, 0, b"", b"")
                 out.append((np.uint64(key).astype(np.int64), mi[s:e], n, p, label, grams, dfs))
+        trim()
         return pd.DataFrame(out, columns=["key", "doc_ids", "size", "prefix", "label", "grams", "df"])
 
     return run
@@ -366,6 +370,7 @@ def _blocks(threshold: float, forest: bool):
                         kept.append((i, j, s))
                 pairs = kept
             out += [(min(sets[i][0], sets[j][0]), max(sets[i][0], sets[j][0]), s) for i, j, s in pairs]
+        trim()
         return pd.DataFrame(out, columns=["ka", "kb", "jaccard"])
 
     return run

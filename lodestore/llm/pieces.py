@@ -26,16 +26,15 @@ from array import array
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import slices, trim
+
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁"
 #: Parts of a generation that a worker keeps; beyond that the last one goes but for what was used since. It bounds memory and changes no result.
 KEEP = 600_000
-#: Text of an output batch
-SLICE_BYTES = 1 << 20
 
 
 def _fields(data: bytes):
@@ -292,21 +291,11 @@ def encoder(path: str) -> Encoder:
 _OUT = ["ids", "n_pieces", "checked", "round_trip"]
 
 
-def _slices(batch: pa.RecordBatch):
-    """Parts of a batch, each of about SLICE_BYTES of text, so memory follows a part and not the batch."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES, "right")))
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def _encoded(path: str):
     def run(batches):
         e = encoder(path)
         table = e.vocabulary
-        for part in (p for b in batches for p in _slices(b)):
+        for part in (p for b in batches for p in slices(b, 1)):
             texts = part.column(1).to_pylist()
             ids, wrong = e.encode([t if t is not None else "" for t in texts])
             null = np.array([t is None for t in texts])
@@ -316,6 +305,7 @@ def _encoded(path: str):
             lists = pa.ListArray.from_arrays(edge, pa.array(np.concatenate(ids), pa.int32()))
             checked = pa.array(np.full(len(texts), wrong == 0), mask=null)
             yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(n, mask=null), checked, pa.array(trip, pa.bool_())], ["doc_id", *_OUT])
+        trim()
 
     return run
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import chunks, spare, tokenize, unique_sorted
+from ._common import chunks, spare, tokenize, trim, unique_sorted
 
 BITS = 20
 MAX_ROWS = 8000
@@ -57,8 +57,8 @@ def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.nda
     """
     w, bias = np.zeros(len(ratio), np.float64), 0.0
     alpha = np.zeros(len(rows))
-    values = [ratio[r] for r in rows]
-    q = np.array([v @ v + 1.0 for v in values])
+    values = [ratio[r].astype(np.float32) for r in rows]
+    q = np.array([float(v @ v) + 1.0 for v in values])
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         top, low = -np.inf, np.inf
@@ -131,11 +131,13 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> dict[
     rows = texts.join(F.broadcast(some), "id").select("order", "quality", "toxic", "text")
     found = rows.mapInPandas(_to_features, "order long, quality int, toxic int, slots binary").toPandas()
     found = found.sort_values(["order", "slots"], kind="stable").head(max_rows)
-    slots = [np.frombuffer(x, np.int32).astype(np.int64) for x in found["slots"]]
+    slots = [np.frombuffer(x, np.int32) for x in found["slots"]]
     heads = {}
     for name in ("quality", "toxic"):
         has = np.flatnonzero(found[name].notna().to_numpy())
         heads[name] = fit([slots[i] for i in has], found[name].to_numpy()[has])
+    del found, slots
+    trim()
     return heads
 
 
@@ -147,6 +149,7 @@ def with_scores(docs: DataFrame, labels: DataFrame, column: str, max_rows: int =
     @F.pandas_udf("quality_score double, quality int, toxic_score double, toxic int, keep boolean")
     def score(text: pd.Series) -> pd.DataFrame:
         good, bad = scores(text.tolist(), model.value)
+        trim()
         quality, toxic = (good >= 0).astype(np.int32), (bad > 0).astype(np.int32)
         return pd.DataFrame({"quality_score": good.round(6), "quality": quality, "toxic_score": bad.round(6), "toxic": toxic, "keep": (quality == 1) & (toxic == 0)})
 
