@@ -34,7 +34,7 @@ from ._common import slices, trim
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁"
 #: Parts of a generation that a worker keeps; beyond that the last one goes but for what was used since. It bounds memory and changes no result.
-KEEP = 600_000
+KEEP = 250_000
 
 
 def _fields(data: bytes):

@@ -119,6 +119,7 @@ def _to_features(batches):
             edge = np.searchsorted(doc, np.arange(b - a + 1))
             out += [slot[s:e].astype(np.int32).tobytes() for s, e in zip(edge[:-1], edge[1:])]
         yield pd.DataFrame({"order": pdf["order"], "quality": pdf["quality"], "toxic": pdf["toxic"], "slots": out})
+    trim()
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> dict[str, Head]:
