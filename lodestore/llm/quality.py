@@ -78,7 +78,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.nda
     return w, bias
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, smoothing: float = 1.0, cost: float = 0.1, beta: float = 0.25) -> Head:
+def fit(rows: list[np.ndarray], labels: np.ndarray, smoothing: float = 1.0, cost: float = 0.1, beta: float = 0.9) -> Head:
     """rows: distinct slots of each text; labels: 0 or 1."""
     size = 1 << BITS
     y = np.where(np.asarray(labels) == 1, 1.0, -1.0)
