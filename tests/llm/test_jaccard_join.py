@@ -94,7 +94,7 @@ def test_sub_blocks(spark, monkeypatch):
 def test_groups_and_columns(spark):
     rows = made(4)
     df = spark.createDataFrame([(i, t, "en", i) for i, t in rows] + [(None, "x", "en", 1)], "doc_id long, text string, key string, __gone long")
-    found = brute(rows, J.N, J.THRESHOLD)
+    found = brute(rows, 3, 0.5)
     root = {i: i for i, _ in rows}
 
     def find(i):
@@ -109,3 +109,13 @@ def test_groups_and_columns(spark):
     assert out.columns == df.columns
     assert sorted(r.doc_id for r in out.collect() if r.doc_id is not None) == sorted(i for i in root if find(i) == i)
     assert out.where("doc_id is null").count() == 1
+
+
+def test_short_near_copy_with_scattered_edits(spark):
+    words = [f"w{i}" for i in range(24)]
+    near = ["x" if i == 8 else w for i, w in enumerate(words)]
+    near[16] = "y"
+    rows = [(1, " ".join(words)), (2, " ".join(near))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_a, r.doc_b): r.jaccard for r in J.near_duplicate_pairs(df).collect()} == brute(rows, 3, 0.5) == {(1, 2): round(16 / 28, 6)}
+    assert [r.doc_id for r in J.drop_near_duplicates(df).collect()] == [1]
