@@ -1,7 +1,9 @@
 """Secret scans: a battery of randomness tests for each inferred encoding, with length-aware FDR control.
 
-A candidate is a maximal run of at least `shortest` characters of A-Za-z0-9+/_=- that touches no
-other letter. Its encoding is the smallest alphabet that holds it. Tests:
+A candidate is a run of at least `shortest` characters that touches no other letter and is
+maximal in one of the alphabets A-Za-z0-9 with +/_-, with +/, with _- and alone; so a name before
+"=" or the directories of a path aren't tested with the secret only. All candidates, nested ones
+too, take part in the tests. A candidate's encoding is the smallest alphabet that holds it. Tests:
 
 * uniformity: Pearson's chi-squared statistic over the alphabet (equivalently the number of
   coinciding symbol pairs), with exact mean and variance for its length both under uniform
@@ -18,7 +20,7 @@ long ones. Decimal numbers are as uniform as random ones and thus never a discov
 
 The procedure sees all candidates of all documents: a first pass counts p-values (rounded up to
 1/100 of a decade) in each stratum, the few counts give exact thresholds, a second pass decides.
-No text is shuffled.
+No text is shuffled. Of nested secrets the outermost is reported; all that any covers is masked.
 
 Defined results: null and empty texts have no candidates; a repeated token or row counts as
 often as it occurs; ties share a decision; an empty table has no secrets and redacts nothing;
@@ -62,8 +64,10 @@ _S2, _S3, _STICK = (np.array([e[i] for e in ENCODINGS]) for i in (2, 3, 4))
 _INDEX = np.full((len(ENCODINGS), 256), -1, np.int16)
 for _k, _e in enumerate(ENCODINGS):
     _INDEX[_k, [ord(c) for c in _e[1]]] = np.arange(len(_e[1]))
-_IN = np.zeros(256, bool)
-_IN[[ord(c) for c in DIGITS + LOWER + UPPER + "+/-_="]] = True
+#: alphabets in which a candidate is a maximal run
+_IN = np.zeros((4, 256), bool)
+for _k, _s in enumerate(("+/-_", "+/", "-_", "")):
+    _IN[_k, [ord(c) for c in DIGITS + LOWER + UPPER + _s]] = True
 #: class of a character: digit, lower, upper, other
 _CLASS = np.full(256, 3, np.int8)
 for _c, _s in enumerate((DIGITS, LOWER, UPPER)):
@@ -77,21 +81,17 @@ def _upper_tail(z: np.ndarray) -> np.ndarray:
 
 
 def candidates(raw: np.ndarray, shortest: int = SHORTEST) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of candidates in UTF-8 bytes; padding (=) isn't part of them."""
-    inside = _IN[raw].view(np.int8)
-    step = np.diff(np.concatenate([[0], inside, [0]]).astype(np.int8))
-    start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    long = end - start >= shortest
-    start, end = start[long], end[long]
+    """Starts and ends of candidates in UTF-8 bytes, by start, the longer of two first; padding (=) isn't part of them."""
+    found = []
+    for table in _IN:
+        step = np.diff(np.concatenate([[0], table[raw].view(np.int8), [0]]).astype(np.int8))
+        start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        long = end - start >= shortest
+        found.append(np.stack([start[long], -end[long]], axis=1))
+    both = np.unique(np.concatenate(found), axis=0)
+    start, end = both[:, 0], -both[:, 1]
     touch = ((start > 0) & (raw[np.maximum(start - 1, 0)] >= 128)) | ((end < len(raw)) & (raw[np.minimum(end, len(raw) - 1)] >= 128))
-    start, end = start[~touch], end[~touch]
-    for _ in range(len(raw)):  # strip = on both sides
-        s, e = (raw[start] == 61) & (start < end), (raw[end - 1] == 61) & (start < end)
-        if not (s.any() or e.any()):
-            break
-        start, end = start + s, np.maximum(end - (e & (start + s < end)), start + s)
-    keep = end - start >= shortest
-    return start[keep], end[keep]
+    return start[~touch], end[~touch]
 
 
 def battery(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> dict[str, np.ndarray]:
@@ -209,7 +209,11 @@ def scan(docs: DataFrame, shortest: int = SHORTEST, fdr: float = FDR, random: fl
         out: list[list[tuple]] = [[] for _ in texts]
         for a, b in chunks(texts):
             raws, doc, start, end, t, hit = _found(texts[a:b], limit, shortest, random)
+            last, reach = -1, 0
             for i in hit:
+                if doc[i] == last and end[i] <= reach:  # within a secret
+                    continue
+                last, reach = doc[i], end[i]
                 place = len(raws[doc[i]][: start[i]].decode("utf-8", "replace"))
                 numbers = (float(f"{t[k][i]:.6g}") for k in ("chi", "serial", "p_chi", "p_runs", "p_serial", "p_text"))
                 out[a + doc[i]].append((place, int(end[i] - start[i]), str(NAMES[t["encoding"][i]]), *numbers))
@@ -232,8 +236,9 @@ def redact(docs: DataFrame, shortest: int = SHORTEST, fdr: float = FDR, random:
             for d in np.unique(doc[hit]):
                 at, parts = 0, []
                 for i in hit[doc[hit] == d]:
-                    parts += [raws[d][at : start[i]], MASK.encode()]
-                    at = end[i]
+                    if not parts or start[i] >= at:
+                        parts += [raws[d][at : start[i]], MASK.encode()]
+                    at = max(at, end[i])
                 out[a + d] = b"".join([*parts, raws[d][at:]]).decode("utf-8", "replace")
         return pd.Series(out, dtype=object)
 

@@ -1,6 +1,7 @@
 """Brute-force versions, round trips and edge cases of the operators that SQL can't express, and SQL for the others."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -73,6 +74,26 @@ def test_secrets_are_found_and_prose_is_not(spark):
     assert key not in out[1] and token not in out[2] and out[3] == prose and out[4] is None and out[5] == ""
 
 
+def test_secrets_after_names_and_paths(spark):
+    rng = random.Random(4)
+    rows = [(10 * k + n // 20, form.format("".join(rng.choice("0123456789abcdef") for _ in range(n)))) for k, form in enumerate(["token={}", "GET /v1/keys/{}", "a=1&access_token={}&b=2", "my-key_{}"], 1) for n in (40, 64)]
+    docs = spark.createDataFrame(rows + [(100, "some_function_name_in_code=another/name/of_something-else")] * 50, "doc_id long, text string")
+    assert {r.doc_id for r in secrets.scan(docs).collect()} == {i for i, _ in rows}
+    out = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    for i, text in rows:
+        assert re.search("[0-9a-f]{40,}", text).group() not in out[i]
+    assert out[10 * 3 + 2] == "a=1&access_token=[SECRET]&b=2" and out[100].startswith("some_")
+
+
+def test_nested_secrets_are_masked_once(spark):
+    rng = random.Random(6)
+    a, b, c = ("".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40)) for _ in range(3))
+    docs = spark.createDataFrame([(1, f"x {a}-{b}/{c} y")], "doc_id long, text string")
+    assert [r.text for r in secrets.redact(docs).collect()] == ["x [SECRET] y"]
+    places = [(r.start, r.start + r.length) for r in secrets.scan(docs).collect()]
+    assert not any(p != q and p[0] <= q[0] and q[1] <= p[1] for p in places for q in places)
+
+
 def test_false_discovery_thresholds_against_brute_force():
     import pandas as pd
 
