@@ -80,6 +80,11 @@ def _upper_tail(z: np.ndarray) -> np.ndarray:
     return np.array([0.5 * math.erfc(x / math.sqrt(2)) for x in np.asarray(z, np.float64)])
 
 
+def _letter(char: np.ndarray) -> bool:
+    """Whether the bytes of one character are a letter's."""
+    return char.tobytes().decode("utf-8", "replace").isalpha()
+
+
 def candidates(raw: np.ndarray, shortest: int = SHORTEST) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of candidates in UTF-8 bytes, by start, the longer of two first; padding (=) isn't part of them."""
     found = []
@@ -90,7 +95,15 @@ def candidates(raw: np.ndarray, shortest: int = SHORTEST) -> tuple[np.ndarray, n
         found.append(np.stack([start[long], -end[long]], axis=1))
     both = np.unique(np.concatenate(found), axis=0)
     start, end = both[:, 0], -both[:, 1]
-    touch = ((start > 0) & (raw[np.maximum(start - 1, 0)] >= 128)) | ((end < len(raw)) & (raw[np.minimum(end, len(raw) - 1)] >= 128))
+    touch = np.zeros(len(start), bool)
+    for i in np.flatnonzero((start > 0) & (raw[np.maximum(start - 1, 0)] >= 128)):
+        at = start[i] - 1
+        while at > 0 and start[i] - at < 4 and raw[at] & 0xC0 == 0x80:
+            at -= 1
+        touch[i] = _letter(raw[at : start[i]])
+    for i in np.flatnonzero((end < len(raw)) & (raw[np.minimum(end, len(raw) - 1)] >= 128)):
+        lead = raw[end[i]]
+        touch[i] |= _letter(raw[end[i] : end[i] + (4 if lead >= 0xF0 else 3 if lead >= 0xE0 else 2)])
     return start[~touch], end[~touch]
 
 

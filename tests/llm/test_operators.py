@@ -85,6 +85,15 @@ def test_secrets_after_names_and_paths(spark):
     assert out[10 * 3 + 2] == "a=1&access_token=[SECRET]&b=2" and out[100].startswith("some_")
 
 
+def test_secrets_beside_other_than_ascii():
+    key = "q7Zt0mXv4LbR9sKe2WuY8hDp"
+    for before, after in [("“", "”"), ("«", "»"), ("\u00a0", "…"), ("：", "。"), ("—", "\U0001f511"), ("", "’"), ("\U0001f511", "")]:
+        raw = np.frombuffer(f"a {before}{key}{after} b".encode(), np.uint8)
+        assert [raw[a:b].tobytes().decode() for a, b in zip(*secrets.candidates(raw))] == [key], (before, after)
+    for text in (f"é{key}", f"{key}é", f"\U00010400{key}", f"“{key}ß"):
+        assert not len(secrets.candidates(np.frombuffer(text.encode(), np.uint8))[0]), text
+
+
 def test_nested_secrets_are_masked_once(spark):
     rng = random.Random(6)
     a, b, c = ("".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40)) for _ in range(3))
