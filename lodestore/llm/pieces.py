@@ -7,8 +7,8 @@ or the unknown piece where there are none.
 
 A merge can only join two characters that stand side by side in some piece, so a text falls
 apart, exactly, at every other pair of neighbours; equal parts are encoded once per worker and
-kept. All parts that are new to a worker are also encoded by the sentencepiece library, a batch
-at a time, and must be equal (`checked`). The vocabulary file's path is a parameter; it is read
+kept. The sentencepiece library also encodes each whole text, and `checked` says for each row
+whether its ids are the library's. The vocabulary file's path is a parameter; it is read
 where the worker runs.
 
 Defined results: a null text has null ids and counts; an empty text has no pieces; the
@@ -191,7 +191,7 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes batches of texts; keeps the parts that it has seen, and checks new ones against the library."""
+    """Encodes batches of texts; keeps the parts that it has seen, and checks whole texts against the library."""
 
     def __init__(self, data: bytes):
         import sentencepiece
@@ -200,8 +200,6 @@ class Encoder:
         self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.newline = array("I", v.agenda("\n")).tobytes()
-        self.lead = array("I", v.agenda(SPACE + "\n") if v.dummy_prefix else v.agenda("\n")).tobytes()
         # a part: spaces and what follows up to the next space; newlines and the like by themselves
         self.by_newline = "\n" in v.alone
         self.cut = None if v.spaced else re.compile(f"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+" if self.by_newline else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -214,16 +212,13 @@ class Encoder:
             escaped = SPACE + escaped
         return self.cut.findall(escaped) if self.cut else [escaped]
 
-    def _encode_new(self, new: list[str]) -> int:
-        """Encode parts by the agenda; how many of them differ from the library."""
+    def _encode_new(self, new: list[str]) -> None:
+        """Encode parts by the agenda."""
         v, known, old = self.vocabulary, self.known, self.old
-        had = [p for p in new if p in old]
-        for p in had:
-            known[p] = old[p]
-        if len(had) == len(new):
-            return 0
-        new = [p for p in new if p not in old]
         for part in new:
+            if part in old:
+                known[part] = old[part]
+                continue
             atoms = v.atoms(part)
             if len(atoms) == 1:
                 known[part] = array("I", v.agenda(part)).tobytes()
@@ -235,35 +230,11 @@ class Encoder:
                     got = known[a] = array("I", v.agenda(a)).tobytes()
                 ids.append(got)
             known[part] = b"".join(ids)
-        return self._compare(new)
-
-    def _compare(self, new: list[str]) -> int:
-        """Whether the library encodes new parts otherwise.
-
-        They go to it in one text: a word with its leading spaces as it is, others between
-        newlines, where no piece crosses. Where newlines aren't such a border, each goes alone.
-        """
-        v, known = self.vocabulary, self.known
-        if not v.dummy_prefix:
-            return sum(array("I", t).tobytes() != known[p] for p, t in zip(new, self.library.encode([p.replace(SPACE, " ") for p in new], num_threads=1)))
-        if not self.by_newline:
-            theirs = self.library.encode([p.replace(SPACE, " ", 1).removeprefix(" ").replace(SPACE, " ") for p in new if p[0] == SPACE], num_threads=1)
-            return sum(array("I", t).tobytes() != known[p] for p, t in zip([p for p in new if p[0] == SPACE], theirs))
-        texts, want, line = ["\n"], [self.lead], self.newline
-        for p in new:
-            if p[0] == SPACE and p[-1] != SPACE:
-                texts.append(p)
-                want.append(known[p])
-            else:
-                texts += ("\n", p, "\n")
-                want += (line, known[p], line)
-        got = self.library.encode("".join(texts).replace(SPACE, " "))
-        return int(array("I", got).tobytes() != b"".join(want))
-
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], int]:
-        """Ids of each text; new parts that the library encodes otherwise."""
-        out, wrong = [], 0
-        for text in texts:
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[int]]:
+        """Ids of each text; the numbers of texts that the library encodes otherwise."""
+        out, wrong = [], []
+        for k, text in enumerate(texts):
             if len(self.known) > KEEP:
                 self.old, self.known = self.known, {}
             parts = self.parts(text)
@@ -271,8 +242,10 @@ class Encoder:
             try:
                 ids = b"".join(map(known.__getitem__, parts))
             except KeyError:
-                wrong += self._encode_new([p for p in set(parts) if p not in known])
+                self._encode_new([p for p in set(parts) if p not in known])
                 ids = b"".join(map(known.__getitem__, parts))
+            if array("I", self.library.encode(text)).tobytes() != ids:
+                wrong.append(k)
             out.append(np.frombuffer(ids, "<u4").astype(np.int32))
         return out, wrong
 
@@ -303,8 +276,9 @@ def _encoded(path: str):
             trip = [None if t is None else decoded(table, i) == t.replace(SPACE, " ") for t, i in zip(texts, ids)]
             edge = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), mask=np.append(null, False))
             lists = pa.ListArray.from_arrays(edge, pa.array(np.concatenate(ids), pa.int32()))
-            checked = pa.array(np.full(len(texts), wrong == 0), mask=null)
-            yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(n, mask=null), checked, pa.array(trip, pa.bool_())], ["doc_id", *_OUT])
+            checked = np.ones(len(texts), bool)
+            checked[wrong] = False
+            yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(n, mask=null), pa.array(checked, mask=null), pa.array(trip, pa.bool_())], ["doc_id", *_OUT])
         trim()
 
     return run
@@ -319,7 +293,7 @@ def decoded(v: Vocabulary, ids: np.ndarray) -> str:
 
 
 def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """A row for each document: doc_id, ids, n_pieces, checked (the library agrees on all that was new), round_trip."""
+    """A row for each document: doc_id, ids, n_pieces, checked (the library encodes the whole text to the same ids), round_trip."""
     rows = docs.select("doc_id", docs["text"].cast("string").alias("text"))
     key = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_encoded(path), f"doc_id {key}, ids array<int>, n_pieces int, checked boolean, round_trip boolean")

@@ -157,6 +157,17 @@ def test_generations_change_nothing(monkeypatch):
     assert not wrong and [i.tolist() for i in ids] == [e.library.encode(t) for t in texts]
 
 
+def test_every_text_is_checked_by_itself():
+    with open(pieces.MODEL, "rb") as f:
+        e = pieces.Encoder(f.read())
+    assert e.encode(["one two", "two three", ""])[1] == []
+    e.known[pieces.SPACE + "two"] = e.known[pieces.SPACE + "one"]
+    assert e.encode(["three one", "two", "one two", "one"])[1] == [1, 2]
+    whole = e.parts
+    e.parts = lambda text: whole(text)[:-1]
+    assert e.encode(["one three", "", "three one"])[1] == [0, 2]
+
+
 # languages
 
 
