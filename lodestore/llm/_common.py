@@ -7,7 +7,9 @@ document costs memory in proportion to its own length and nothing is cut off.
 from __future__ import annotations
 
 import ctypes
+import functools
 import os
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -52,6 +54,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Scripts written without spaces: each of their letters is a token.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+
+
+@functools.cache
+def letter_classes() -> np.ndarray:
+    """For each code point: 1 a letter, mark or number, 2 one of an unspaced script, 0 any other."""
+    out = np.zeros(0x110000, np.int8)
+    for a, b in ((0, 0x40000), (0xE0100, 0xE01F0)):  # no other plane has letters
+        out[a:b] = [unicodedata.category(chr(i))[0] in "LMN" for i in range(a, b)]
+    for a, b in UNSPACED:
+        out[a : b + 1] *= 2
+    return out
+
+
 def lower_bytes(text: str) -> tuple[bytes, bytes]:
     """UTF-8 of the text and of its lower case, byte for byte in step.
 
@@ -102,9 +119,10 @@ class Tokens:
 
 
 def tokenize(texts: list[str | None], symbols: bool = False) -> Tokens:
-    """Maximal runs of letters and digits (all bytes from 0x80 on count as letters), in lower case.
+    """Maximal runs of letters, marks and numbers of any script, in lower case; in UNSPACED scripts each letter.
 
-    symbols: runs of other printable characters are tokens too. A null counts as an empty text.
+    symbols: runs of other printable characters are tokens too, and all bytes from 0x80 on count
+    as letters. A null counts as an empty text.
     """
     pairs = [lower_bytes(t or "") for t in texts]
     raw = b"\n".join(p[0] for p in pairs) + b"\n"
@@ -117,9 +135,16 @@ def tokenize(texts: list[str | None], symbols: bool = False) -> Tokens:
         edge = np.concatenate([[0], change, [len(low)]])
         real = kind[edge[:-1]] > 0
         start, end = edge[:-1][real], edge[1:][real]
+    elif (low & 0x80).any():
+        points = np.frombuffer(low.tobytes().decode().encode("utf-32-le"), np.uint32)
+        kind = letter_classes()[points]
+        run = np.flatnonzero(kind)
+        more = (kind[1:] == 1) & (kind[:-1] == 1)  # the text ends with a line feed, so no run does
+        at = np.zeros(len(points) + 1, np.int64)
+        np.cumsum(1 + (points >= 0x80) + (points >= 0x800).astype(np.int64) + (points >= 0x10000), out=at[1:])
+        start, end = at[run[~np.concatenate([[False], more])[run]]], at[run[~np.concatenate([more, [False]])[run]] + 1]
     else:
-        word = IS_WORD[low].view(np.int8)
-        step = np.diff(word, prepend=np.int8(0))
+        step = np.diff(IS_WORD[low].view(np.int8), prepend=np.int8(0))
         start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
     power, inverse = _powers(len(low) + 1)
     sums = np.zeros(len(low) + 1, np.uint64)
@@ -175,6 +200,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def buckets_for(df: DataFrame, each: int) -> int:
+    """Buckets of about so many bytes of df by the optimizer's estimate, and as many as shuffle partitions at least."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = size if size < 1 << 60 else 0  # an RDD's size is unknown
+    return max(partitions(df.sparkSession), -(-known // each))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, flac, jaccard_join, language, pieces, pii, quality, secrets, sharding, url_templates
-from ._common import table
+from ._common import UNSPACED, table
 
-_GAP = r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
-_TOKEN = r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
+_GAP, _TOKEN = r"[^\p{L}\p{M}\p{N}]+", r"[\p{L}\p{M}\p{N}]+"
+#: A text with this mark around the letters of unspaced scripts, so that each is a token; it is taken out again.
+_MARK = "\ue000"
+_APART = f"regexp_replace(text, '([{''.join(f'\\x{{{a:x}}}-\\x{{{b:x}}}' for a, b in UNSPACED)}])', '{_MARK}\\1{_MARK}', 'g')"
 
 
 def op1_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +77,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = rf"""
 WITH words AS (
-  SELECT doc_id, regexp_extract_all(lower(text), '{_TOKEN}') AS w FROM documents WHERE doc_id IS NOT NULL
+  SELECT doc_id, regexp_extract_all(lower({_APART}), '{_TOKEN}') AS w FROM documents WHERE doc_id IS NOT NULL
 ), grams AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {jaccard_join.N}
     THEN list_transform(range(1, len(w) - {jaccard_join.N} + 2), lambda i: array_to_string(w[i:i + {jaccard_join.N} - 1], ' '))
@@ -109,12 +111,12 @@ _NEED = f"least({decontaminate.LENGTH}, greatest({decontaminate.LEAST}, ceil({de
 
 OP6_SQL = rf"""
 WITH items AS (
-  SELECT DISTINCT regexp_extract_all(lower(text), '{_TOKEN}') AS w FROM benchmark WHERE text IS NOT NULL
+  SELECT DISTINCT regexp_extract_all(lower({_APART}), '{_TOKEN}') AS w FROM benchmark WHERE text IS NOT NULL
 ), keyed AS (SELECT w, {_NEED} AS k FROM items WHERE len(w) >= {decontaminate.LEAST}
 ), keys AS (
   SELECT DISTINCT k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g FROM keyed
 ), words AS (
-  SELECT doc_id, regexp_extract_all(lower(text), '{_TOKEN}') AS w FROM documents
+  SELECT doc_id, regexp_extract_all(lower({_APART}), '{_TOKEN}') AS w FROM documents
 ), places AS (
   SELECT doc_id, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM words CROSS JOIN (SELECT DISTINCT k FROM keys) WHERE len(w) >= k
 ), hits AS (
@@ -122,7 +124,7 @@ WITH items AS (
 ), covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS i FROM hits
 ), pieces AS (
   SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS pos
-  FROM (SELECT doc_id, regexp_extract_all(text, '{_TOKEN}|{_GAP}') AS p FROM documents)
+  FROM (SELECT doc_id, regexp_extract_all({_APART}, '{_TOKEN}|{_GAP}') AS p FROM documents)
 ), numbered AS (
   SELECT doc_id, pos, piece, regexp_full_match(piece, '{_TOKEN}') AS is_word,
     count(*) FILTER (WHERE regexp_full_match(piece, '{_TOKEN}')) OVER (PARTITION BY doc_id ORDER BY pos) AS i
@@ -136,7 +138,7 @@ WITH items AS (
   SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE step IS DISTINCT FROM 1) AS n_spans
   FROM (SELECT doc_id, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS step FROM covered) GROUP BY doc_id
 )
-SELECT d.doc_id, CASE WHEN coalesce(n_removed, 0) <= {decontaminate.DOCUMENT} * coalesce(len(w), 0) THEN coalesce(kept.text, CASE WHEN d.text IS NOT NULL THEN '' END) END AS text,
+SELECT d.doc_id, CASE WHEN coalesce(n_removed, 0) <= {decontaminate.DOCUMENT} * coalesce(len(w), 0) THEN coalesce(replace(kept.text, '{_MARK}', ''), CASE WHEN d.text IS NOT NULL THEN '' END) END AS text,
   coalesce(len(w), 0)::BIGINT AS n_tokens, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
   coalesce(n_removed, 0) > {decontaminate.DOCUMENT} * coalesce(len(w), 0) AS dropped
 FROM documents d JOIN words USING (doc_id) LEFT JOIN kept USING (doc_id) LEFT JOIN counted USING (doc_id)
