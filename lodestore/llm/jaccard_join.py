@@ -2,10 +2,11 @@
 
 Plan, with no all-pairs step and no per-pair shuffle of n-gram sets:
 
-1. Each text becomes the set of its word n-grams' hashes. Texts with equal sets share one key,
-   so exact copies cost one set. A mapper sends each reducer its range of hashes as one packed
-   blob of 5 bytes an n-gram: there are reducers * 2**40 hashes, so the chance that two
-   n-grams have one stays the same at any size.
+1. Each text becomes the set of its word n-grams' hashes. Texts with equal sets share one key; a
+   task sends each key's set once, so a text that a third of all rows repeat costs a set a task.
+   A mapper sends each reducer its range of hashes as one packed blob of 5 bytes an n-gram: there
+   are reducers * 2**40 hashes, and reducers grow with the input. Equal hashes count as equal
+   n-grams. Which document has which key travels beside, 16 bytes a document, and isn't grouped.
 2. A reducer sees every posting list of its range, so it knows each n-gram's exact document
    frequency. N-grams in one set only can't be in an intersection: they stay behind, and only
    their number counts. The others go back to their key with their frequency.
@@ -15,28 +16,32 @@ Plan, with no all-pairs step and no per-pair shuffle of n-gram sets:
    n-gram form components; a component's labels fill bins of SUB_BLOCK sets, big labels are
    split. Blocks are the bins, and the pairs of bins whose labels meet.
 5. A block joins its sets: prefix n-grams give candidates, then the length, positional and
-   suffix filters, then one exact count a pair. Every pair belongs to exactly one block.
+   suffix filters, then one exact count a pair. Every pair belongs to exactly one block. For
+   classes() a block gives each set's number of linked documents and a spanning forest of its
+   links, so its result grows with the sets and not with the pairs.
 
 Defined results: null text or text without a token has no n-grams and no partner; a text of
 fewer than n tokens counts as one n-gram of all its tokens; a null doc_id is left out (it can't
-be named in a pair); rows with equal doc_id and text count once, and a doc_id is never paired
-with itself (of several texts under one doc_id, the most similar counts); other columns are
-ignored; an empty table gives no pairs.
+be named); rows with equal doc_id and text count once; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, mix, partitions, slices, spare, tokenize, trim
+from ._common import buckets_for, cut, mix, slices, spare, tokenize, trim
 
 N, THRESHOLD = 3, 0.5
 #: Sets in a sub-block; two meet in a block, so memory is bounded by twice as many sets.
 SUB_BLOCK = 1500
+#: Of the two columns, by the optimizer's estimate, to a bucket of n-grams.
+BUCKET_BYTES = 8 << 20
 _LOW = np.uint64((1 << 40) - 1)
 
 
@@ -75,42 +80,44 @@ def _unpack(b: bytes, bucket: int) -> np.ndarray:
 
 
 def _mapper(n: int, reducers: int):
-    """Arrow batches of (doc_id, text) to (bucket, keys, sizes, counts, grams, member_key, member_id)."""
+    """Arrow batches of (doc_id, text) to (bucket, keys, sizes, counts, grams, member_key, member_id); key 0: no n-gram."""
 
     def run(batches):
+        sent: set[int] = set()
         for batch in batches:
             for part in slices(batch, 1):
-                ids, m = part.column(0).to_numpy(zero_copy_only=False), part.num_rows
+                ids, m = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), part.num_rows
                 doc, h = gram_sets(part.column(1).to_pylist(), n, reducers)
-                if not len(h):
-                    continue
                 size = np.bincount(doc, minlength=m)
-                has = np.flatnonzero(size)
                 key = np.zeros(m, np.uint64)
                 np.add.at(key, doc, mix(h + np.uint64(0x51ED27)))
-                key = mix(key + size.astype(np.uint64))
+                key = np.where(size > 0, np.maximum(mix(key + size.astype(np.uint64)), np.uint64(1)), np.uint64(0))
+                new = np.zeros(m, bool)
+                for d, k in enumerate(key.tolist()):
+                    if k and k not in sent:
+                        sent.add(k)
+                        new[d] = True
+                h, doc = h[new[doc]], doc[new[doc]]
                 bucket = (h >> np.uint64(40)).astype(np.int64)
                 order = np.lexsort((doc, bucket))
                 bs, ds, hs = bucket[order], doc[order], h[order]
                 edge = np.flatnonzero(np.diff(bs, prepend=-1))
-                home = (key[has] % np.uint64(reducers)).astype(np.int64)
-                rows = {k: [] for k in ("bucket", "keys", "sizes", "counts", "grams", "member_key", "member_id")}
-                spans = {int(bs[e]): (e, f) for e, f in zip(edge, [*edge[1:], len(bs)])}
-                by_home = np.argsort(home, kind="stable")
-                home_at = np.searchsorted(home[by_home], np.arange(reducers + 1))
-                for r in range(reducers):
-                    e, f = spans.get(r, (0, 0))
-                    mine = has[by_home[home_at[r] : home_at[r + 1]]]
-                    if e == f and not len(mine):
-                        continue
+                rows = {k: [] for k in _SCHEMA_1.names}
+                for e, f in zip(edge, np.append(edge[1:], len(bs))):
                     at = np.flatnonzero(np.diff(ds[e:f], prepend=-1))
-                    rows["bucket"].append(r)
+                    rows["bucket"].append(int(bs[e]))
                     rows["keys"].append(key[ds[e:f][at]].tobytes())
                     rows["sizes"].append(size[ds[e:f][at]].astype(np.int32).tobytes())
                     rows["counts"].append(np.diff(at, append=f - e).astype(np.int32).tobytes())
                     rows["grams"].append(_pack(hs[e:f]))
-                    rows["member_key"].append(key[mine].tobytes())
-                    rows["member_id"].append(ids[mine].astype(np.int64).tobytes())
+                    rows["member_key"].append(b"")
+                    rows["member_id"].append(b"")
+                # any bucket will do for the members: they are passed on, not grouped
+                rows["bucket"].append(int(mix(ids[:1].astype(np.uint64))[0] % np.uint64(reducers)))
+                for k in ("keys", "sizes", "counts", "grams"):
+                    rows[k].append(b"")
+                rows["member_key"].append(key.tobytes())
+                rows["member_id"].append(ids.tobytes())
                 yield pa.RecordBatch.from_pydict(rows, schema=_SCHEMA_1)
         trim()
 
@@ -153,17 +160,18 @@ def _frequencies(homes: int):
         two = df > 1
         g, m, k, df, low = g[two], m[two], k[two], df[two], low[two]
         sizes = _join(pdf["sizes"], np.int32)[m]
-        mk, mi = _join(pdf["member_key"], np.uint64), _join(pdf["member_id"], np.int64)
-        h1, h2 = (k >> np.uint64(16)) % np.uint64(homes), (mk >> np.uint64(16)) % np.uint64(homes)
-        o1, o2 = np.lexsort((g, k, h1)), np.argsort(h2, kind="stable")
-        e1, e2 = np.searchsorted(h1[o1], np.arange(homes + 1)), np.searchsorted(h2[o2], np.arange(homes + 1))
+        h = (k >> np.uint64(16)) % np.uint64(homes)
+        o = np.lexsort((g, k, h))
+        e = np.searchsorted(h[o], np.arange(homes + 1))
         out = []
-        for r in range(homes):
-            a, b = o1[e1[r] : e1[r + 1]], o2[e2[r] : e2[r + 1]]
-            if len(a) or len(b):
-                first = np.flatnonzero(np.concatenate([[True], k[a][1:] != k[a][:-1]])) if len(a) else np.zeros(0, np.int64)
-                count = np.diff(first, append=len(a)).astype(np.int32)
-                out.append((r, bucket, k[a][first].tobytes(), sizes[a][first].tobytes(), count.tobytes(), _pack(g[a]), df[a].astype(np.int32).tobytes(), (low[a] >> np.uint64(32)).astype(np.uint32).tobytes(), mk[b].tobytes(), mi[b].tobytes()))
+        for r in np.flatnonzero(np.diff(e)):
+            a = o[e[r] : e[r + 1]]
+            first = np.flatnonzero(np.concatenate([[True], k[a][1:] != k[a][:-1]]))
+            count = np.diff(first, append=len(a)).astype(np.int32)
+            out.append((r, bucket, k[a][first].tobytes(), sizes[a][first].tobytes(), count.tobytes(), _pack(g[a]), df[a].astype(np.int32).tobytes(), (low[a] >> np.uint64(32)).astype(np.uint32).tobytes(), b"", b""))
+        mk, mi = b"".join(pdf["member_key"]), b"".join(pdf["member_id"])
+        if mk:
+            out.append((-1 - bucket, bucket, b"", b"", b"", b"", b"", b"", mk, mi))
         trim()
         return pd.DataFrame(out, columns=["home", "bucket", "keys", "sizes", "counts", "grams", "df", "low", "member_key", "member_id"])
 
@@ -175,14 +183,12 @@ def prefix_length(size: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def _assemble(threshold: float):
-    """Keys of a home: members, and their shared n-grams rare-first with the prefix's share of them."""
+    """Keys of a home with their shared n-grams rare-first and the prefix's share of them; below home 0, members as they are."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        mk, mi = _join(pdf["member_key"], np.uint64), _join(pdf["member_id"], np.int64)
-        order = np.lexsort((mi, mk))
-        mk, mi = mk[order], mi[order]
-        new = np.concatenate([[True], (mk[1:] != mk[:-1]) | (mi[1:] != mi[:-1])]) if len(mk) else np.zeros(0, bool)
-        mk, mi = mk[new], mi[new]
+        columns = ["key", "size", "prefix", "label", "grams", "df", "member_key", "member_id"]
+        if pdf["home"].iloc[0] < 0:
+            return pd.DataFrame([(None, 0, 0, None, None, None, mk, mi) for mk, mi in zip(pdf["member_key"], pdf["member_id"])], columns=columns)
         counts = _join(pdf["counts"], np.int32)
         k, size = np.repeat(_join(pdf["keys"], np.uint64), counts), np.repeat(_join(pdf["sizes"], np.int32), counts)
         g = np.concatenate([_unpack(x, int(r)) for x, r in zip(pdf["grams"], pdf["bucket"])])
@@ -193,25 +199,24 @@ def _assemble(threshold: float):
         end = np.append(start[1:], len(k))
         whole = size[start].astype(np.int64)
         prefix = np.minimum(prefix_length(whole, threshold) - (whole - (end - start)), end - start)
-        shared = {}
+        out = []
         for s, e, p, n in zip(start, end, prefix, whole):
             if p > 0:
-                shared[int(k[s])] = (int(n), int(p), int(low[s : s + p].min()), g[s:e].tobytes(), df[s:e].tobytes())
-        out = []
-        at = np.flatnonzero(np.concatenate([[True], mk[1:] != mk[:-1]])) if len(mk) else np.zeros(0, np.int64)
-        for s, e in zip(at, np.append(at[1:], len(mk))):
-            key = int(mk[s])
-            found = shared.get(key)
-            if found or e - s > 1:
-                n, p, label, grams, dfs = found or (0, 0, 0, b"", b"")
-                out.append((np.uint64(key).astype(np.int64), mi[s:e], n, p, label, grams, dfs))
+                out.append((k[s].astype(np.int64), int(n), int(p), int(low[s : s + p].min()), g[s:e].tobytes(), df[s:e].tobytes(), None, None))
         trim()
-        return pd.DataFrame(out, columns=["key", "doc_ids", "size", "prefix", "label", "grams", "df"])
+        return pd.DataFrame(out, columns=columns)
 
     return run
 
 
-_DDL_3 = "key long, doc_ids array<long>, size int, prefix int, label long, grams binary, df binary"
+def _members(batches):
+    """(key, doc_id) of the packed members."""
+    for pdf in batches:
+        for k, i in zip(pdf["member_key"], pdf["member_id"]):
+            yield pd.DataFrame({"key": np.frombuffer(k, np.int64), "doc_id": np.frombuffer(i, np.int64)})
+
+
+_DDL_3 = "key long, size int, prefix int, label long, grams binary, df binary, member_key binary, member_id binary"
 
 
 def _prefix_entries(reducers: int):
@@ -254,14 +259,14 @@ def _meetings(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(sorted(pairs), columns=["la", "lb"])
 
 
-def join_sets(sets: list[tuple[int, int, np.ndarray, np.ndarray]], prefixes: list[int], side: np.ndarray | None, threshold: float) -> list[tuple[int, int, float]]:
-    """Pairs (i, j, Jaccard) of sets given as (key, size, shared n-grams, their frequencies).
+def join_sets(sets: list[tuple[int, int, np.ndarray, np.ndarray]], prefixes: list[int], side: np.ndarray | None, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For a set, its partners and their Jaccard similarity, each pair once; sets are (key, size, shared n-grams, their frequencies).
 
     side: 0 or 1 for each set where only pairs across count, None for all pairs.
     """
     m = len(sets)
     if m < 2:
-        return []
+        return
     size = np.array([s[1] for s in sets], np.int64)
     count = np.array([len(s[2]) for s in sets], np.int64)
     offset = np.zeros(m + 1, np.int64)
@@ -287,7 +292,6 @@ def join_sets(sets: list[tuple[int, int, np.ndarray, np.ndarray]], prefixes: lis
     rank = np.empty(m, np.int64)  # a pair is looked at from its set of higher rank
     rank[np.lexsort((np.arange(m), size))] = np.arange(m)
     mark = np.zeros(v + 1, np.int32)
-    out = []
     for x in range(m):
         own = number[offset[x] : offset[x] + prefix[x]]
         if not len(own):
@@ -338,52 +342,54 @@ def join_sets(sets: list[tuple[int, int, np.ndarray, np.ndarray]], prefixes: lis
         both = np.add.reduceat(mark[number[idx]], np.concatenate([[0], np.cumsum(lens)[:-1]]))
         mark[mine] = 0
         jac = both / (size[x] + size[y] - both)
-        for j, s in zip(y[jac >= threshold - 1e-12], jac[jac >= threshold - 1e-12]):
-            out.append((x, int(j), float(s)))
-    return out
+        ok = jac >= threshold - 1e-12
+        if ok.any():
+            yield x, y[ok], jac[ok]
 
 
 def _blocks(threshold: float, forest: bool):
-    """Join the blocks of a group. forest: only edges that connect, instead of all pairs."""
+    """Join the blocks of a group: all pairs (ka, kb, jaccard), or with forest edges (ka, kb) that connect, and links of ka, kb = 0."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for (ba, bb), part in pdf.groupby(["ba", "bb"], sort=False):
             part = part.drop_duplicates("key")
-            sets = [(int(k), int(n), np.frombuffer(g, np.uint64), np.frombuffer(d, np.int32)) for k, n, g, d in zip(part["key"], part["size"], part["grams"], part["df"])]
+            key = part["key"].to_numpy()
+            sets = [(int(k), int(n), np.frombuffer(g, np.uint64), np.frombuffer(d, np.int32)) for k, n, g, d in zip(key, part["size"], part["grams"], part["df"])]
             side = None if ba == bb else (part["bin"].to_numpy() == bb).astype(np.int8)
-            pairs = join_sets(sets, part["prefix"].tolist(), side, threshold)
-            if forest:
-                root = list(range(len(sets)))
-
-                def find(i: int) -> int:
-                    while root[i] != i:
-                        root[i] = root[root[i]]
-                        i = root[i]
-                    return i
-
-                kept = []
-                for i, j, s in pairs:
-                    a, b = find(i), find(j)
-                    if a != b:
-                        root[a] = b
-                        kept.append((i, j, s))
-                pairs = kept
-            out += [(min(sets[i][0], sets[j][0]), max(sets[i][0], sets[j][0]), s) for i, j, s in pairs]
+            found = join_sets(sets, part["prefix"].tolist(), side, threshold)
+            if not forest:
+                for x, y, jac in found:
+                    out.append(pd.DataFrame({"ka": np.minimum(key[x], key[y]), "kb": np.maximum(key[x], key[y]), "jaccard": jac, "links": 0}))
+                continue
+            copies = part["copies"].to_numpy(np.int64)
+            links, tree = np.zeros(len(sets), np.int64), np.arange(len(sets))
+            ends: list[tuple[int, int]] = []
+            for x, y, _ in found:
+                links[x] += copies[y].sum()
+                links[y] += copies[x]
+                others, first = np.unique(tree[y], return_index=True)
+                ends += [(x, int(y[f])) for t, f in zip(others, first) if t != tree[x]]
+                tree[np.isin(tree, others)] = tree[x]
+            at = np.flatnonzero(links)
+            out.append(pd.DataFrame({"ka": key[at], "kb": 0, "jaccard": 1.0, "links": links[at]}))
+            if ends:
+                a, b = key[np.array(ends)].T
+                out.append(pd.DataFrame({"ka": a, "kb": b, "jaccard": 1.0, "links": 0}))
         trim()
-        return pd.DataFrame(out, columns=["ka", "kb", "jaccard"])
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"ka": np.zeros(0, np.int64), "kb": np.zeros(0, np.int64), "jaccard": np.zeros(0), "links": np.zeros(0, np.int64)})
 
     return run
 
 
 def set_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, forest: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(sets, pairs): sets (key, doc_ids, ...) with a possible partner or several members; pairs (ka, kb, jaccard)."""
-    spark = docs.sparkSession
-    reducers = partitions(spark)
-    named = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).where("doc_id is not null and text is not null")
+    """(members, found): members (key, doc_id), key 0 without n-grams; found (ka, kb, jaccard, links) of _blocks."""
+    named = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).where("doc_id is not null")
+    reducers = buckets_for(named, BUCKET_BYTES)
     sent = named.mapInArrow(_mapper(n, reducers), _DDL_1)
     back = sent.groupBy("bucket").applyInPandas(_frequencies(reducers), _DDL_2)
     sets = cut(back.groupBy("home").applyInPandas(_assemble(threshold), _DDL_3))
+    members = sets.where("member_key is not null").select("member_key", "member_id").mapInPandas(_members, "key long, doc_id long").distinct()
     live = sets.where("prefix > 0")
     entries = live.select("grams", "prefix", "label").mapInPandas(_prefix_entries(reducers), "bucket int, grams binary, labels binary")
     met = entries.groupBy("bucket").applyInPandas(_meetings, "la long, lb long").distinct()
@@ -401,9 +407,11 @@ def set_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, forest:
     ends = grid.withColumn("bin", F.explode(F.array_distinct(F.array("ba", "bb"))))
     sub = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
     placed = live.join(labels.select("label", "parts"), "label").withColumn("sub", sub).join(units.select("label", "sub", "bin"), ["label", "sub"])
-    sent_sets = placed.select("key", "size", "prefix", "grams", "df", "bin").join(ends, "bin")
-    grouped = sent_sets.withColumn("work", F.pmod(F.xxhash64("ba", "bb"), F.lit(reducers))).groupBy("work")
-    return sets, grouped.applyInPandas(_blocks(threshold, forest), "ka long, kb long, jaccard double")
+    placed = placed.select("key", "size", "prefix", "grams", "df", "bin")
+    if forest:
+        placed = placed.join(members.groupBy("key").agg(F.count("*").alias("copies")), "key")
+    grouped = placed.join(ends, "bin").withColumn("work", F.pmod(F.xxhash64("ba", "bb"), F.lit(reducers))).groupBy("work")
+    return members, grouped.applyInPandas(_blocks(threshold, forest), "ka long, kb long, jaccard double, links long")
 
 
 def components(edges: DataFrame, a: str = "la", b: str = "lb") -> DataFrame:
@@ -424,30 +432,39 @@ def components(edges: DataFrame, a: str = "la", b: str = "lb") -> DataFrame:
             return roots
 
 
-def near_duplicate_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_a, doc_b, jaccard), doc_a < doc_b: all pairs of documents of at least this similarity."""
-    sets, pairs = set_pairs(docs, n, threshold)
-    members = sets.select("key", "doc_ids")
-    wide = pairs.join(members.select(F.col("key").alias("ka"), F.col("doc_ids").alias("xa")), "ka").join(members.select(F.col("key").alias("kb"), F.col("doc_ids").alias("xb")), "kb")
-    across = wide.select(F.explode("xa").alias("x"), "xb", "jaccard").select("x", F.explode("xb").alias("y"), "jaccard")
-    within = members.where(F.size("doc_ids") > 1).select(F.posexplode("doc_ids").alias("i", "x"), "doc_ids").select("x", F.explode(F.expr("slice(doc_ids, i + 2, size(doc_ids))")).alias("y"), F.lit(1.0).alias("jaccard"))
-    both = across.unionByName(within).where("x <> y")
-    return both.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), F.round("jaccard", 6).alias("jaccard"))
+def near_duplicate_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members). members: (doc_id, same_as), the least doc_id with the same n-grams.
+
+    pairs: (doc_a, doc_b, jaccard), doc_a < doc_b, between such least ones, so copies aren't
+    expanded and no link between different texts is lost.
+    """
+    members, found = set_pairs(docs, n, threshold)
+    members = members.where("key <> 0")
+    least = members.groupBy("key").agg(F.min("doc_id").alias("least"))
+    pairs = found.join(least.select(F.col("key").alias("ka"), F.col("least").alias("x")), "ka").join(least.select(F.col("key").alias("kb"), F.col("least").alias("y")), "kb").where("x <> y")
+    pairs = pairs.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), F.round("jaccard", 6).alias("jaccard"))
+    return pairs, members.join(least, "key").select("doc_id", F.col("least").alias("same_as"))
 
 
-def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, keeper): connected groups of near duplicates, named by their least doc_id; only documents that have a partner.
+def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """A row for each doc_id: (doc_id, class_id, n_links).
 
-    Components over a spanning forest of each block, so its edges grow with the sets and not
-    with the pairs.
+    class_id: the least doc_id of the connected group of documents of at least this similarity,
+    its own where it has no partner. n_links: the other documents it is as similar to, copies too.
+    A doc_id with several different texts gets the least of their classes and the sum of their
+    links; there its own texts count as others.
     """
-    sets, pairs = set_pairs(docs, n, threshold, forest=True)
-    members = sets.select("key", "doc_ids")
-    roots = components(pairs, "ka", "kb").withColumnRenamed("label", "key")
-    named = members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least = named.groupBy("root").agg(F.min(F.array_min("doc_ids")).alias("low"))
-    found = named.join(least, "root").select(F.explode("doc_ids").alias("doc_id"), "low")
-    return found.groupBy("doc_id").agg(F.min("low").alias("keeper"))
+    members, found = set_pairs(docs, n, threshold, forest=True)
+    found = cut(found)
+    own = members.where("key <> 0").groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
+    links = found.where("kb = 0").groupBy(F.col("ka").alias("key")).agg(F.sum("links").alias("links"))
+    roots = components(found.where("kb <> 0"), "ka", "kb").withColumnRenamed("label", "key")
+    keys = own.join(links, "key", "left").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    keys = cut(keys.select("key", "root", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
+    low = keys.groupBy("root").agg(F.min("least").alias("low"))
+    lone = members.where("key = 0").select("doc_id", F.col("doc_id").alias("low"), F.lit(0).cast("long").alias("links"))
+    each = members.where("key <> 0").join(keys.join(low, "root").select("key", "low", "links"), "key").select("doc_id", "low", "links").unionByName(lone)
+    return each.groupBy("doc_id").agg(F.min("low").alias("class_id"), F.sum("links").alias("n_links"))
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
@@ -456,5 +473,5 @@ def drop_near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHO
     Rows that repeat a doc_id keep or lose together; rows with a null doc_id stay.
     """
     name = spare(docs, "gone")
-    gone = groups(docs, n, threshold).where("keeper < doc_id").select(F.col("doc_id").alias(name))
+    gone = classes(docs, n, threshold).where("class_id < doc_id").select(F.col("doc_id").alias(name))
     return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")

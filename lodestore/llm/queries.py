@@ -71,12 +71,12 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of documents whose word 3-grams have a Jaccard similarity of at least 0.5."""
-    return jaccard_join.near_duplicate_pairs(table(spark, sf_dir, "documents"))
+    """Each document's class and number of links, where a link is a word 3-gram Jaccard similarity of at least 0.5."""
+    return jaccard_join.classes(table(spark, sf_dir, "documents"))
 
 
 OP10_SQL = rf"""
-WITH words AS (
+WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(lower({_APART}), '{_TOKEN}') AS w FROM documents WHERE doc_id IS NOT NULL
 ), grams AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {jaccard_join.N}
@@ -87,10 +87,15 @@ WITH words AS (
 ), overlap AS (
   SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS c
   FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
-)
-SELECT doc_a, doc_b, round(c / (x.n + y.n - c)::DOUBLE, 6) AS jaccard
-FROM overlap JOIN sizes x ON x.doc_id = doc_a JOIN sizes y ON y.doc_id = doc_b
-WHERE c / (x.n + y.n - c)::DOUBLE >= {jaccard_join.THRESHOLD} - 1e-12
+), pairs AS (
+  SELECT doc_a, doc_b FROM overlap JOIN sizes x ON x.doc_id = doc_a JOIN sizes y ON y.doc_id = doc_b
+  WHERE c / (x.n + y.n - c)::DOUBLE >= {jaccard_join.THRESHOLD} - 1e-12
+), links AS (SELECT doc_a AS a, doc_b AS b FROM pairs UNION SELECT doc_b, doc_a FROM pairs
+), reach AS (SELECT DISTINCT a AS doc_id, a AS low FROM links UNION SELECT b, low FROM reach JOIN links ON a = doc_id
+), counts AS (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a
+), lows AS (SELECT doc_id, min(low) AS class_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0)::BIGINT AS n_links
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) LEFT JOIN lows USING (doc_id) LEFT JOIN counts USING (doc_id)
 """
 
 

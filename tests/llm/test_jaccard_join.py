@@ -7,7 +7,8 @@ import pytest
 
 from lodestore.llm import jaccard_join as J
 
-TOKEN = re.compile(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+#: words, and ideographs one by one
+TOKEN = re.compile(r"[一-鿿ぁ-ヿ]|[^\W_一-鿿ぁ-ヿ]+")
 
 
 def brute(rows, n, threshold):
@@ -46,7 +47,59 @@ def made(seed, docs=120):
 
 def pairs(spark, rows, n, threshold):
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    return {(r.doc_a, r.doc_b): r.jaccard for r in J.near_duplicate_pairs(df, n, threshold).collect()}
+    found, members = J.near_duplicate_pairs(df, n, threshold)
+    same = {}
+    for r in members.collect():
+        same.setdefault(r.same_as, set()).add(r.doc_id)
+    out = {}
+    for a, b, s in [*(tuple(r) for r in found.collect()), *((a, a, 1.0) for a in same)]:
+        for x in same[a]:
+            for y in same[b]:
+                if x != y:
+                    out[min(x, y), max(x, y)] = max(s, out.get((min(x, y), max(x, y)), 0))
+    return out
+
+
+def components(ids, found):
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in found:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize("seed,block", [(3, 1500), (5, 5), (8, 1)])
+def test_classes(spark, monkeypatch, seed, block):
+    monkeypatch.setattr(J, "SUB_BLOCK", block)
+    rows = made(seed, 90) + [(900, None), (901, ""), (902, "..."), (None, "w1 w2"), (3, made(seed, 90)[3][1])]
+    found = brute(rows, 3, 0.5)
+    ids = {i for i, _ in rows if i is not None}
+    want = {i: (c, sum(i in p for p in found)) for i, c in components(ids, found).items()}
+    out = J.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in out} == want and len(out) == len(want)
+    assert sum(n > 0 for _, n in want.values()) > 20
+
+
+def test_copies_cost_no_pairs(spark):
+    rows = [(i, "one text that very many documents have in common") for i in range(3000)] + [(5000, "one text that very many documents have in common now")]
+    out = {r.doc_id: (r.class_id, r.n_links) for r in J.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    assert out == {i: (0, 3000) for i, _ in rows}
+
+
+def test_words_of_any_script(spark):
+    a = "他说，今天的天气很好，我们一起去公园散步吧。"
+    b = a.replace("公园", "学校")
+    quoted = "one two three four “five” six – seven eight nine ten"
+    rows = [(1, a), (2, b), (3, "天气"), (4, quoted), (5, quoted.replace("“", '"').replace("”", '"').replace("–", "-"))]
+    found = brute(rows, 3, 0.5)
+    assert set(found) == {(1, 2), (4, 5)} and found[4, 5] == 1.0
+    assert pairs(spark, rows, 3, 0.5) == found
 
 
 @pytest.mark.parametrize("n,threshold", [(3, 0.5), (1, 0.7), (2, 0.3)])
@@ -72,7 +125,7 @@ def test_join_sets_across_sides():
         sets.append((k, len(s), np.array(shared, np.uint64), np.array([count[int(g)] for g in shared], np.int32)))
         prefixes.append(max(0, min(p, len(shared))))
     side = np.array([k % 2 for k in range(40)])
-    got = {(min(a, b), max(a, b)): s for a, b, s in J.join_sets(sets, prefixes, side, 0.6)}
+    got = {(min(a, int(b)), max(a, int(b))): s for a, y, jac in J.join_sets(sets, prefixes, side, 0.6) for b, s in zip(y, jac)}
     want = {(a, b): len(set(raw[a]) & set(raw[b])) / len(set(raw[a]) | set(raw[b])) for a in range(40) for b in range(a) if side[a] != side[b]}
     assert {(min(k), max(k)) for k, v in want.items() if v >= 0.6} == set(got)
 
@@ -94,20 +147,10 @@ def test_sub_blocks(spark, monkeypatch):
 def test_groups_and_columns(spark):
     rows = made(4)
     df = spark.createDataFrame([(i, t, "en", i) for i, t in rows] + [(None, "x", "en", 1)], "doc_id long, text string, key string, __gone long")
-    found = brute(rows, 3, 0.5)
-    root = {i: i for i, _ in rows}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for a, b in found:
-        a, b = find(a), find(b)
-        root[max(a, b)] = min(a, b)
+    kept = sorted(i for i, c in components([i for i, _ in rows], brute(rows, 3, 0.5)).items() if c == i)
     out = J.drop_near_duplicates(df)
     assert out.columns == df.columns
-    assert sorted(r.doc_id for r in out.collect() if r.doc_id is not None) == sorted(i for i in root if find(i) == i)
+    assert sorted(r.doc_id for r in out.collect() if r.doc_id is not None) == kept
     assert out.where("doc_id is null").count() == 1
 
 
@@ -117,5 +160,5 @@ def test_short_near_copy_with_scattered_edits(spark):
     near[16] = "y"
     rows = [(1, " ".join(words)), (2, " ".join(near))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {(r.doc_a, r.doc_b): r.jaccard for r in J.near_duplicate_pairs(df).collect()} == brute(rows, 3, 0.5) == {(1, 2): round(16 / 28, 6)}
+    assert pairs(spark, rows, 3, 0.5) == brute(rows, 3, 0.5) == {(1, 2): round(16 / 28, 6)}
     assert [r.doc_id for r in J.drop_near_duplicates(df).collect()] == [1]
