@@ -7,15 +7,18 @@ Plan, with no all-pairs step and no per-pair shuffle of n-gram sets:
    A mapper sends each reducer its range of hashes as one packed blob of 5 bytes an n-gram: there
    are reducers * 2**40 hashes, and reducers grow with the input. Equal hashes count as equal
    n-grams. Which document has which key travels beside, 16 bytes a document, and isn't grouped.
-2. A reducer sees every posting list of its range, so it knows each n-gram's exact document
-   frequency. N-grams in one set only can't be in an intersection: they stay behind, and only
-   their number counts. The others go back to their key with their frequency.
+2. A reducer sees every posting list of its range, so it knows each n-gram's document frequency
+   (kept as an eighth of an octave). N-grams in one set only can't be in an intersection: they
+   stay behind, and only their number counts. The others go back to their key.
 3. Per key: n-grams sorted rare-first (ties by hash); singletons fill the front of the prefix.
    Keys whose whole prefix is singletons have no partner and end here.
 4. A key's label is the least key of its prefix's postings. Labels that meet at some prefix
    n-gram form components; a component's labels fill bins of SUB_BLOCK sets, big labels are
-   split. Blocks are the bins, and the pairs of bins whose labels meet.
-5. A block joins its sets: prefix n-grams give candidates, then the length, positional and
+   split. So most sets that share a prefix n-gram share a bin.
+5. Blocks are bins, and pairs of bins. By the postings of the prefix n-grams, a set goes to the
+   blocks in which it has a possible partner: a set of that bin with such an n-gram and a size
+   that the length filter admits.
+6. A block joins its sets: prefix n-grams give candidates, then the length, positional and
    suffix filters, then one exact count a pair. Every pair belongs to exactly one block. For
    classes() a block gives each set's number of linked documents and a spanning forest of its
    links, so its result grows with the sets and not with the pairs.
@@ -158,6 +161,7 @@ def _frequencies(homes: int):
         low = np.repeat(k[start], df)  # keys are sorted within an n-gram
         df = np.repeat(df, df)
         two = df > 1
+        df = np.floor(np.log2(np.maximum(df, 1)) * 8).astype(np.uint8)
         g, m, k, df, low = g[two], m[two], k[two], df[two], low[two]
         sizes = _join(pdf["sizes"], np.int32)[m]
         h = (k >> np.uint64(16)) % np.uint64(homes)
@@ -168,7 +172,7 @@ def _frequencies(homes: int):
             a = o[e[r] : e[r + 1]]
             first = np.flatnonzero(np.concatenate([[True], k[a][1:] != k[a][:-1]]))
             count = np.diff(first, append=len(a)).astype(np.int32)
-            out.append((r, bucket, k[a][first].tobytes(), sizes[a][first].tobytes(), count.tobytes(), _pack(g[a]), df[a].astype(np.int32).tobytes(), (low[a] >> np.uint64(32)).astype(np.uint32).tobytes(), b"", b""))
+            out.append((r, bucket, k[a][first].tobytes(), sizes[a][first].tobytes(), count.tobytes(), _pack(g[a]), df[a].tobytes(), (low[a] >> np.uint64(32)).astype(np.uint32).tobytes(), b"", b""))
         mk, mi = b"".join(pdf["member_key"]), b"".join(pdf["member_id"])
         if mk:
             out.append((-1 - bucket, bucket, b"", b"", b"", b"", b"", b"", mk, mi))
@@ -192,7 +196,7 @@ def _assemble(threshold: float):
         counts = _join(pdf["counts"], np.int32)
         k, size = np.repeat(_join(pdf["keys"], np.uint64), counts), np.repeat(_join(pdf["sizes"], np.int32), counts)
         g = np.concatenate([_unpack(x, int(r)) for x, r in zip(pdf["grams"], pdf["bucket"])])
-        df, low = _join(pdf["df"], np.int32), _join(pdf["low"], np.uint32)
+        df, low = _join(pdf["df"], np.uint8), _join(pdf["low"], np.uint32)
         order = np.lexsort((g, df, k))
         k, g, df, size, low = k[order], g[order], df[order], size[order], low[order]
         start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
@@ -241,22 +245,82 @@ def _prefix_entries(reducers: int):
 
 
 def _meetings(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of labels that share a prefix n-gram."""
+    """Pairs of labels that connect all labels that share a prefix n-gram."""
     g, lab = _join(pdf["grams"], np.uint64), _join(pdf["labels"], np.uint32)
     order = np.lexsort((lab, g))
-    g, lab = g[order], lab[order]
-    new = np.concatenate([[True], (g[1:] != g[:-1]) | (lab[1:] != lab[:-1])]) if len(g) else np.zeros(0, bool)
-    g, lab = g[new], lab[new]
-    start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
-    n = np.diff(start, append=len(g))
-    seen: set[tuple[int, ...]] = set()
-    pairs: set[tuple[int, int]] = set()
-    for s, c in zip(start[n > 1], n[n > 1]):
-        group = tuple(lab[s : s + c].tolist())
-        if group not in seen:
-            seen.add(group)
-            pairs.update((a, b) for i, a in enumerate(group) for b in group[i + 1 :])
-    return pd.DataFrame(sorted(pairs), columns=["la", "lb"])
+    g, lab = g[order], lab[order].astype(np.int64)
+    next_to = (g[1:] == g[:-1]) & (lab[1:] != lab[:-1])
+    edges = np.unique(np.stack([lab[:-1][next_to], lab[1:][next_to]]), axis=1) if next_to.any() else np.zeros((2, 0), np.int64)
+    return pd.DataFrame({"la": edges[0], "lb": edges[1]})
+
+
+def _postings(reducers: int):
+    """Postings of the prefixes by range of n-grams."""
+
+    def run(batches):
+        for pdf in batches:
+            count = pdf["prefix"].to_numpy()
+            g = np.concatenate([np.frombuffer(x, np.uint64)[:p] for x, p in zip(pdf["grams"], count)]) if len(pdf) else np.zeros(0, np.uint64)
+            row = np.repeat(np.arange(len(pdf)), count)
+            key, size, at = pdf["key"].to_numpy(np.int64), pdf["size"].to_numpy(np.int32), pdf["bin"].to_numpy(np.int64)
+            bucket = (g >> np.uint64(40)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            edge = np.searchsorted(bucket[order], np.arange(reducers + 1))
+            rows = []
+            for r in np.flatnonzero(np.diff(edge)):
+                o = order[edge[r] : edge[r + 1]]
+                own, index = np.unique(row[o], return_inverse=True)
+                rows.append((r, _pack(g[o]), index.astype(np.uint32).tobytes(), key[own].tobytes(), size[own].tobytes(), at[own].tobytes()))
+            yield pd.DataFrame(rows, columns=["bucket", "grams", "owners", "keys", "sizes", "bins"])
+
+    return run
+
+
+def _routes(threshold: float):
+    """The blocks (ba, bb) in which a key has a possible partner by the n-grams of a range."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        bucket = int(pdf["bucket"].iloc[0])
+        first = np.cumsum([0, *(len(k) // 8 for k in pdf["keys"])])
+        own = np.concatenate([np.frombuffer(o, np.uint32) + f for o, f in zip(pdf["owners"], first)])
+        g = _unpack(b"".join(pdf["grams"]), bucket)
+        keys, sizes, bins = _join(pdf["keys"], np.int64), _join(pdf["sizes"], np.int32), _join(pdf["bins"], np.int64)
+        order = np.argsort(g, kind="stable")
+        g, own = g[order], own[order]
+        same = g[1:] == g[:-1]
+        many = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        g, own = g[many], own[many]
+        order = np.lexsort((keys[own], bins[own], g))
+        g, own = g[order], own[order]
+        k, n, b = keys[own], sizes[own].astype(np.float64), bins[own]
+        out = []
+        # runs of one n-gram and one bin
+        run_at = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (b[1:] != b[:-1])])) if len(g) else np.zeros(0, np.int64)
+        length = np.diff(run_at, append=len(g))
+        within = np.repeat(length > 1, length)
+        out.append(np.unique(np.stack([k[within], b[within], b[within]]), axis=1))
+        low, high = (np.minimum.reduceat(n, run_at), np.maximum.reduceat(n, run_at)) if len(g) else (n, n)
+        gram_at = np.flatnonzero(np.concatenate([[True], g[run_at][1:] != g[run_at][:-1]])) if len(g) else np.zeros(0, np.int64)
+        seen: set[bytes] = set()
+        for r, e in zip(gram_at, np.append(gram_at[1:], len(run_at))):
+            if e - r < 2:
+                continue
+            i, j = run_at[r], run_at[e] if e < len(run_at) else len(g)
+            if (name := k[i:j].tobytes()) in seen:
+                continue
+            seen.add(name)
+            step = max(1, (1 << 22) // (e - r))
+            for a in range(i, j, step):
+                z = min(j, a + step)
+                ok = (n[a:z, None] * threshold <= high[r:e] + 1e-9) & (low[r:e] * threshold <= n[a:z, None] + 1e-9) & (b[a:z, None] != b[run_at[r:e]])
+                x, y = np.nonzero(ok)
+                mine, other = b[a:z][x], b[run_at[r:e]][y]
+                out.append(np.stack([k[a:z][x], np.minimum(mine, other), np.maximum(mine, other)]))
+        found = np.unique(np.concatenate(out, axis=1), axis=1)
+        trim()
+        return pd.DataFrame({"key": found[0], "ba": found[1], "bb": found[2]})
+
+    return run
 
 
 def join_sets(sets: list[tuple[int, int, np.ndarray, np.ndarray]], prefixes: list[int], side: np.ndarray | None, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -355,7 +419,7 @@ def _blocks(threshold: float, forest: bool):
         for (ba, bb), part in pdf.groupby(["ba", "bb"], sort=False):
             part = part.drop_duplicates("key")
             key = part["key"].to_numpy()
-            sets = [(int(k), int(n), np.frombuffer(g, np.uint64), np.frombuffer(d, np.int32)) for k, n, g, d in zip(key, part["size"], part["grams"], part["df"])]
+            sets = [(int(k), int(n), np.frombuffer(g, np.uint64), np.frombuffer(d, np.uint8)) for k, n, g, d in zip(key, part["size"], part["grams"], part["df"])]
             side = None if ba == bb else (part["bin"].to_numpy() == bb).astype(np.int8)
             found = join_sets(sets, part["prefix"].tolist(), side, threshold)
             if not forest:
@@ -400,17 +464,14 @@ def set_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, forest:
     units = labels.select("label", F.coalesce("root", "label").alias("root"), F.ceil(F.col("n") / F.col("parts")).alias("n"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("sub"), "parts")
     before = F.sum("n").over(Window.partitionBy("root").orderBy("label", "sub").rowsBetween(Window.unboundedPreceding, -1))
     units = cut(units.withColumn("bin", F.xxhash64("root", F.floor(F.coalesce(before, F.lit(0)) / SUB_BLOCK))))
-    a, b = (units.select(F.col("label").alias(f"l{x}"), F.col("bin").alias(f"b{x}")) for x in "ab")
-    meet = met.join(a, "la").join(b, "lb").unionByName(a.join(b.withColumnRenamed("lb", "la"), "la").withColumn("lb", F.col("la")))
-    meet = meet.select(F.least("ba", "bb").alias("ba"), F.greatest("ba", "bb").alias("bb"))
-    grid = meet.unionByName(units.select(F.col("bin").alias("ba"), F.col("bin").alias("bb"))).distinct()
-    ends = grid.withColumn("bin", F.explode(F.array_distinct(F.array("ba", "bb"))))
     sub = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
-    placed = live.join(labels.select("label", "parts"), "label").withColumn("sub", sub).join(units.select("label", "sub", "bin"), ["label", "sub"])
-    placed = placed.select("key", "size", "prefix", "grams", "df", "bin")
+    homes = live.select("key", "label").join(labels.select("label", "parts"), "label").withColumn("sub", sub).join(units.select("label", "sub", "bin"), ["label", "sub"]).select("key", "bin")
     if forest:
-        placed = placed.join(members.groupBy("key").agg(F.count("*").alias("copies")), "key")
-    grouped = placed.join(ends, "bin").withColumn("work", F.pmod(F.xxhash64("ba", "bb"), F.lit(reducers))).groupBy("work")
+        homes = homes.join(members.groupBy("key").agg(F.count("*").alias("copies")), "key")
+    placed = live.select("key", "size", "prefix", "grams", "df").join(homes, "key")
+    posted = placed.select("key", "size", "prefix", "grams", "bin").mapInPandas(_postings(reducers), "bucket int, grams binary, owners binary, keys binary, sizes binary, bins binary")
+    routes = posted.groupBy("bucket").applyInPandas(_routes(threshold), "key long, ba long, bb long").distinct()
+    grouped = placed.join(routes, "key").withColumn("work", F.pmod(F.xxhash64("ba", "bb"), F.lit(reducers))).groupBy("work")
     return members, grouped.applyInPandas(_blocks(threshold, forest), "ka long, kb long, jaccard double, links long")
 
 
