@@ -12,15 +12,19 @@ on (first_sample, n_samples). encode() writes streams, for tests and for tables
 
 Defined results: a null stream has no blocks; a stream that doesn't start with the marker gives
 one row with ok = false and an error; a damaged frame gives a row with ok = false, null pcm and
-its error, and reading goes on at the next valid header; an empty table has no blocks; repeated
-rows each give theirs; the key column keeps its name, all others are ignored.
+its error, and reading goes on at the next valid header; md5_ok is null where the stream has no
+MD5, and false if a block fails or is missing; an empty table has no blocks; repeated rows each
+give theirs; the key column keeps its name, an output of that name gets "_" at its end, and all
+other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import mul
 
 import numpy as np
 import pandas as pd
@@ -48,10 +52,28 @@ def crc8(data: bytes) -> int:
     return c
 
 
+@functools.cache
+def _crc16_rows() -> np.ndarray:
+    """Row i: the CRC-16 of each byte with i zero bytes after it."""
+    one = np.array(_CRC16, np.uint16)
+    out = np.empty((4096, 256), np.uint16)
+    out[0] = one
+    for i in range(1, len(out)):
+        out[i] = (out[i - 1] << 8) ^ one[out[i - 1] >> 8]
+    return out
+
+
 def crc16(data: bytes) -> int:
-    c, t = 0, _CRC16
-    for b in data:
-        c = ((c << 8) & 0xFFFF) ^ t[(c >> 8) ^ b]
+    """A CRC is linear, so that of a piece is the XOR of what each byte adds; the CRC so far goes into the first two bytes."""
+    rows, c, whole = _crc16_rows(), 0, np.frombuffer(data, np.uint8)
+    for at in range(0, len(whole), len(rows)):
+        part = whole[at : at + len(rows)].copy()
+        if len(part) == 1:
+            c = ((c << 8) & 0xFFFF) ^ _CRC16[(c >> 8) ^ int(part[0])]
+            continue
+        part[0] ^= c >> 8
+        part[1] ^= c & 255
+        c = int(np.bitwise_xor.reduce(rows[np.arange(len(part) - 1, -1, -1), part]))
     return c
 
 
@@ -161,14 +183,22 @@ class _Bits:
 
     def _grow(self, room: int) -> None:
         self.room = room
-        self.bits = np.unpackbits(np.frombuffer(self.data, np.uint8, min(room, len(self.data) - self.base), self.base))
-        ones = np.flatnonzero(self.bits)
-        self.next_one = ones[np.minimum(np.searchsorted(ones, np.arange(len(self.bits))), max(len(ones) - 1, 0))] if len(ones) else np.zeros(len(self.bits), np.int64)
+        raw = np.frombuffer(self.data, np.uint8, min(room, len(self.data) - self.base), self.base)
+        self.n = 8 * len(raw)
+        # the 64 bits from each byte on
+        wide = np.concatenate([raw, np.zeros(8, np.uint8)]).astype(np.uint64)
+        self.words = np.zeros(len(raw) + 1, np.uint64)
+        for k in range(8):
+            self.words |= wide[k : k + len(self.words)] << np.uint64(56 - 8 * k)
+        bits = np.unpackbits(raw)
+        place = np.where(bits, np.arange(self.n, dtype=np.int32), np.int32(self.n))
+        self.next_one = np.minimum.accumulate(place[::-1])[::-1]
+        ones = np.flatnonzero(bits)
         self.last_one = int(ones[-1]) if len(ones) else -1
         self.jumps: dict[int, list[int]] = {}
 
     def need(self, n: int) -> None:
-        if self.p + n > len(self.bits):
+        if self.p + n > self.n:
             if self.base + self.room >= len(self.data):
                 raise FlacError("frame ends early")
             self._grow(max(2 * self.room, (self.p + n) // 8 + 64))
@@ -189,17 +219,16 @@ class _Bits:
 
     def unary(self) -> int:
         while self.p > self.last_one:
-            self.need(len(self.bits) - self.p + 1)
+            self.need(self.n - self.p + 1)
         q = int(self.next_one[self.p]) - self.p
         self.p += q + 1
         return q
 
     def many(self, start: np.ndarray, n: int) -> np.ndarray:
-        """Unsigned numbers of n bits that begin at these bits."""
-        out = np.zeros(len(start), np.int64)
-        for k in range(n):
-            out = out << 1 | self.bits[start + k]
-        return out
+        """Unsigned numbers of n <= 57 bits that begin at these bits."""
+        if not n:
+            return np.zeros(len(start), np.int64)
+        return (self.words[start >> 3] << (start & 7).astype(np.uint64) >> np.uint64(64 - n)).astype(np.int64)
 
     def signed(self, count: int, n: int) -> np.ndarray:
         self.need(count * n)
@@ -223,7 +252,7 @@ class _Bits:
                 break
             self.need(end - self.p + 1)
         starts = np.array(starts, np.int64)
-        one = self.next_one[starts]
+        one = self.next_one[starts].astype(np.int64)
         x = ((one - starts) << k) | self.many(one + 1, k) if count else np.zeros(0, np.int64)
         self.p = p
         return (x >> 1) ^ -(x & 1)
@@ -248,9 +277,13 @@ def _residual(b: _Bits, n: int, order: int) -> np.ndarray:
 
 
 def _predict(warm: np.ndarray, residual: np.ndarray, coef: list[int], shift: int) -> np.ndarray:
-    x, order = warm.tolist(), len(coef)
+    x, back = warm.tolist(), coef[::-1]
+    at = 0
     for r in residual.tolist():
-        x.append(r + (sum(map(int.__mul__, coef, reversed(x[-order:]))) >> shift))
+        x.append(r + (sum(map(mul, back, x[at:])) >> shift))
+        at += 1
+    if max(map(abs, x), default=0) >> 40:
+        raise FlacError("a sample is out of range")
     return np.array(x, np.int64)
 
 
@@ -361,7 +394,7 @@ def pcm(x: np.ndarray, bits: int) -> bytes:
 
 def _bits_of(value: int, n: int) -> np.ndarray:
     value &= (1 << n) - 1
-    return np.array([value >> (n - 1 - i) & 1 for i in range(n)], np.uint8)
+    return np.unpackbits(np.frombuffer((value << -n % 8).to_bytes(-(-n // 8), "big"), np.uint8))[:n]
 
 
 def _rice_bits(r: np.ndarray, k: int) -> np.ndarray:
@@ -486,28 +519,34 @@ def encode(x: np.ndarray, rate: int = 16000, bits: int = 16, block: int = 400, o
 
 # Spark
 
-_BLOCK = "block:int,first_sample:long,n_samples:int,channels:int,sample_rate:int,bits:int,byte_offset:long,byte_length:long,ok:boolean,error:string,pcm:binary"
+_BLOCK = "block:int,first_sample:long,n_samples:int,channels:int,sample_rate:int,bits:int,byte_offset:long,byte_length:long,ok:boolean,error:string,pcm:binary,md5_ok:boolean"
 
 
 def _rows(data: bytes) -> list[tuple]:
     try:
         info, _ = metadata(data)
     except FlacError as e:
-        return [(0, None, 0, None, None, None, 0, len(data), False, str(e), None)]
-    return [
-        (f.number, f.first if f.first >= 0 else None, f.n, info.channels, info.rate, info.bits, f.at, f.size, f.error is None, f.error, pcm(f.samples, info.bits) if f.samples is not None else None)
-        for f in decode_frames(data)
-    ]
+        return [(0, None, 0, None, None, None, 0, len(data), False, str(e), None, None)]
+    found = [(f, pcm(f.samples, info.bits) if f.samples is not None else None) for f in decode_frames(data)]
+    whole = None
+    if any(info.md5):
+        digest = hashlib.md5()
+        for _, x in found:
+            digest.update(x or b"")
+        whole = digest.digest() == info.md5 and all(f.error is None for f, _ in found)
+    return [(f.number, f.first if f.first >= 0 else None, f.n, info.channels, info.rate, info.bits, f.at, f.size, f.error is None, f.error, x, whole) for f, x in found]
 
 
 def blocks(media: DataFrame, key: str, column: str = "flac") -> DataFrame:
-    """(key, block, first_sample, n_samples, channels, sample_rate, bits, byte_offset, byte_length, ok, error, pcm)."""
+    """(key, block, first_sample, n_samples, channels, sample_rate, bits, byte_offset, byte_length, ok, error, pcm, md5_ok)."""
 
     @F.pandas_udf(f"array<struct<{_BLOCK}>>")
     def read(data: pd.Series) -> pd.Series:
         return pd.Series([None if d is None else _rows(bytes(d)) for d in data], dtype=object)
 
-    return media.select(F.col(f"`{key}`"), F.explode(read(media[column])).alias("__b")).select(F.col(f"`{key}`"), "__b.*")
+    names = [x.split(":")[0] for x in _BLOCK.split(",")]
+    rows = media.select(F.col(f"`{key}`").alias("k"), read(media[column]).alias("b")).select("k", F.explode("b").alias("b"))
+    return rows.select(F.col("k").alias(key), *[F.col(f"b.{n}").alias(f"{n}_" if n.lower() == key.lower() else n) for n in names])
 
 
 def seek(found: DataFrame, key: str, sample: int | Column) -> DataFrame:

@@ -20,7 +20,7 @@ def op1_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PCM blocks of the clips made of all vectors, encoded as FLAC and decoded again; pcm in hexadecimal."""
     media = flac.clips(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     found = flac.blocks(media, "vec_id")
-    return found.select("vec_id", "block", "first_sample", "n_samples", "channels", "sample_rate", "bits", "ok", F.hex("pcm").alias("pcm"))
+    return found.select("vec_id", "block", "first_sample", "n_samples", "channels", "sample_rate", "bits", "ok", "md5_ok", F.hex("pcm").alias("pcm"))
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +184,7 @@ WITH levels AS (
 ), words AS (
   SELECT vec_id, t, printf('%02X%02X%02X%02X', l & 255, (l >> 8) & 255, r & 255, (r >> 8) & 255) AS x FROM stereo
 )
-SELECT vec_id, (t // 400)::INT AS block, (t // 400) * 400 AS first_sample, count(*)::INT AS n_samples, 2 AS channels, 16000 AS sample_rate, 16 AS bits, true AS ok,
+SELECT vec_id, (t // 400)::INT AS block, (t // 400) * 400 AS first_sample, count(*)::INT AS n_samples, 2 AS channels, 16000 AS sample_rate, 16 AS bits, true AS ok, true AS md5_ok,
   string_agg(x, '' ORDER BY t) AS pcm
 FROM words GROUP BY vec_id, t // 400
 """

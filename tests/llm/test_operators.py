@@ -42,6 +42,51 @@ def test_flac_round_trip(bits, channels):
         assert [f.first for f in frames] == list(range(0, x.shape[1], 400))
 
 
+def test_flac_stream_of_the_standard():
+    """The first example file of RFC 9639."""
+    data = bytes.fromhex("664c614380000022100010000000 0f00000f0ac442f0000000013e84b41807dc690307586a3dad1a2e0ffff869180000bf0358fd03128baa9a".replace(" ", ""))
+    rows = flac._rows(data)
+    assert [(r[2], r[3], r[4], r[5], r[8], r[11]) for r in rows] == [(1, 2, 44100, 16, True, True)]
+    assert np.frombuffer(rows[0][10], "<i2").tolist() == [25588, 10416]
+
+
+def test_crc16_of_all_lengths():
+    def plain(data):
+        c = 0
+        for b in data:
+            c ^= b << 8
+            for _ in range(8):
+                c = (c << 1 ^ 0x8005 if c & 0x8000 else c << 1) & 0xFFFF
+        return c
+
+    data = random.Random(1).randbytes(9000)
+    for n in (0, 1, 2, 3, 255, 4095, 4096, 4097, 4098, 8193, 9000):
+        assert flac.crc16(data[:n]) == plain(data[:n])
+
+
+def test_flac_damaged_streams_never_crash():
+    rng, good = random.Random(7), []
+    for bits, order in ((16, 4), (8, 2), (24, 8), (32, 3)):
+        t = np.arange(900)
+        x = np.stack([(2 ** (bits - 2) * np.sin(t / 9)).astype(np.int64), (2 ** (bits - 3) * np.cos(t / 30)).astype(np.int64) + t % 5])
+        good.append(flac.encode(x, bits=bits, order=order))
+    worse = 0
+    for _ in range(5000):
+        data = bytearray(rng.choice(good))
+        for _ in range(rng.randrange(1, 5)):
+            data[rng.randrange(len(data))] ^= 1 << rng.randrange(8)
+        data = bytes(data[: rng.randrange(len(data))] if rng.random() < 0.2 else data)
+        rows = flac._rows(data)
+        worse += not rows or not all(r[8] for r in rows) or not rows[0][11]
+    assert worse > 4800
+
+
+def test_flac_key_named_like_an_output(spark):
+    x = np.arange(50)[None, :]
+    df = flac.blocks(spark.createDataFrame([(1, flac.encode(x)), (2, None), (3, b"junk")], "ok long, flac binary"), "ok")
+    assert len(set(df.columns)) == len(df.columns) and [(r.ok, r.ok_, r.md5_ok) for r in df.collect()] == [(1, True, True), (3, False, None)]
+
+
 def test_flac_damage_and_seek(spark):
     x = np.stack([(np.sin(np.arange(1600) / 20) * 9000).astype(int)] * 2)
     good = flac.encode(x)
