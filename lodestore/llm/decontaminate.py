@@ -11,9 +11,10 @@ Only stretches that can hold a match are walked: a match of at least K tokens (t
 consists of K-grams of the items, and the others are told apart by a vectorised hash lookup, so
 the result is that of walking everything.
 
-The automaton is broadcast while the items have at most MAX_TOKENS tokens (checked). Beyond
-that the same spans are found by a shuffle join on the items' k-grams (spans_by_join), which
-scales with the cluster.
+Items are dealt to automata of about MATCHER_TOKENS tokens each, built on the executors and
+broadcast one by one; a long item is cut into parts that overlap by k - 1 tokens, so each k-gram
+of it is in one. A task goes through its texts once for each automaton and unites the covered
+tokens, so memory doesn't grow with the items and the work is their blocks times the texts.
 
 Defined results: null text stays null with 0 tokens; empty text stays empty; a null, empty or
 too short item (fewer than `least` tokens) matches nothing; repeated items count once; no items
@@ -23,17 +24,21 @@ or an empty table change nothing; repeated rows are each cleaned; further column
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+import pickle
+import uuid
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import Tokens, chunks, spare, tokenize
 
 LENGTH, COVERAGE, LEAST, DOCUMENT = 13, 0.8, 5, 0.5
-MAX_TOKENS = 1_000_000
+#: Tokens of an automaton: some 60 bytes each. Tokens of a part of an item.
+MATCHER_TOKENS, PART = 500_000, 4096
 
 
 def need(n: int, length: int = LENGTH, coverage: float = COVERAGE, least: int = LEAST) -> int:
@@ -55,10 +60,16 @@ class SuffixAutomaton:
         for s in order:  # an ancestor occurs wherever its descendants do
             self.need[self.link[s]] = min(self.need[self.link[s]], self.need[s])
         #: longest proper suffix state that counts by itself
-        self.short = [0] * len(self.len)
+        short = [0] * len(self.len)
         for s in reversed(order):
             p = self.link[s]
-            self.short[s] = self.len[p] if p > 0 and self.len[p] >= self.need[p] else self.short[p] if p > 0 else 0
+            short[s] = self.len[p] if p > 0 and self.len[p] >= self.need[p] else short[p] if p > 0 else 0
+        # most states have one transition: arrays hold it, a dictionary only the states that branch
+        self.only = np.array([next(iter(d)) if len(d) == 1 else 0 for d in self.next], np.uint64)
+        self.to = np.array([next(iter(d.values())) if len(d) == 1 else -1 for d in self.next], np.int32)
+        self.branch = {s: d for s, d in enumerate(self.next) if len(d) > 1}
+        self.next = []
+        self.link, self.len, self.need, self.short = (np.array(x, np.int32) for x in (self.link, self.len, self.need, short))
 
     def _clone(self, p: int, q: int, t: int) -> int:
         c = len(self.len)
@@ -90,32 +101,35 @@ class SuffixAutomaton:
             self.link[new] = q if self.len[q] == self.len[p] + 1 else self._clone(p, q, t)
         return new
 
-    def matches(self, tokens: list[int]) -> list[int]:
+    def step(self, s: int, t: int) -> int | None:
+        to = self.to[s]
+        if to >= 0:
+            return int(to) if self.only[s] == t else None
+        return self.branch.get(s, {}).get(t)
+
+    def matches(self, tokens: Sequence[int]) -> list[int]:
         """For each token, how many tokens ending there a counting match has (0: none)."""
         out, s, n = [], 0, 0
         for t in tokens:
-            while s and t not in self.next[s]:
-                s = self.link[s]
-                n = self.len[s]
-            if t in self.next[s]:
-                s = self.next[s][t]
-                n += 1
-            out.append(n if n >= self.need[s] else self.short[s])
+            while (to := self.step(s, t)) is None and s:
+                s = int(self.link[s])
+                n = int(self.len[s])
+            if to is not None:
+                s, n = to, n + 1
+            out.append(n if n >= self.need[s] else int(self.short[s]))
         return out
 
 
 class Matcher:
-    """Spans of a few documents that match the items."""
+    """Spans of a few documents that match the items, given as tokens with the match that they need."""
 
-    def __init__(self, texts: list[str | None], length: int = LENGTH, coverage: float = COVERAGE, least: int = LEAST):
-        t = tokenize(texts)
-        first = t.first()
-        items = {tuple(t.hash[a:b].tolist()) for a, b in zip(first[:-1], first[1:]) if b - a >= least}
-        sized = sorted((list(x), need(len(x), length, coverage, least)) for x in items)
+    def __init__(self, items: Iterable[tuple[np.ndarray, int]]):
+        known = {(x.tobytes(), k): (x, k) for x, k in items}
+        sized = [known[key] for key in sorted(known)]
         self.k = min((k for _, k in sized), default=0)
-        self.automaton = SuffixAutomaton(sized)
-        grams = t.ngrams(self.k)[0] if self.k else np.zeros(0, np.uint64)
-        self.grams = np.unique(grams)
+        self.automaton = SuffixAutomaton((x.tolist(), k) for x, k in sized)
+        grams = [Tokens(b"", np.zeros(2, np.int64), x, np.zeros(len(x), np.int64), x, x, 1).ngrams(self.k)[0] for x, _ in sized]
+        self.grams = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[(self.grams >> np.uint64(44)).astype(np.int64)] = True
 
@@ -142,6 +156,54 @@ class Matcher:
         return out
 
 
+def _parts(length: int, coverage: float, least: int):
+    """Parts of items, with the match that the whole item needs."""
+
+    def run(batches):
+        for pdf in batches:
+            texts = pdf["text"].tolist()
+            for a, b in chunks(texts):
+                t = tokenize(texts[a:b])
+                first, out = t.first(), []
+                for begin, end in zip(first[:-1], first[1:]):
+                    n = int(end - begin)
+                    if n >= least:
+                        k = need(n, length, coverage, least)
+                        out += [(t.hash[x : min(x + PART, end)].tobytes(), k, int(min(x + PART, end) - x)) for x in range(begin, max(begin + 1, end - k + 1), PART - k + 1)]
+                yield pd.DataFrame(out, columns=["tokens", "k", "n"])
+
+    return run
+
+
+def _build(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"matcher": [pickle.dumps(Matcher((np.frombuffer(x, np.uint64), int(k)) for x, k in zip(pdf["tokens"], pdf["k"])))]})
+
+
+def matchers(items: DataFrame, length: int, coverage: float, least: int) -> list[tuple[str, Broadcast]]:
+    """Named broadcasts of pickled matchers, each of about MATCHER_TOKENS tokens, for items given as (text)."""
+    parts = items.mapInPandas(_parts(length, coverage, least), "tokens binary, k int, n long")
+    total = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    groups = -(-total // MATCHER_TOKENS)
+    if not groups:
+        return []
+    built = parts.groupBy(F.pmod(F.xxhash64("tokens"), F.lit(groups))).applyInPandas(_build, "matcher binary")
+    send = items.sparkSession.sparkContext.broadcast
+    return [(uuid.uuid4().hex, send(bytes(row.matcher))) for row in built.toLocalIterator()]
+
+
+_loaded: tuple[str, Matcher] | None = None
+
+
+def _load(name: str, sent: Broadcast) -> Matcher:
+    """The matcher; a worker keeps the last one only."""
+    global _loaded
+    if _loaded is None or _loaded[0] != name:
+        _loaded = None
+        _loaded = (name, pickle.loads(sent.value))
+        sent.__dict__.pop("_value", None)  # it stays on disk
+    return _loaded[1]
+
+
 def _clean(t: Tokens, covered: np.ndarray, limit: float) -> tuple[list[str | None], np.ndarray, np.ndarray, np.ndarray]:
     """Changed texts (None: unchanged), tokens removed, spans removed, whether the document goes."""
     removed = np.bincount(t.doc, covered, t.n_docs).astype(np.int64)
@@ -169,73 +231,28 @@ _RESULT = "changed string, n_tokens long, n_removed long, n_spans long, dropped
 def with_matches(docs: DataFrame, benchmark: DataFrame, column: str, length: int = LENGTH, coverage: float = COVERAGE, least: int = LEAST, document: float = DOCUMENT) -> DataFrame:
     """docs with a struct column: changed (the cleaned text where it differs), n_tokens, n_removed, n_spans, dropped."""
     items = benchmark.select(F.col("text").cast("string").alias("text")).where("text is not null").distinct()
-    n_tokens = items.agg(F.coalesce(F.sum(F.size(F.split("text", r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"))), F.lit(0))).first()[0]
-    if n_tokens > MAX_TOKENS:
-        return _by_join(docs, items, column, length, coverage, least, document)
-    matcher = docs.sparkSession.sparkContext.broadcast(Matcher([r[0] for r in items.collect()], length, coverage, least))
+    sent = matchers(items, length, coverage, least)
 
     @F.pandas_udf(_RESULT)
     def match(text: pd.Series) -> pd.DataFrame:
         texts, out = text.tolist(), []
-        for a, b in chunks(texts):
-            t = tokenize(texts[a:b])
-            changed, removed, spans, gone = _clean(t, matcher.value.covered(t), document)
+        ranges = list(chunks(texts))
+        before: dict[int, np.ndarray] = {}
+        for name, b in sent[:-1]:
+            m = _load(name, b)
+            for begin, end in ranges:
+                found = m.covered(tokenize(texts[begin:end]))
+                before[begin] = before[begin] | found if begin in before else found
+        for begin, end in ranges:
+            t = tokenize(texts[begin:end])
+            covered = _load(*sent[-1]).covered(t) if sent else np.zeros(len(t.hash), bool)
+            changed, removed, spans, gone = _clean(t, covered | before[begin] if begin in before else covered, document)
             out.append(pd.DataFrame({"changed": pd.Series(changed, dtype=object), "n_tokens": t.counts(), "n_removed": removed, "n_spans": spans, "dropped": gone}))
         return pd.concat(out, ignore_index=True)
 
     return docs.withColumn(column, match(docs["text"]))
 
 
-def _grams(ks: list[int]):
-    """(row, position, k, hash) of all k-grams."""
-
-    def run(batches):
-        for pdf in batches:
-            texts, rows = pdf["text"].tolist(), pdf["row"].to_numpy()
-            for a, b in chunks(texts):
-                t = tokenize(texts[a:b])
-                first = t.first()
-                for k in ks:
-                    g, at = t.ngrams(k)
-                    yield pd.DataFrame({"row": rows[a:b][t.doc[at]], "at": at - first[t.doc[at]], "k": np.full(len(at), k, np.int32), "gram": g.astype(np.int64)})
-
-    return run
-
-
-def spans_by_join(docs: DataFrame, items: DataFrame, length: int, coverage: float, least: int) -> DataFrame:
-    """(row, hits): start and length of each counting k-gram in a document given as (row, text)."""
-    ks = sorted({need(n, length, coverage, least) for n in range(least, math.ceil(length / coverage) + 2)})
-
-    @F.pandas_udf("long")
-    def tokens(text: pd.Series) -> pd.Series:
-        return pd.Series(tokenize(text.tolist()).counts())
-
-    sized = items.withColumn("n", tokens("text")).where(F.col("n") >= least)
-    k = F.least(F.lit(length), F.greatest(F.lit(least), F.ceil(F.lit(coverage) * F.col("n") - 1e-9))).cast("int")
-    wanted = sized.select(F.xxhash64("text").alias("row"), "text", k.alias("own"))
-    keys = wanted.select("row", "text").mapInPandas(_grams(ks), "row long, at long, k int, gram long").join(wanted.select("row", F.col("own").alias("k")), ["row", "k"]).select("k", "gram").distinct()
-    found = docs.mapInPandas(_grams(ks), "row long, at long, k int, gram long").join(keys, ["k", "gram"])
-    return found.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("at", "k"))).alias("hits"))
-
-
-def _by_join(docs: DataFrame, items: DataFrame, column: str, length: int, coverage: float, least: int, document: float) -> DataFrame:
-    # the row's number is the hash of its text: equal texts have equal spans
-    hits = spans_by_join(docs.select(F.xxhash64("text").alias("row"), "text").where("text is not null").dropDuplicates(["row"]), items, length, coverage, least)
-
-    @F.pandas_udf(_RESULT)
-    def apply(text: pd.Series, found: pd.Series) -> pd.DataFrame:
-        t = tokenize(text.tolist())
-        covered, first = np.zeros(len(t.hash), bool), t.first()
-        for d, spans in enumerate(found):
-            for s in spans if spans is not None else ():
-                covered[first[d] + s["at"] : first[d] + s["at"] + s["k"]] = True
-        changed, removed, gaps, gone = _clean(t, covered, document)
-        return pd.DataFrame({"changed": pd.Series(changed, dtype=object), "n_tokens": t.counts(), "n_removed": removed, "n_spans": gaps, "dropped": gone})
-
-    joined = docs.withColumn("__row", F.xxhash64(docs["text"])).join(hits.withColumnRenamed("row", "__row").withColumnRenamed("hits", "__hits"), "__row", "left")
-    return joined.withColumn(column, apply(docs["text"], F.col("__hits"))).drop("__row", "__hits")
-
-
 def scan(docs: DataFrame, benchmark: DataFrame, **limits: float) -> DataFrame:
     """A row for each document: doc_id, the cleaned text (null if the document goes), counts of tokens and spans, dropped."""
     m = with_matches(docs.select("doc_id", "text"), benchmark, "__m", **limits)

@@ -1,5 +1,6 @@
 """Brute-force versions, round trips and edge cases of the operators that SQL can't express, and SQL for the others."""
 
+import math
 import random
 import re
 
@@ -256,11 +257,38 @@ def test_automaton_against_brute_force():
         assert got == want
 
 
-def test_join_path_is_the_automatons(spark, sf, monkeypatch):
-    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
-    one = sorted(map(tuple, decontaminate.scan(docs, items).collect()))
-    monkeypatch.setattr(decontaminate, "MAX_TOKENS", 0)
-    assert sorted(map(tuple, decontaminate.scan(docs, items).collect())) == one
+def brute_decontaminate(text, items, length=13, coverage=0.8, least=5):
+    """(words, covered words) with no automaton: every window of every item."""
+    word = re.compile(r"[^\W_]+")
+    w = word.findall(text.lower())
+    hit = set()
+    for item in items:
+        v = word.findall(item.lower())
+        if len(v) < least:
+            continue
+        k = min(length, max(least, math.ceil(coverage * len(v) - 1e-9)))
+        windows = {tuple(v[i : i + k]) for i in range(len(v) - k + 1)}
+        for i in range(len(w) - k + 1):
+            if tuple(w[i : i + k]) in windows:
+                hit.update(range(i, i + k))
+    return len(w), len(hit)
+
+
+@pytest.mark.parametrize("tokens,part", [(500_000, 4096), (60, 30), (7, 13), (1, 20)])
+def test_matchers_of_any_size_find_the_same(spark, monkeypatch, tokens, part):
+    monkeypatch.setattr(decontaminate, "MATCHER_TOKENS", tokens)
+    monkeypatch.setattr(decontaminate, "PART", part)
+    rng = random.Random(3)
+    items = [" ".join(rng.choice("abcdefgh") for _ in range(rng.choice([3, 5, 9, 16, 40, 90]))) for _ in range(12)] + [None, ""]
+    docs = [(i, " ".join([*(rng.choice("abcdxyz") for _ in range(rng.randrange(0, 30))), *rng.choice(items[:12]).split()[rng.randrange(3) :], "End."]), i) for i in range(40)] + [(90, None, 1), (91, "", 1), (92, items[4], 1), (92, items[4], 1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, __row long")
+    got = decontaminate.scan(df, spark.createDataFrame([(i, x) for i, x in enumerate(items + items[:3])], "item_id long, text string"))
+    want = [(i, *brute_decontaminate(t or "", [x for x in items if x])) for i, t, _ in docs]
+    assert sorted((r.doc_id, r.n_tokens, r.n_removed) for r in got.collect()) == sorted(want)
+    assert {r.doc_id: r.dropped for r in got.collect()} == {i: gone > 0.5 * n for i, n, gone in want}
+    kept = decontaminate.decontaminate(df, spark.createDataFrame([(i, x) for i, x in enumerate(items)], "item_id long, text string"))
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, n, gone in want if gone <= 0.5 * n)
+
 
 
 # URLs, quality, PII
