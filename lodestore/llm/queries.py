@@ -190,7 +190,8 @@ FROM words GROUP BY vec_id, t // 400
 """
 
 
-def _op7_sql() -> str:
+def _op7_sql(levels: int = 8) -> str:
+    """Level by level, deeper than any URL of the tables."""
     u = url_templates
     out = ["""WITH lab AS (
   SELECT page_id, count(*) AS l, count(*) FILTER (WHERE quality = 0) AS b
@@ -203,23 +204,20 @@ def _op7_sql() -> str:
     list_filter(string_split(regexp_extract(rest, '^[^/]*(/.*)$', 1), '/'), lambda s: s <> '') AS segs,
     coalesce(l, 0) AS l, coalesce(b, 0) AS b, '' AS prefix
   FROM parsed LEFT JOIN lab USING (page_id))"""]
-    for d in range(u.DEPTH):
+    for d in range(levels):
         out.append(f"""c{d} AS (SELECT host, prefix, segs[{d + 1}] AS seg, count(*) AS n, sum(l) AS l, sum(b) AS b FROM r{d} WHERE host IS NOT NULL AND len(segs) > {d} GROUP BY ALL),
-n{d} AS (SELECT host, prefix, sum(n) AS pn, sum(l) AS pl, sum(b) AS pb FROM c{d} GROUP BY ALL),
-b{d} AS (
-  SELECT host, prefix, CASE WHEN n >= {u.LEAST} AND n >= {u.SHARE} * pn THEN seg ELSE '*' END AS name, sum(l)::DOUBLE AS l, sum(b)::DOUBLE AS b, any_value(pl)::DOUBLE AS pl, any_value(pb)::DOUBLE AS pb
-  FROM c{d} JOIN n{d} USING (host, prefix) GROUP BY ALL),
+m{d} AS (
+  SELECT host, prefix, seg, l, b, CASE WHEN n < {u.LEAST} OR (regexp_matches(seg, '[0-9]') AND count(*) FILTER (WHERE regexp_matches(seg, '[0-9]')) OVER w >= {u.LEAST}) THEN '*' ELSE seg END AS name,
+    sum(l) OVER w AS pl, sum(b) OVER w AS pb FROM c{d} WINDOW w AS (PARTITION BY host, prefix)),
+b{d} AS (SELECT host, prefix, name, sum(l)::DOUBLE AS l, sum(b)::DOUBLE AS b, any_value(pl)::DOUBLE AS pl, any_value(pb)::DOUBLE AS pb FROM m{d} GROUP BY ALL),
 s{d} AS (
-  SELECT host, prefix, name, CASE WHEN l = 0 OR pl = l OR pb = 0 OR pb = pl THEN true
+  SELECT host, prefix, name, CASE WHEN l = 0 OR pl = l THEN false WHEN pb = 0 OR pb = pl THEN true
     ELSE abs(b / l - (pb - b) / (pl - l)) / sqrt(pb / pl * (1 - pb / pl) * (1 / l + 1 / (pl - l))) < {u.Z} END AS same FROM b{d}),
-a{d} AS (SELECT *, count(*) FILTER (WHERE same) OVER (PARTITION BY host, prefix) AS alike FROM s{d}),
+a{d} AS (SELECT host, prefix, name, CASE WHEN same AND count(*) FILTER (WHERE same) OVER (PARTITION BY host, prefix) >= 2 THEN '~' ELSE name END AS step FROM s{d}),
 r{d + 1} AS (
-  SELECT page_id, r.host, segs, l, b, CASE WHEN len(segs) <= {d} OR r.host IS NULL THEN r.prefix
-    WHEN coalesce(x.same, y.same) AND coalesce(x.alike, y.alike) >= 2 THEN r.prefix || '/~' ELSE r.prefix || '/' || coalesce(x.name, '*') END AS prefix
-  FROM r{d} r LEFT JOIN a{d} x ON x.host = r.host AND x.prefix = r.prefix AND x.name = segs[{d + 1}]
-  LEFT JOIN a{d} y ON y.host = r.host AND y.prefix = r.prefix AND y.name = '*')""")
-    return ",\n".join(out) + f""", z AS (
-  SELECT page_id, host, l, b, CASE WHEN host IS NULL THEN '' WHEN len(segs) > {u.DEPTH} THEN prefix || '/**' ELSE prefix END AS template FROM r{u.DEPTH}
+  SELECT page_id, r.host, segs, r.l, r.b, r.prefix || coalesce('/' || step, '') AS prefix
+  FROM r{d} r LEFT JOIN m{d} m ON m.host = r.host AND m.prefix = r.prefix AND m.seg = segs[{d + 1}] LEFT JOIN a{d} a ON a.host = m.host AND a.prefix = m.prefix AND a.name = m.name)""")
+    return ",\n".join(out) + f""", z AS (SELECT page_id, host, l, b, CASE WHEN host IS NULL THEN '' ELSE prefix END AS template FROM r{levels}
 ), w AS (SELECT 1 - sum(b) / sum(l)::DOUBLE AS prior FROM z WHERE host IS NOT NULL
 ), t AS (SELECT host, template, count(*) AS pages, sum(l)::BIGINT AS labelled, sum(b)::BIGINT AS bad FROM z WHERE host IS NOT NULL GROUP BY ALL
 ), p AS (SELECT t.*, round((labelled - bad + {u.WEIGHT} * coalesce(prior, 1)) / (labelled + {u.WEIGHT}), 6) AS purity FROM t, w)

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestore.llm import decontaminate, flac, language, pieces, pii, quality, secrets, sharding, url_templates
 from lodestore.llm.queries import ORACLE, QUERIES
@@ -294,6 +295,85 @@ def test_matchers_of_any_size_find_the_same(spark, monkeypatch, tokens, part):
 # URLs, quality, PII
 
 
+def brute_templates(pages, labels, least=5, z=1.96, weight=10, limit=0.6):
+    """Plain recursion over all pages of a node."""
+    from urllib.parse import urlsplit
+
+    rows = []
+    for i, url in pages:
+        u = urlsplit(url or "")
+        host = u.hostname if u.scheme else None
+        got = [x for k, x in labels if k == i and None not in (i, x)]
+        rows.append((i, host, [x for x in u.path.split("/") if x] if host else [], len(got), got.count(0)))
+    place = {}
+
+    def grow(node, depth, prefix):
+        children = {}
+        for r in node:
+            if len(r[2]) == depth:
+                place.setdefault((r[1], prefix), []).append(r)
+            else:
+                children.setdefault(r[2][depth], []).append(r)
+        digits = [s for s in children if re.search("[0-9]", s)]
+        branches = {}
+        for s, own in children.items():
+            name = "*" if len(own) < least or s in digits and len(digits) >= least else s
+            branches.setdefault(name, []).extend(own)
+        count = {s: (sum(r[3] for r in own), sum(r[4] for r in own)) for s, own in branches.items()}
+        pl, pb = sum(c[0] for c in count.values()), sum(c[1] for c in count.values())
+        alike = set()
+        for s, (n, bad) in count.items():
+            if n and pl > n:
+                p = pb / pl
+                if p in (0, 1) or abs(bad / n - (pb - bad) / (pl - n)) / (p * (1 - p) * (1 / n + 1 / (pl - n))) ** 0.5 < z:
+                    alike.add(s)
+        merged = {}
+        for s, own in branches.items():
+            merged.setdefault("~" if s in alike and len(alike) > 1 else s, []).extend(own)
+        for s, own in merged.items():
+            grow(own, depth + 1, f"{prefix}/{s}")
+
+    for host in {r[1] for r in rows if r[1]}:
+        grow([r for r in rows if r[1] == host], 0, "")
+    known = [r for r in rows if r[1]]
+    prior = 1 - sum(r[4] for r in known) / sum(r[3] for r in known) if sum(r[3] for r in known) else 1.0
+    out = [(i, None, "", 0, 0, 0, None, False) for i, host, *_ in rows if not host]
+    for (host, t), own in place.items():
+        n, bad = sum(r[3] for r in own), sum(r[4] for r in own)
+        purity = round((n - bad + weight * prior) / (n + weight), 6)
+        out += [(r[0], host, t, len(own), n, bad, purity, purity < limit and n > 0) for r in own]
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_templates_against_brute_force(spark, seed):
+    rng, pages, labels = random.Random(seed), [], []
+
+    def add(url, bad, labelled=0.5):
+        pages.append((len(pages), url))
+        if rng.random() < labelled:
+            labels.append((len(pages) - 1, int(rng.random() >= bad)))
+
+    for s in range(70):  # more equal sections than any share of a host, one of them bad
+        for k in range(8):
+            add(f"http://Big.example.com/section-{'xyz'[s % 3]}{chr(97 + s // 3)}/{rng.randrange(10**6)}", 0.95 if s == 20 else 0.1, 0.95)
+    for k in range(40):  # a bad subtree far down
+        add(f"https://deep.example.com/a/b/c/d/e/f/g/{'cheap' if k % 4 == 0 else 'fine'}/{k}.html?x=1", 0.95 if k % 4 == 0 else 0.05, 0.95)
+    for k in range(30):  # users with pages of their own
+        add(f"http://users.example.com/u{k % 6}/post/{k}", 0.2)
+    for k in range(25):
+        add(f"http://none.example.com/{'ab'[k % 2]}/{k}", 0, 0)
+        add(rng.choice(["http://x.example.com", "http://x.example.com//p//q/", "http://x.example.com/p/q#z", "http://x.example.com/" + "y/" * 300, "http://x.example.com/" + "y/" * 300 + "end"]), 0.5)
+    pages += [(900, None), (901, ""), (902, "not a url"), pages[5], (None, "http://x.example.com/p")]
+    labels += [(5, 0), (5, None), (None, 1)]
+    got = url_templates.templates(spark.createDataFrame(pages, "page_id long, url string").withColumn("host", F.lit(1)), spark.createDataFrame(labels, "page_id long, good int"))
+    want = brute_templates(pages, labels)
+    assert sorted(map(tuple, got.collect()), key=repr) == want
+    bad = {(r[1], r[2]) for r in want if r[7]}
+    assert any(h == "big.example.com" for h, _ in bad) and any(h == "deep.example.com" and "cheap" in t for h, t in bad) and any("~" in r[2] for r in want)
+    assert all("~" not in r[2] for r in want if r[1] == "none.example.com")
+
+
 def test_url_edges(spark):
     pages = spark.createDataFrame([(1, None, 0), (2, "nonsense", 0), (3, "https://A.b/x/1?q#f", 0), (3, "https://A.b/x/1", 0)], "page_id long, url string, prefix int")
     labels = spark.createDataFrame([(3, None), (None, 1)], "page_id long, good int")
