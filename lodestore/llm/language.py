@@ -2,15 +2,15 @@
 
 A language's model is its smoothed distribution of byte trigrams of lower-case words with their
 borders, in 2**16 hashed slots. A document's words are draws from a mixture: EM estimates the
-proportions from the words' likelihoods. The set of languages is chosen by penalised
-likelihood: from all languages, the one of least proportion goes as long as
-log-likelihood - penalty / 2 * (languages - 1) * log(words) doesn't fall.
+proportions from the words' likelihoods, until none moves by more than `tolerance`. The set of
+languages is chosen by penalised likelihood: from all languages, the one of least proportion
+goes as long as log-likelihood - penalty / 2 * (languages - 1) * log(words) doesn't fall.
 
-Models are fitted on at most max_rows labelled documents (those of least xxhash64 of the
-doc_id), a bound of the fit alone; every document is inferred from all its words.
+Models are fitted on at most max_rows labelled documents of each language (different doc_ids,
+those of least hash), a bound of the fit alone; every document is inferred from all its words.
 
 Defined results: a null or empty text, or one without words, has no languages (empty lists, null
-language); with no labelled rows no document has any; rows without a doc_id or label aren't
+language); with no labelled rows no document has any; more than LANGUAGES different labels raise ValueError; rows without a doc_id or label aren't
 fitted on, but inferred as all others; ties between proportions go to the language that sorts first;
 repeated rows stay; further columns don't matter.
 """
@@ -21,13 +21,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import IS_WORD, chunks, lower_bytes
 
 SLOTS = 1 << 16
-MAX_ROWS, PENALTY, ROUNDS, SHORT_ROUNDS = 4000, 4.0, 15, 6
+MAX_ROWS, PENALTY, TOLERANCE = 1000, 4.0, 1e-4
+#: More labels than that aren't languages; it bounds the models.
+LANGUAGES = 512
 
 
 @dataclass
@@ -66,17 +68,28 @@ def models(counts: dict[str, np.ndarray], smoothing: float = 0.5) -> Models:
     return Models(names, table)
 
 
-def _em(lik: np.ndarray, top: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions after some rounds, and the log-likelihood there. share: a row for each document, 0 where a language is out."""
-    for _ in range(rounds):
-        part = lik * share[doc]
-        part /= np.maximum(part.sum(1, keepdims=True), 1e-300)
-        share = np.add.reduceat(part, start, axis=0) / n[:, None]
-    total = np.log(np.maximum((lik * share[doc]).sum(1), 1e-300)) + top
-    return share, np.add.reduceat(total, start)
+def _em(lik: np.ndarray, top: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, share: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions where they stay, and the log-likelihood there. share: a row for each document, 0 where a language is out."""
+    final, live = share.copy(), np.arange(len(n))
+    part, who, at, m = lik, doc, start, n
+    while True:
+        w = part * final[live][who]
+        w /= np.maximum(w.sum(1, keepdims=True), 1e-300)
+        new = np.add.reduceat(w, at, axis=0) / m[:, None]
+        go = np.abs(new - final[live]).max(1) > tolerance
+        final[live] = new
+        if not go.any():
+            break
+        if not go.all():  # a document that has converged leaves
+            words = go[who]
+            part, m, live = part[words], m[go], live[go]
+            at = np.concatenate([[0], np.cumsum(m)[:-1]])
+            who = np.repeat(np.arange(len(m)), m)
+    total = np.log(np.maximum((lik * final[doc]).sum(1), 1e-300)) + top
+    return final, np.add.reduceat(total, start)
 
 
-def infer(texts: list[str | None], m: Models, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def infer(texts: list[str | None], m: Models, penalty: float = PENALTY, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Proportions (a row for each text; all 0 without words), penalised log-likelihood, words."""
     k = len(m.names)
     out, score = np.zeros((len(texts), k)), np.zeros(len(texts))
@@ -96,7 +109,7 @@ def infer(texts: list[str | None], m: Models, penalty: float = PENALTY) -> tuple
 
     live = np.flatnonzero(n_all)
     w, who, begin, n = rows(live)
-    share, ll = _em(lik[w], top[w], who, begin, n, np.full((len(live), k), 1 / k), ROUNDS)
+    share, ll = _em(lik[w], top[w], who, begin, n, np.full((len(live), k), 1 / k), tolerance)
     fine = penalty / 2 * np.log(np.maximum(n, 2))
     out[live], score[live] = share, ll - fine * (k - 1)
     size = np.full(len(texts), k)
@@ -109,7 +122,7 @@ def infer(texts: list[str | None], m: Models, penalty: float = PENALTY) -> tuple
         share[dead] = out[docs][dead]
         share /= share.sum(1, keepdims=True)
         w, who, begin, n = rows(docs)
-        share, ll = _em(lik[w], top[w], who, begin, n, share, SHORT_ROUNDS)
+        share, ll = _em(lik[w], top[w], who, begin, n, share, tolerance)
         fine = penalty / 2 * np.log(np.maximum(n, 2))
         new = ll - fine * ((share > 0).sum(1) - 1)
         better = ~dead & (new >= score[docs])
@@ -122,23 +135,34 @@ def infer(texts: list[str | None], m: Models, penalty: float = PENALTY) -> tuple
 
 
 def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> Models:
-    """Models of all languages among at most max_rows labelled documents."""
+    """Models of all languages, each from at most max_rows labelled documents."""
     rows = docs.select(docs["doc_id"].alias("id"), docs["lang"].cast("string").alias("lang"), docs["text"].alias("text")).where("id is not null and lang is not null")
-    order = F.xxhash64("id")
-    some = rows.select(order.alias("o"), "id").orderBy("o", "id").limit(max_rows).select("id").distinct()
+    rows = rows.withColumn("place", F.pmod(F.xxhash64("id"), F.lit(1 << 40)))
+    size = rows.groupBy("lang").agg(F.approx_count_distinct("id", 0.02).alias("ids")).limit(LANGUAGES + 1).collect()
+    if len(size) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    if not size:
+        return models({})
+    # a cut by hash that leaves some more than max_rows of each language, then the exact bound on those
+    share = F.create_map(*[F.lit(x) for r in size for x in (r.lang, min(1.0, (2 * max_rows + 100) / max(r.ids, 1)))])
+    near = rows.where(F.col("place") < F.lit(1 << 40) * share[F.col("lang")])
+    first = Window.partitionBy("lang").orderBy("place", "id")
+    some = near.select("lang", "place", "id").distinct().withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= max_rows).select("lang", "id")
 
     def count(batches):
         for pdf in batches:
             for lang, part in pdf.groupby("lang"):
                 texts = part["text"].tolist()
                 total = sum((count_slots(texts[a:b]) for a, b in chunks(texts)), np.zeros(SLOTS, np.int64))
-                yield pd.DataFrame({"lang": [lang], "counts": [total.astype(np.int64).tobytes()]})
+                used = np.flatnonzero(total)
+                yield pd.DataFrame({"lang": lang, "slot": used, "n": total[used]})
 
-    # bounded by max_rows, so broadcast() is safe at any input size; coalesce bounds what the driver gets
-    found = rows.join(F.broadcast(some), "id").select("lang", "text").repartition(8).mapInPandas(count, "lang string, counts binary").toPandas()
+    # at most max_rows a language, so broadcast() is safe at any input size; the driver gets at most SLOTS counts a language
+    found = near.join(F.broadcast(some), ["lang", "id"]).select("lang", "text").mapInPandas(count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     counts: dict[str, np.ndarray] = {}
-    for lang, c in zip(found["lang"], found["counts"]):
-        counts[lang] = counts.get(lang, 0) + np.frombuffer(c, np.int64)
+    for lang, part in found.groupby("lang"):
+        counts[lang] = np.zeros(SLOTS, np.int64)
+        counts[lang][part["slot"]] = part["n"]
     return models(counts)
 
 

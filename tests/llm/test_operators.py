@@ -232,11 +232,95 @@ def test_mixtures():
     assert not share[2:].any() and n[2:].tolist() == [0, 0, 0]
 
 
-def test_languages_of_the_documents(spark, sf):
+def test_languages_held_out(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    got = {r.doc_id: r for r in language.identify(docs).collect()}
-    rows = [r for r in docs.collect() if got[r.doc_id].n_words >= 20]
-    assert sum(got[r.doc_id].language == r.lang for r in rows) > 0.9 * len(rows)
+    m = language.fit(docs.where("doc_id % 2 = 0"))
+    rows = [r for r in docs.where("doc_id % 2 = 1").collect() if r.text]
+    share, _, n = language.infer([r.text for r in rows], m)
+    right = [m.names[int(np.argmax(s))] == r.lang for r, s, k in zip(rows, share, n) if k >= 20]
+    assert len(right) > 50 and sum(right) > 0.95 * len(right)
+
+
+def brute_languages(train, texts, penalty=4.0):
+    """Words as dictionaries of byte trigrams, plain loops, EM until nothing moves."""
+    word = re.compile(r"[^\W\d_]+")
+
+    def grams(w):
+        b = b" " + w.encode() + b" "
+        return [b[i : i + 3] for i in range(len(b) - 2)]
+
+    counts = {}
+    for lang, text in train:
+        own = counts.setdefault(lang, {})
+        for w in word.findall(text.lower()):
+            for g in grams(w):
+                own[g] = own.get(g, 0) + 1
+    names = sorted(counts)
+    total = {k: sum(c.values()) + 0.5 * 65536 for k, c in counts.items()}
+    out = []
+    for text in texts:
+        words = word.findall((text or "").lower())
+        logs = [[sum(math.log((counts[k].get(g, 0) + 0.5) / total[k]) for g in grams(w)) for k in names] for w in words]
+        top = [max(x) for x in logs]
+        lik = [[math.exp(v - t) for v in x] for x, t in zip(logs, top)]
+
+        def em(share):
+            while True:
+                new = [0.0] * len(names)
+                for x in lik:
+                    z = sum(a * b for a, b in zip(x, share))
+                    for j, a in enumerate(x):
+                        new[j] += a * share[j] / z / len(lik)
+                if max(abs(a - b) for a, b in zip(new, share)) < 1e-9:
+                    return new
+                share = new
+
+        def score(share):
+            ll = sum(math.log(sum(a * b for a, b in zip(x, share))) + t for x, t in zip(lik, top))
+            return ll - penalty / 2 * (sum(s > 0 for s in share) - 1) * math.log(max(len(words), 2))
+
+        if not words:
+            out.append({})
+            continue
+        share = em([1 / len(names)] * len(names))
+        while sum(s > 0 for s in share) > 1:
+            j = min((s, -k) for k, s in enumerate(share) if s > 0)[1] * -1
+            cut = [0 if k == j else s for k, s in enumerate(share)]
+            cut = em([s / sum(cut) for s in cut])
+            if score(cut) < score(share):
+                break
+            share = cut
+        out.append({k: s for k, s in zip(names, share) if s > 0})
+    return out
+
+
+def test_languages_against_brute_force(spark):
+    rng = random.Random(9)
+    vocabulary = {"de": "der hund und die katze über strasse müde".split(), "en": "the dog and that cat over street tired".split(), "fr": "le chien et la souris très fatigué rue".split()}
+
+    def text(*parts):
+        return " ".join(rng.choice(vocabulary[k]) for k, n in parts for _ in range(n))
+
+    train = [(i, text((k, 60)), k) for i, k in enumerate(["de", "en", "fr"] * 3)]
+    others = [text(("de", 30)), text(("en", 25), ("fr", 15)), text(("de", 12), ("en", 12), ("fr", 12)), text(("fr", 1)), None, "", "123 ...", "the the the"]
+    rows = train + [(50 + i, t, None) for i, t in enumerate([*others, others[1]])] + [(None, text(("en", 5)), "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("language", F.lit(1)).withColumn("place", F.lit("x"))
+    got = {r.doc_id: r for r in language.identify(df).collect() if r.doc_id is not None}
+    want = brute_languages([(k, t) for _, t, k in train], [t for i, t, _ in rows if i is not None])
+    for (i, *_), w in zip([r for r in rows if r[0] is not None], want):
+        assert dict(zip(got[i].languages, got[i].proportions)) == pytest.approx(w, abs=2e-3), i
+        assert got[i].language is None if not w else w[got[i].language] == pytest.approx(max(w.values()), abs=2e-3)
+
+
+def test_language_ties_and_bounds(spark):
+    same = language.models({"aa": language.count_slots(["kala mulo"]), "bb": language.count_slots(["kala mulo"])})
+    share, *_ = language.infer(["kala mulo kala"], same)
+    assert share[0].tolist() == [1, 0]  # the last of equal ones goes first
+    docs = spark.createDataFrame([(i % 40, f"w{chr(97 + i % 20)}", "xx" if i else "yy") for i in range(400)], "doc_id long, text string, lang string")
+    assert language.fit(docs, 10).names == ["xx", "yy"]
+    assert language.fit(docs.limit(0)).names == []
+    with pytest.raises(ValueError):
+        language.fit(spark.range(600).selectExpr("id as doc_id", "'x' as text", "cast(id as string) as lang"))
 
 
 # decontamination
