@@ -7,10 +7,12 @@ mean weight. One model is fitted for each head: `quality` and `toxic`; a documen
 its quality is good and it isn't toxic.
 
 Fitting uses at most max_rows labelled rows (those of least xxhash64 of the doc_id, ties by
-doc_id), a bound of the fit alone; scoring covers every document and its whole text.
+doc_id) and of these no more than max_bytes of features, a bound of the fit alone; scoring covers
+every document and its whole text.
 
 Defined results: null or empty text has no features and gets the intercept's score; a label row
-with a null doc_id or label is left out, and so are labels of unknown documents; with no labels
+with a null doc_id or label is left out, and so are labels of unknown documents; of several texts
+under one doc_id the fit takes the least; with no labels
 of one of the classes the head scores 0 everywhere and rejects nothing; rows that repeat stay
 and get equal scores; further columns don't matter, whatever their names.
 """
@@ -21,13 +23,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import chunks, spare, tokenize, trim, unique_sorted
 
 BITS = 20
-MAX_ROWS = 8000
+MAX_ROWS, MAX_BYTES = 8000, 256 << 20
 _MASK = np.uint64((1 << BITS) - 1)
 
 
@@ -122,16 +124,18 @@ def _to_features(batches):
     trim()
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> dict[str, Head]:
-    """Heads `quality` and `toxic` from at most max_rows labelled rows."""
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> dict[str, Head]:
+    """Heads `quality` and `toxic` from at most max_rows labelled rows and max_bytes of their features."""
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and (quality is not null or toxic is not null)")
     order = F.xxhash64("id")
     # bounded by max_rows, so broadcast() is safe at any input size
     some = known.withColumn("order", order).orderBy("order", "id", "quality", "toxic").limit(max_rows)
     texts = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].alias("text"))
-    rows = texts.join(F.broadcast(some), "id").select("order", "quality", "toxic", "text")
-    found = rows.mapInPandas(_to_features, "order long, quality int, toxic int, slots binary").toPandas()
-    found = found.sort_values(["order", "slots"], kind="stable").head(max_rows)
+    rows = texts.where("text is not null").join(F.broadcast(some), "id").groupBy("id", "order", "quality", "toxic").agg(F.min("text").alias("text"))
+    sized = rows.mapInPandas(_to_features, "order long, quality int, toxic int, slots binary")
+    so_far = Window.orderBy("order", "slots", "quality", "toxic").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = sized.withColumn("so_far", F.sum(F.length("slots")).over(so_far)).where(F.col("so_far") <= max_bytes).drop("so_far").toPandas()
+    found = found.sort_values(["order", "slots"], kind="stable")
     slots = [np.frombuffer(x, np.int32) for x in found["slots"]]
     heads = {}
     for name in ("quality", "toxic"):
