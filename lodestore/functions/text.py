@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import html
 import re
 from collections.abc import Callable
@@ -41,7 +42,8 @@ class WordTokenizer:
         return self._RUN.findall(text)
 
     def encode(self, text: str) -> list[int]:
-        return [hash(p) for p in self.pieces(text)]
+        """Ids by a hash that is the same in every process."""
+        return [int.from_bytes(hashlib.blake2b(p.encode(), digest_size=8).digest(), "big") >> 1 for p in self.pieces(text)]
 
     def decode(self, ids: list[int]) -> str:
         raise TypeError("a word tokenizer keeps no vocabulary; use pieces()")
@@ -171,5 +173,5 @@ def exploded(df: DataFrame, chunks: Column, *keep: str) -> DataFrame:
 
 def show_tokens(tokens: list[str]) -> str:
     """Tokens on alternating backgrounds, for a terminal."""
-    colours = (167, 179, 185, 77, 80, 68, 134)
+    colours = (24, 94, 22, 53, 58)
     return "".join(f"\x1b[48;5;{colours[i % len(colours)]}m{t}" for i, t in enumerate(tokens)) + "\x1b[0m"

@@ -7,14 +7,20 @@ distance needs only XOR and popcount on longs and stays in whole-stage codegen.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def pack_bits(vector: Column) -> Column:
-    """array<int> of bytes: bit 1 where the feature is > 0; missing features at the end count as 0."""
+def pack_bits(vector: Column, dims: int | None = None) -> Column:
+    """array<int> of bytes: bit 1 where the feature is > 0; missing features at the end count as 0.
+
+    dims: the length of all vectors, where known; the expression then has no lambda.
+    """
+    if dims is not None:
+        return F.array(*[_sum(F.when(F.get(vector, F.lit(8 * j + k)) > 0, F.lit(1 << (7 - k))).otherwise(F.lit(0)) for k in range(8)) for j in range((dims + 7) // 8)])
     n = F.floor((F.size(vector) + 7) / 8).cast("int")
 
     def byte(j: Column) -> Column:
@@ -27,8 +33,17 @@ def pack_bits(vector: Column) -> Column:
     return F.when(n == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), byte))
 
 
-def planes(code: Column, words: int = 1) -> list[Column]:
-    """8 * words longs: word w of plane k is column k * words + w; up to 64 bytes a word."""
+def _sum(parts) -> Column:
+    return functools.reduce(lambda a, b: a + b, parts)
+
+
+def planes(code: Column, words: int = 1, width: int | None = None) -> list[Column]:
+    """8 * words longs: word w of plane k is column k * words + w; up to 64 bytes a word.
+
+    width: that of all codes, where known and small; the expression then has no lambda.
+    """
+    if width is not None and width <= 8:
+        return [functools.reduce(Column.bitwiseOR, [F.shiftleft(F.shiftright(F.get(code, F.lit(j)), 7 - k).bitwiseAND(F.lit(1)).cast("long"), 63 - j) for j in range(width)]) for k in range(8)]
     out = []
     for k in range(8):
         for w in range(words):

@@ -1,9 +1,15 @@
 """Collection: a named table of text chunks with metadata and packed vectors.
 
 The state is an immutable DataFrame; each mutation replaces it by a plan over the old one. Every
-CUT mutations its lineage is cut with a reliable checkpoint. save() writes a new version of the
-table as Parquet and swaps a pointer, so what is saved is the state, and a version that is being
-read is never overwritten.
+CUT mutations its lineage is cut with a reliable checkpoint.
+
+On disk a collection is `version=…/bucket=…` folders of Parquet, buckets by a hash of the item id,
+and a pointer file that names each bucket's versions. save() writes only what changed: new rows
+are appended as a further version of their bucket, and a bucket whose rows were replaced or
+deleted, or that has more than APPENDS versions, is written anew. The pointer is replaced in one
+step, so what is saved is the state; folders that neither this state nor the one before has are
+deleted. Searches read the stored bit-planes and neither texts nor codes; texts follow for the
+rows found.
 """
 
 from __future__ import annotations
@@ -11,9 +17,11 @@ from __future__ import annotations
 import datetime
 import json
 import uuid
+import zlib
 from collections.abc import Iterable, Mapping, Sequence
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,16 +33,17 @@ from . import rows as R
 from . import search as S
 from .embed import Embedder, HashingEmbedder
 
-CUT = 8
-#: Rows of one call that are looked up by a list of ids; more are joined.
-LOOKUP = 2000
+CUT, APPENDS = 8, 8
+STATE = [*R.COLUMNS, "width", *R.PLANES, "bucket"]
+STATE_SCHEMA = ", ".join([R.SCHEMA, "width int", *(f"{p} long" for p in R.PLANES), "bucket int"])
 
 
 class Collection:
-    def __init__(self, spark: SparkSession, name: str | None = None, path: str = "collections", embedder: Embedder | None = None, tokenizer: T.Tokenizer | None = None, match: str = "exact"):
+    def __init__(self, spark: SparkSession, name: str | None = None, path: str = "collections", embedder: Embedder | None = None, tokenizer: T.Tokenizer | None = None, match: str = "exact", buckets: int = 16):
         """Open a collection, or begin an empty one where nothing is saved under the name.
 
         match: `exact` compares item ids; `prefix` takes all chunks whose id begins with the item's and an underscore.
+        buckets: of a new collection, the number of parts of which a mutation rewrites only its own.
         """
         M.session(spark)
         self.spark, self.path = spark, path.rstrip("/")
@@ -42,10 +51,7 @@ class Collection:
         self.embedder = embedder or HashingEmbedder()
         self.tokenizer = tokenizer or T.WordTokenizer()
         self.match = match
-        self._mutations = 0
-        self._next: int | None = None  # the seq after the last, where it is known
-        current = self._pointer()
-        self.df = spark.read.parquet(f"{self._at()}/{current['version']}").select(*R.COLUMNS) if current else spark.createDataFrame([], R.SCHEMA)
+        self._load(self._pointer() or {"versions": {}, "buckets": buckets, "next": 0})
 
     # storage
 
@@ -67,32 +73,75 @@ class Collection:
         finally:
             stream.close()
 
-    def save(self) -> str:
-        """Write the state as a new version and make it the current one; the versions before the last are deleted."""
-        before = self._pointer()
-        version = f"v-{uuid.uuid4().hex}"
-        out = S.with_planes(self.df)
-        out.write.parquet(f"{self._at()}/{version}")
-        header = {"embedding_model": self.embedder.name, "embedding_size": ctx.WIDTH, "embedding_dtype": self.embedder.dtype, "context_length": self.embedder.context_length}
+    def _point(self, pointer: dict[str, Any]) -> None:
+        """Replace the pointer in one step."""
+        sc = self.spark.sparkContext
         fs, target = self._fs(f"{self._at()}/_current")
-        _, part = self._fs(f"{self._at()}/_next-{version}")
+        _, part = self._fs(f"{self._at()}/_next-{uuid.uuid4().hex}")
         stream = fs.create(part, True)
-        stream.write(bytearray(json.dumps({"version": version, "before": before and before["version"], "header": header}).encode()))
+        stream.write(bytearray(json.dumps(pointer).encode()))
         stream.close()
-        fs.delete(target, False)
-        fs.rename(part, target)
-        if before and before.get("before"):
-            _, old = self._fs(f"{self._at()}/{before['before']}")
-            fs.delete(old, True)
-        self.df = self.spark.read.parquet(f"{self._at()}/{version}").select(*R.COLUMNS)
-        self._mutations = 0
-        return version
+        rename = sc._jvm.org.apache.hadoop.fs.Options.Rename
+        how = sc._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        qualified = [fs.makeQualified(p) for p in (part, target)]
+        sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(qualified[0].toUri(), sc._jsc.hadoopConfiguration()).rename(*qualified, how)
+
+    def _load(self, pointer: dict[str, Any]) -> None:
+        self._saved, self._next = pointer, pointer["next"]
+        places = _places(pointer)
+        if places:
+            read = self.spark.read.schema(STATE_SCHEMA + ", version string").option("basePath", self._at())
+            self.df = read.parquet(*(f"{self._at()}/{p}" for p in sorted(places))).select(*STATE)
+        else:
+            self.df = self.spark.createDataFrame([], STATE_SCHEMA)
+        self._mutations, self._dirty, self._fresh = 0, set(), None
+
+    def save(self) -> None:
+        """Write what changed as a new version and make that the state."""
+        old = self._saved["versions"]
+        dirty = self._dirty | {int(b) for b, v in old.items() if len(v) > APPENDS}
+        out = self.df.where(F.col("bucket").isin(sorted(dirty))) if dirty else None
+        if self._fresh is not None:
+            fresh = self._fresh.where(~F.col("bucket").isin(sorted(dirty))) if dirty else self._fresh
+            out = fresh if out is None else out.unionByName(fresh)
+        if out is None and self._pointer() is not None:
+            return
+        version, names = f"v-{uuid.uuid4().hex}", []
+        if out is not None:
+            out.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self._at()}/version={version}")
+            fs, root = self._fs(f"{self._at()}/version={version}")
+            names = [s.getPath().getName().removeprefix("bucket=") for s in fs.listStatus(root) if s.isDirectory()]
+        versions = {b: v for b, v in old.items() if int(b) not in dirty}
+        for b in names:
+            versions[b] = [*versions.get(b, []), version]
+        header = {"embedding_model": self.embedder.name, "embedding_size": ctx.WIDTH, "embedding_dtype": self.embedder.dtype, "context_length": self.embedder.context_length}
+        pointer = {"versions": versions, "before": old, "buckets": self._saved["buckets"], "next": self._top(), "header": header}
+        self._point(pointer)
+        for place in _places({"versions": self._saved.get("before", {})}) - _places(pointer) - _places({"versions": old}):
+            fs, gone = self._fs(f"{self._at()}/{place}")
+            fs.delete(gone, True)
+        self._load(pointer)
 
     def clear(self) -> None:
         """Forget all rows and delete what is saved."""
-        self.df, self._next = self.spark.createDataFrame([], R.SCHEMA), None
         fs, p = self._fs(self._at())
         fs.delete(p, True)
+        self._load({"versions": {}, "buckets": self._saved["buckets"], "next": 0})
+
+    def _bucket(self, item: str) -> int:
+        return zlib.crc32(item.encode()) % self._saved["buckets"]
+
+    def _complete(self, rows: DataFrame) -> DataFrame:
+        """Rows of R.COLUMNS with all columns of the state."""
+        bucket = F.pmod(F.crc32(F.col("item_id").cast("binary")), F.lit(self._saved["buckets"])).cast("int")
+        return S.with_planes(rows).withColumn("bucket", bucket).select(*STATE)
+
+    def _top(self) -> int:
+        """The seq after the last."""
+        if self._next is None:
+            self._next = self.df.agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0]
+        return self._next
 
     def export_ctx(self, folder: str) -> str:
         """Write the state as a CTX file."""
@@ -105,7 +154,7 @@ class Collection:
         code = F.transform("embedding", lambda v: F.pmod(v.cast("int"), F.lit(256)).bitwiseXOR(F.lit(128)))
         item = F.regexp_extract("chunk_id", r"^(.*)_(\d+)$", 1)
         rows = ctx.Catalog(folder).read(self.spark, self.name).where("chunk_id is not null")
-        self._set(
+        new = self._complete(
             rows.select(
                 "chunk_id",
                 F.when(item != "", item).otherwise(F.col("chunk_id")).alias("item_id"),
@@ -116,31 +165,50 @@ class Collection:
                 code.alias("code"),
             )
         )
+        self._set(new, range(self._saved["buckets"]))
 
-    def _set(self, df: DataFrame) -> None:
+    def _set(self, df: DataFrame, dirty: Iterable[int] = (), fresh: DataFrame | None = None) -> None:
+        """A new state: the buckets whose rows were replaced or deleted, and the rows that were only added."""
         self._mutations += 1
         if self._mutations % CUT == 0:
             df = cut(df)
         self.df = df
+        self._dirty |= set(dirty)
+        if fresh is not None:
+            self._fresh = fresh if self._fresh is None else self._fresh.unionByName(fresh)
         self._next = None
 
     # writing
 
-    def _put(self, new: list[tuple]) -> None:
-        """Upsert rows that the driver holds: the known among their ids are looked up first, so the plan gets no join and names the old state once."""
+    def _put(self, new: DataFrame) -> None:
+        """Upsert rows of R.COLUMNS, numbered from 0.
+
+        What they replace is looked up first, so the plan has no more of the old state than one anti-join, and none if nothing is replaced.
+        """
+        new = cut(R.distinct(new))
+        known = cut(self.df.select("chunk_id", "bucket", F.col("seq").alias("__old")).join(new.select("chunk_id"), "chunk_id"))
+        dirty = [r.bucket for r in known.select("bucket").distinct().collect()]  # as many as buckets at most
+        place = F.lit(self._top()) + F.col("seq")
+        if dirty:
+            new, place = new.join(known.select("chunk_id", "__old"), "chunk_id", "left"), F.coalesce("__old", place)
+        self._replace(known if dirty else None, dirty, self._complete(new.withColumn("seq", place)))
+
+    def _put_rows(self, new: list[tuple]) -> None:
+        """The same for rows that the driver holds: those they replace are no more than they are, so it looks them up itself."""
         if not new:
             return
-        if len(new) > LOOKUP:
-            self._set(R.upsert(self.df, self.spark.createDataFrame(new, R.SCHEMA)))
-            return
-        ids = [r[0] for r in new]
-        at = {r.chunk_id: r.seq for r in self.df.where(F.col("chunk_id").isin(ids)).select("chunk_id", "seq").collect()}
-        if self._next is None:
-            self._next = self.df.agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0]
-        rows = [(c, i, k, at.get(c, self._next + seq), *rest) for c, i, k, seq, *rest in new]
-        top = max(self._next, *(r[3] + 1 for r in rows))
-        self._set(self.df.where(~F.col("chunk_id").isin(ids)).select(*R.COLUMNS).unionByName(self.spark.createDataFrame(rows, R.SCHEMA)))
-        self._next = top
+        rows = {r[0]: r for r in new}
+        ids = _local(self.spark, [(c,) for c in rows], "chunk_id string")
+        own = self.df.where(F.col("bucket").isin(sorted({self._bucket(r[1]) for r in new}))).select("chunk_id", "seq").join(F.broadcast(ids), "chunk_id")
+        at, top = {r.chunk_id: r.seq for r in own.collect()}, self._top()
+        first = {c: n for n, c in reversed([(r[3], r[0]) for r in new])}
+        full = [(c, i, k, at.get(c, top + first[c]), t, m, e, *R.derived(e).values(), self._bucket(i)) for c, (_, i, k, _, t, m, e) in rows.items()]
+        self._replace(ids if at else None, {self._bucket(rows[c][1]) for c in at}, _local(self.spark, full, STATE_SCHEMA))
+        self._next = max(top, *(r[3] + 1 for r in full))
+
+    def _replace(self, gone: DataFrame | None, dirty: Iterable[int], rows: DataFrame) -> None:
+        kept = self.df if gone is None else self.df.join(gone.select("chunk_id"), "chunk_id", "left_anti").select(*STATE)
+        self._set(kept.unionByName(rows), dirty, rows)
 
     def _chunks(self, text: str, need_chunks: bool, fast: bool) -> list[str]:
         if not need_chunks:
@@ -172,7 +240,7 @@ class Collection:
             notes += [{**own, **(metadata or {})}] * len(parts)
         codes = self.embedder.encode(texts)
         new = [(f"{item_id}_{i}", item_id, i, i, t, json.dumps(m), [int(b) for b in c]) for i, (t, m, c) in enumerate(zip(texts, notes, codes))]
-        self._put(new)
+        self._put_rows(new)
         return [(item_id, codes, notes[-1] if notes else dict(metadata or {}))]
 
     def add_dataframe(self, docs: DataFrame, item_id: str, text: str, metadata: Column | None = None, need_chunks: bool = True, fast: bool = True, order: str | None = None) -> None:
@@ -183,7 +251,16 @@ class Collection:
         base = docs.where(body.isNotNull()).select(key.alias("item_id"), F.col(f"`{order or item_id}`").alias("__order"), (metadata if metadata is not None else F.lit("{}")).alias("metadata"), F.posexplode(parts).alias("chunk_idx", "text"))
         numbered = _numbered(base, ["__order", "item_id", "chunk_idx"])
         new = numbered.select(F.concat_ws("_", "item_id", "chunk_idx").alias("chunk_id"), "item_id", "chunk_idx", "seq", "text", "metadata", self.embedder.column(F.col("text")).alias("code"))
-        self._set(R.upsert(self.df, new))
+        self._put(new)
+
+    def set_batch_dataframe(self, rows: DataFrame, text: str, code: str, metadata: str | None = None, order: str | None = None) -> None:
+        """Bulk load of a table with texts and packed codes (array<int>), an item with a fresh id for each row; saves."""
+        note = F.coalesce(F.col(f"`{metadata}`"), F.lit("{}")) if metadata else F.lit("{}")
+        byte = F.transform(F.col(f"`{code}`"), lambda b: F.when(b >= 0, b).otherwise(F.pmod(b, F.lit(256)).bitwiseXOR(F.lit(128))).cast("int"))
+        base = rows.select(F.uuid().alias("item_id"), F.col(f"`{order or text}`").alias("__order"), note.alias("metadata"), F.lit(0).alias("chunk_idx"), F.col(f"`{text}`").cast("string").alias("text"), byte.alias("code"))
+        numbered = _numbered(base, ["__order", "item_id"])
+        self._put(numbered.select(F.concat_ws("_", "item_id", "chunk_idx").alias("chunk_id"), *R.COLUMNS[1:]))
+        self.save()
 
     def set_batch(self, texts: Any, embeddings: Sequence[Sequence[int]], metadatas: Any = None) -> None:
         """Bulk load of texts with packed codes, an item each; saves."""
@@ -198,28 +275,36 @@ class Collection:
             code = [_byte(b) for b in e]
             item = str(uuid.uuid4())
             new.append((f"{item}_0", item, 0, n, t, json.dumps(m), code))
-        self._put(new)
+        self._put_rows(new)
         self.save()
 
     def update(self, id: str, text: str | None = None, metadata: Mapping[str, Any] | None = None, vector: Sequence[int] | None = None, reembed: bool = False) -> bool:
         """Change all chunks of an item and save; whether there is such an item. The code stays unless vector or reembed is given."""
-        if self.df.where(R.is_item(id, self.match)).isEmpty():
+        touched = self._touched(id)
+        if not touched:
             return False
         if vector is None and reembed and text is not None:
             vector = self.embedder.encode([text])[0]
-        self._set(R.update(self.df, id, text, None if metadata is None else json.dumps(dict(metadata)), None if vector is None else [_byte(b) for b in vector], self.match))
+        self._set(R.update(self.df, id, text, None if metadata is None else json.dumps(dict(metadata)), None if vector is None else [_byte(b) for b in vector], self.match), touched)
         self.save()
         return True
 
+    def _touched(self, id: str) -> list[int]:
+        """The buckets that have rows of an item."""
+        df = self.df if self.match == "prefix" else self.df.where(F.col("bucket") == self._bucket(id))
+        return [r.bucket for r in df.where(R.is_item(id, self.match)).select("bucket").distinct().collect()]
+
     def delete(self, ids: str | Sequence[str]) -> int:
         """Delete items; how many chunks went. Saves if any did."""
         ids = [ids] if isinstance(ids, str) else list(ids)
         wanted = self.spark.createDataFrame([(i,) for i in ids], "id string")
-        n = R.matched(self.df, wanted, self.match).select("chunk_id").distinct().count()
-        if n:
-            self._set(R.delete(self.df, wanted, self.match))
+        df = self.df if self.match == "prefix" else self.df.where(F.col("bucket").isin(sorted({self._bucket(i) for i in ids})))
+        gone = R.matched(df, wanted, self.match).select("chunk_id").distinct()
+        by = df.join(gone, "chunk_id").groupBy("bucket").count().collect()
+        if by:
+            self._set(self.df.join(gone, "chunk_id", "left_anti").select(*STATE), [r.bucket for r in by])
             self.save()
-        return n
+        return sum(r["count"] for r in by)
 
     def set(self, id: str, text: str | None = None, metadata: Mapping[str, Any] | None = None, vector: Sequence[int] | None = None) -> None:
         """Update the item, or add it."""
@@ -227,7 +312,7 @@ class Collection:
             return
         self.add(text if text is not None else "", metadata, id)
         if vector is not None:
-            self._set(R.update(self.df, id, code=[_byte(b) for b in vector]))
+            self._set(R.update(self.df, id, code=[_byte(b) for b in vector]), [self._bucket(id)])
 
     # reading
 
@@ -242,12 +327,35 @@ class Collection:
         codes = self.embedder.encode(texts)
         if S.same_width(self.df, len(codes[0])).isEmpty():
             raise ValueError("the collection has no vectors to compare with")
-        found = None
-        for n, code in enumerate(codes):
-            one = self.rank_and_filter(code, top_k, metadata, top_k_multiplier, **options).withColumn("__q", F.lit(n))
-            found = one if found is None else found.unionByName(one)
-        rows = found.orderBy("dist", "__q", "seq").limit(top_k).select("chunk_id", "text", "metadata", "dist").collect()
-        return [(r.chunk_id, r.text, json.loads(r.metadata or "{}"), *([int(r.dist)] if return_scores else [])) for r in rows]
+        found = self.search(codes, top_k, metadata, top_k_multiplier, **options)
+        best = found.orderBy("dist", "__q", "seq").limit(top_k).collect()
+        known = self._fetch([r.chunk_id for r in best], [r.bucket for r in best])
+        return [(r.chunk_id, known[r.chunk_id][0], json.loads(known[r.chunk_id][1] or "{}"), *([int(r.dist)] if return_scores else [])) for r in best]
+
+    def search(self, codes: Sequence[Sequence[int]], top_k: int, metadata: Mapping[str, Any] | None = None, top_k_multiplier: int = 4, prefilter: bool = False, compat_scores: bool = False) -> DataFrame:
+        """(__q, dist, seq, chunk_id, bucket) of each query code's nearest rows, in one pass over the planes.
+
+        Without a filter, or with prefilter, no more than planes and ids (and metadata) are read;
+        otherwise the candidates' metadata is fetched for the filter.
+        """
+        keep = ["chunk_id", "bucket"]
+        if len(codes) == 1:
+            narrow = self.df.select("seq", *keep, "width", *R.PLANES, *(["metadata"] if metadata else []), *([] if len(codes[0]) <= 64 else ["code"]))
+            return S.rank_and_filter(narrow, codes[0], top_k, metadata, top_k_multiplier, prefilter, compat_scores).select(F.lit(0).alias("__q"), "dist", "seq", *keep)
+        if metadata and prefilter:
+            return S.nearest_of(S.R.where(self.df, metadata), codes, top_k, keep)
+        if not metadata:
+            return S.nearest_of(self.df, codes, top_k, keep)
+        wide = S.nearest_of(self.df, codes, top_k * top_k_multiplier, [*keep, "metadata"])
+        return S.filtered(wide, metadata, top_k, compat_scores).select("__q", "dist", "seq", *keep)
+
+    def _fetch(self, chunk_ids: Sequence[str], buckets: Sequence[int]) -> dict[str, tuple[str, str]]:
+        """Text and metadata of the rows found, from their buckets only."""
+        if not chunk_ids:
+            return {}
+        ids = _local(self.spark, [(c,) for c in sorted(set(chunk_ids))], "chunk_id string")
+        rows = self.df.where(F.col("bucket").isin(sorted(set(buckets)))).join(F.broadcast(ids), "chunk_id").select("chunk_id", "text", "metadata")
+        return {r.chunk_id: (r.text, r.metadata) for r in rows.collect()}
 
     def get(self, ids: str | Sequence[str] | None = None, where: Mapping[str, Any] | None = None) -> list[tuple[str, str, dict[str, Any]]]:
         """(id, text, metadata) of items in the order asked for, or of all chunks."""
@@ -286,6 +394,21 @@ class Collection:
         return self.retrieve(query, top_k=k) or []
 
 
+_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "array<int>": pa.list_(pa.int32())}
+
+
+def _local(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A table that the optimizer can look into, as a list of tuples is not."""
+    fields = [f.rsplit(" ", 1) for f in ddl.split(", ")]
+    columns = [pa.array([r[i] for r in rows], _ARROW[t]) for i, (_, t) in enumerate(fields)]
+    return spark.createDataFrame(pa.table(columns, names=[n for n, _ in fields]))
+
+
+def _places(pointer: Mapping[str, Any]) -> set[str]:
+    """Folders that a pointer names."""
+    return {f"version={v}/bucket={b}" for b, own in pointer["versions"].items() for v in own}
+
+
 def _byte(b: Any) -> int:
     """A byte of a code; also the form that the CTX format has on disk. Fractions are refused."""
     if int(b) != b:

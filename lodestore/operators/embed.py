@@ -46,8 +46,8 @@ class Md5TestEmbedder:
 
     def column(self, text: Column) -> Column:
         joined = F.unhex(F.concat(*[F.md5(F.concat(text, F.lit(f"#{k}"))) for k in range(4)]))
-        hexed = F.hex(joined)
-        return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+        # bound once by a lambda: within the inner one it would be computed again for each byte
+        return F.get(F.transform(F.array(F.hex(joined)), lambda h: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))), F.lit(0))
 
 
 class HashingEmbedder:

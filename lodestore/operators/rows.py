@@ -8,22 +8,41 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metadata as M
+from ..functions import vector as V
 
 SCHEMA = "chunk_id string, item_id string, chunk_idx int, seq long, text string, metadata string, code array<int>"
 COLUMNS = ["chunk_id", "item_id", "chunk_idx", "seq", "text", "metadata", "code"]
+PLANES = [f"p{k}" for k in range(8)]
+
+
+def derived(code: Sequence[int]) -> dict[str, int | None]:
+    """width, and the planes of a code of up to 64 bytes."""
+    found = V.planes_of(code) if len(code) <= 64 else [None] * 8
+    return {"width": len(code), **dict(zip(PLANES, found))}
 
 
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
-    """New rows replace those of their chunk_id and keep their seq; others come after all old ones, in the order of new's seq."""
+    """New rows replace those of their chunk_id and keep their seq; others come after all old ones, in the order of new's seq.
+
+    Of new rows of one chunk_id the last by seq counts, at the place of the first.
+    """
+    new = distinct(new)
     top = F.coalesce(F.max("seq") + 1, F.lit(0).cast("long"))
     base = old.agg(top.alias("__top"))  # one row
     kept = old.select("chunk_id", F.col("seq").alias("__old"))
     put = new.join(kept, "chunk_id", "left").crossJoin(F.broadcast(base)).withColumn("seq", F.coalesce("__old", F.col("__top") + F.col("seq")))
-    return old.join(new.select("chunk_id"), "chunk_id", "left_anti").select(*COLUMNS).unionByName(put.select(*COLUMNS))
+    return old.join(new.select("chunk_id"), "chunk_id", "left_anti").select(*old.columns).unionByName(put.select(*old.columns))
+
+
+def distinct(new: DataFrame) -> DataFrame:
+    """A row for each chunk_id: the last by seq, with the least seq."""
+    own = Window.partitionBy("chunk_id")
+    ranked = new.withColumns({"__r": F.row_number().over(own.orderBy(F.desc("seq"))), "__first": F.min("seq").over(own)})
+    return ranked.where("__r = 1").withColumn("seq", F.col("__first")).select(*new.columns)
 
 
 def matched(df: DataFrame, ids: DataFrame, match: str = "exact") -> DataFrame:
@@ -52,6 +71,9 @@ def update(df: DataFrame, item: str, text: str | None = None, metadata: str | No
         new["metadata"] = F.when(hit, M.merge(F.col("metadata"), F.lit(metadata))).otherwise(F.col("metadata"))
     if code is not None:
         new["code"] = F.when(hit, F.lit([int(b) for b in code])).otherwise(F.col("code"))
+        for name, v in derived(code).items():
+            if name in df.columns:
+                new[name] = F.when(hit, F.lit(v)).otherwise(F.col(name))
     return df.withColumns(new) if new else df
 
 

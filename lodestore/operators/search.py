@@ -1,32 +1,38 @@
 """Exact nearest-neighbour search by the weighted XOR distance, lower is better, ties by `seq`.
 
-A corpus has `seq` and `code` (array<int> of bytes), and planes p0..p7 where it has been through
-with_planes(). One query's code becomes literals, so the scan is a projection with a heap in
-each partition (TakeOrderedAndProject) and no shuffle. Several queries are a broadcast table,
-whose size is checked: beyond BROADCAST_QUERIES they are joined without the hint, in blocks of
-the corpus.
+A corpus has `seq` and `code` (array<int> of bytes), and `width` and planes p0..p7 where it has
+been through with_planes(). One query's code becomes literals, so the scan is a projection with a
+heap in each partition (TakeOrderedAndProject) and no shuffle. Many queries go through the corpus
+in blocks of QUERY_BLOCK: a block is broadcast, each Arrow batch of the corpus gives its k best
+rows for each query, and only these are shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metadata as M
 from ..functions import vector as V
+from ..shared import cut
+from . import rows as R
 
-#: Codes of 64 bytes and their planes: about 20 MB of queries
-BROADCAST_QUERIES = 100_000
-PLANES = [f"p{k}" for k in range(8)]
+#: Queries of a pass; of 64 bytes each, 256 KB.
+QUERY_BLOCK = 4096
+PLANES = R.PLANES
 
 
-def with_planes(df: DataFrame, code: str = "code") -> DataFrame:
-    """Bit-planes of codes of up to 64 bytes; others keep using the code itself."""
-    fits = F.size(code) <= 64
-    return df.withColumns({p: F.when(fits, c) for p, c in zip(PLANES, V.planes(F.col(code)))})
+def with_planes(df: DataFrame, code: str = "code", width: int | None = None) -> DataFrame:
+    """width, and bit-planes of codes of up to 64 bytes; others keep using the code itself. width: that of all codes, where known."""
+    fits = F.size(code) <= 64 if width is None else F.size(code) == width
+    size = F.when(F.col(code).isNotNull(), F.size(code))
+    return df.withColumns({"width": size, **{p: F.when(fits, c) for p, c in zip(PLANES, V.planes(F.col(code), width=width))}})
 
 
 def distance(df: DataFrame, query: Sequence[int]) -> Column:
@@ -38,7 +44,7 @@ def distance(df: DataFrame, query: Sequence[int]) -> Column:
 
 
 def same_width(df: DataFrame, n: int) -> DataFrame:
-    return df.where(F.size("code") == n)
+    return df.where((F.col("width") if "width" in df.columns else F.size("code")) == n)
 
 
 def nearest(df: DataFrame, query: Sequence[int], k: int) -> DataFrame:
@@ -58,31 +64,120 @@ def rank_and_filter(df: DataFrame, query: Sequence[int], top_k: int, where: Mapp
     wide = nearest(df, query, top_k * multiplier)
     if not compat_scores:
         return wide.where(M.matches(F.col("metadata"), where)).orderBy("dist", "seq").limit(top_k)
-    # at most top_k * multiplier rows, so one partition is enough
-    order = Window.orderBy("dist", "seq")
-    ranked = wide.withColumn("__all", F.sort_array(F.collect_list("dist").over(Window.partitionBy())))
-    kept = ranked.where(M.matches(F.col("metadata"), where)).withColumn("__i", F.row_number().over(order))
-    return kept.where(F.col("__i") <= top_k).withColumn("dist", F.element_at("__all", F.col("__i"))).drop("__all", "__i")
-
-
-def per_query(corpus: DataFrame, queries: DataFrame, k: int, qid: str = "qid") -> DataFrame:
-    """The k nearest rows of each query (qid, q: array<int>), with `dist`."""
-    few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    q = V.planes(F.col("q"))
-    named = queries.select(qid, "q", *[c.alias(f"q{p}") for p, c in zip(PLANES, q)])
-    planes = set(PLANES) <= set(corpus.columns)
-    joined = corpus.crossJoin(F.broadcast(named) if few else named).where(F.size("code") == F.size("q"))
-    if planes:
-        dist = V.plane_distance([F.col(p) for p in PLANES], [F.col(f"q{p}") for p in PLANES])
+    kept = filtered(wide.withColumn("__q", F.lit(0)), where, top_k, True)
+    return kept.drop("__q")
+
+
+def filtered(wide: DataFrame, where: Mapping[str, Any], top_k: int, compat_scores: bool) -> DataFrame:
+    """The first top_k of each query's candidates (__q, dist, seq, metadata …) that pass the filter."""
+    # at most top_k * multiplier rows a query
+    order = Window.partitionBy("__q").orderBy("dist", "seq")
+    ranked = wide.withColumn("__all", F.sort_array(F.collect_list("dist").over(Window.partitionBy("__q"))))
+    kept = ranked.where(M.matches(F.col("metadata"), where)).withColumn("__i", F.row_number().over(order)).where(F.col("__i") <= top_k)
+    return (kept.withColumn("dist", F.element_at("__all", F.col("__i"))) if compat_scores else kept).drop("__all", "__i")
+
+
+def _best(dist: np.ndarray, seq: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k least by (dist, seq)."""
+    if len(dist) > k:
+        at = np.flatnonzero(dist <= np.partition(dist, k - 1)[k - 1])
     else:
-        dist = V.xor_distance(F.col("code"), F.col("q"))
-    ranked = joined.withColumn("dist", dist).withColumn("__r", F.row_number().over(Window.partitionBy(qid).orderBy("dist", "seq")))
-    return ranked.where(F.col("__r") <= k).drop("__r", "q", *[f"q{p}" for p in PLANES])
+        at = np.arange(len(dist))
+    return at[np.lexsort((seq[at], dist[at]))[:k]]
+
+
+def _scan(sent: Broadcast, k: int, planes: bool):
+    """Arrow batches of (seq, width, planes or code, kept columns) to (query, dist, seq, kept columns)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        widths, codes = sent.value
+        for batch in batches:
+            seq = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            width = batch.column(1).fill_null(-1).to_numpy(zero_copy_only=False)
+            skip = 10 if planes else 3
+            who, best, dists = [], [], []
+            for w in np.intersect1d(np.unique(width), np.unique(widths)):
+                rows = np.flatnonzero(width == w)
+                asked = np.flatnonzero(widths == w)
+                if planes:
+                    own = np.stack([batch.column(2 + i).fill_null(0).to_numpy(zero_copy_only=False)[rows] for i in range(8)]).view(np.uint64)
+                else:
+                    own = batch.column(2).take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.uint8).reshape(len(rows), int(w))
+                step = max(1, (1 << 20) // max(1, len(rows)))
+                for a in range(0, len(asked), step):
+                    part = asked[a : a + step]
+                    total = np.zeros((len(part), len(rows)), np.int64)
+                    if planes:
+                        q = np.array([V.planes_of(codes[i]) for i in part], np.int64).view(np.uint64)
+                        for i in range(8):
+                            total += np.bitwise_count(own[i][None, :] ^ q[:, i, None]).astype(np.int64) << (7 - i)
+                    else:
+                        q = np.array([codes[i] for i in part], np.uint8)
+                        for j in range(int(w)):
+                            total += own[None, :, j] ^ q[:, j, None]
+                    for i, d in zip(part, total):
+                        at = _best(d, seq[rows], k)
+                        who.append(np.full(len(at), i))
+                        best.append(rows[at])
+                        dists.append(d[at])
+            if who:
+                at = pa.array(np.concatenate(best))
+                columns = [pa.array(np.concatenate(who), pa.int32()), pa.array(np.concatenate(dists), pa.int64()), batch.column(0).take(at).cast(pa.int64())]
+                columns += [batch.column(i).take(at) for i in range(skip, batch.num_columns)]
+                yield pa.RecordBatch.from_arrays(columns, ["__q", "dist", "seq", *batch.schema.names[skip:]])
+
+    return run
+
+
+def _block(corpus: DataFrame, codes: list[list[int]], k: int, keep: Sequence[str]) -> DataFrame:
+    """(__q, dist, seq, kept columns): the k nearest rows of each of these codes, by its place in the list."""
+    planes = set(PLANES) <= set(corpus.columns) and max(map(len, codes), default=0) <= 64
+    width = F.col("width") if "width" in corpus.columns else F.when(F.col("code").isNotNull(), F.size("code"))
+    rows = corpus.select("seq", width.alias("width"), *(PLANES if planes else ["code"]), *[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)])
+    sent = corpus.sparkSession.sparkContext.broadcast((np.array(list(map(len, codes))), codes))
+    kinds = [("__q", "int"), ("dist", "bigint"), ("seq", "bigint"), *rows.dtypes[10 if planes else 3 :]]
+    near = rows.mapInArrow(_scan(sent, k, planes), ", ".join(f"`{n}` {t}" for n, t in kinds))
+    ranked = near.withColumn("__r", F.row_number().over(Window.partitionBy("__q").orderBy("dist", "seq")))
+    return ranked.where(F.col("__r") <= k).select("__q", "dist", "seq", *[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)])
+
+
+def nearest_of(corpus: DataFrame, codes: Sequence[Sequence[int]], k: int, keep: Sequence[str] = ()) -> DataFrame:
+    """_block() for codes that the driver holds, in one pass for each QUERY_BLOCK of them."""
+    found = None
+    for a in range(0, max(1, len(codes)), QUERY_BLOCK):
+        part = [[int(b) for b in c] for c in codes[a : a + QUERY_BLOCK]]
+        one = _block(corpus, part, k, keep).withColumn("__q", F.col("__q") + a)
+        one = cut(one) if len(codes) > QUERY_BLOCK else one
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def per_query(corpus: DataFrame, queries: DataFrame, k: int, qid: str = "qid", keep: Sequence[str] = ()) -> DataFrame:
+    """The k nearest rows of each query (qid, q: array<int>): qid, dist, seq and the kept columns.
+
+    The queries come to the driver a block at a time.
+    """
+    found, part = None, []
+
+    def go() -> None:
+        nonlocal found, part
+        names = corpus.sparkSession.createDataFrame([(i, r[qid]) for i, r in enumerate(part)], f"__q int, `{qid}` {queries.schema[qid].dataType.simpleString()}")
+        one = _block(corpus, [list(r["q"]) for r in part], k, keep).join(F.broadcast(names), "__q").drop("__q")
+        one = cut(one) if found is not None or len(part) == QUERY_BLOCK else one
+        found, part = one if found is None else found.unionByName(one), []
+
+    for row in queries.where("q is not null").select(qid, "q").toLocalIterator():
+        part.append(row)
+        if len(part) == QUERY_BLOCK:
+            go()
+    if part or found is None:
+        go()
+    return found.select(qid, "dist", "seq", *keep)
 
 
-def merged(corpus: DataFrame, queries: DataFrame, k: int, qid: str = "qid") -> DataFrame:
+def merged(corpus: DataFrame, queries: DataFrame, k: int, qid: str = "qid", keep: Sequence[str] = ()) -> DataFrame:
     """The k best rows over all queries; a row can come once for each query."""
-    return per_query(corpus, queries, k, qid).orderBy("dist", qid, "seq").limit(k)
+    return per_query(corpus, queries, k, qid, keep).orderBy("dist", qid, "seq").limit(k)
 
 
 def byte_similarity(df: DataFrame, query: Sequence[int], k: int) -> DataFrame:

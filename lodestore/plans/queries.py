@@ -18,6 +18,7 @@ from ..functions import text as T
 from ..functions import vector as V
 from ..operators import rows as R
 from ..operators import search as S
+from ..operators.collection import Collection
 from ..operators.embed import Md5TestEmbedder
 from ..shared import shared_dir
 from ..sources import ctx, files
@@ -56,12 +57,12 @@ _RANKED = f"WITH {_CODES}, {_MEAN}, {_Q}, ranked AS (SELECT vec_id, label, {_DIS
 
 def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", "label", F.col("vec_id").alias("seq"), V.pack_bits(F.col("embedding")).alias("code"))
+    return e.select("vec_id", "label", F.col("vec_id").alias("seq"), V.pack_bits(F.col("embedding"), DIMS).alias("code"))
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     noted = _codes(spark, sf_dir).withColumn("metadata", F.to_json(F.struct("label")))
-    return S.with_planes(noted)
+    return S.with_planes(noted, width=DIMS // 8)
 
 
 def _mean(spark: SparkSession, sf_dir: str) -> list[float]:
@@ -86,7 +87,7 @@ def _plane_sql(k: int) -> str:
 
 @query(f"WITH {_CODES} SELECT vec_id, " + ", ".join(map(_plane_sql, range(8))) + " FROM codes")
 def bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.with_planes(_codes(spark, sf_dir)).select("vec_id", *S.PLANES)
+    return S.with_planes(_codes(spark, sf_dir), width=DIMS // 8).select("vec_id", *S.PLANES)
 
 
 @query(f"{_RANKED} SELECT vec_id, dist FROM ranked ORDER BY dist, vec_id LIMIT {K}")
@@ -104,12 +105,12 @@ def _as_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_EACH}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS n FROM pairs) SELECT qid, vec_id, dist FROM r WHERE n <= 5")
 def knn_xor_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector is a query."""
-    return S.per_query(_corpus(spark, sf_dir), _as_queries(spark, sf_dir), 5).select("qid", "vec_id", "dist")
+    return S.per_query(_corpus(spark, sf_dir), _as_queries(spark, sf_dir), 5, keep=["vec_id"]).select("qid", "vec_id", "dist")
 
 
 @query(f"{_EACH}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS n FROM pairs) SELECT qid, vec_id, dist FROM r WHERE n <= 5 ORDER BY dist, qid, vec_id LIMIT 5")
 def knn_xor_multi_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.merged(_corpus(spark, sf_dir), _as_queries(spark, sf_dir), 5).select("qid", "vec_id", "dist")
+    return S.merged(_corpus(spark, sf_dir), _as_queries(spark, sf_dir), 5, keep=["vec_id"]).select("qid", "vec_id", "dist")
 
 
 _WIDE = f"{_RANKED}, wide AS (SELECT * FROM ranked ORDER BY dist, vec_id LIMIT {K * 4})"
@@ -203,13 +204,13 @@ def _embedded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query(f"{_TEXT_PAIRS} SELECT qid, doc_id, dist FROM r WHERE n <= 5 ORDER BY dist, qid, doc_id LIMIT 5")
 def retrieve_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All benchmark texts as one query list, results merged."""
-    return S.merged(*_embedded(spark, sf_dir), 5).select("qid", "doc_id", "dist")
+    return S.merged(*_embedded(spark, sf_dir), 5, keep=["doc_id"]).select("qid", "doc_id", "dist")
 
 
 @query(f"{_TEXT_PAIRS}, f AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, doc_id) AS m FROM r WHERE n <= 20 AND lang = 'en') SELECT qid, doc_id, dist FROM f WHERE m <= 5")
 def retrieve_text_where_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each benchmark text by itself: 20 candidates, then the filter, then 5."""
-    wide = S.per_query(*_embedded(spark, sf_dir), 20).where("lang = 'en'")
+    wide = S.per_query(*_embedded(spark, sf_dir), 20, keep=["doc_id", "lang"]).where("lang = 'en'")
     n = F.row_number().over(Window.partitionBy("qid").orderBy("dist", "doc_id"))
     return wide.withColumn("m", n).where("m <= 5").select("qid", "doc_id", "dist")
 
@@ -382,11 +383,17 @@ def metadata_eq_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").where(M.equals(F.col("props"), "k", 69.0)).select("event_id")
 
 
-@query("SELECT event_id FROM events WHERE json_extract(props, '$.absent') IS NULL AND (props->>'$.k') IS NOT NULL")
+_FIRST = "(SELECT min(event_type) FROM events)"
+
+
+@query(f"SELECT event_id FROM events WHERE NOT coalesce(event_type = {_FIRST}, false) OR value IS NULL OR (props->>'$.k') IS NULL")
 def metadata_missing_is_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A missing key equals null; a number isn't a string."""
+    """Half of the metadata lacks the key v: missing equals null, and a number isn't a string."""
     e = _table(spark, sf_dir, "events")
-    return e.where(M.equals(F.col("props"), "absent", None) & ~M.equals(F.col("props"), "k", None) & ~M.equals(F.col("props"), "k", "69")).select("event_id")
+    first = F.lit(e.agg(F.min("event_type")).first()[0])
+    note = F.to_json(F.struct(F.when(F.col("event_type") == first, F.col("value")).alias("v"), F.get_json_object("props", "$.k").cast("int").alias("k")))
+    e = e.select("event_id", note.alias("note"))
+    return e.where((M.equals(F.col("note"), "v", None) | M.equals(F.col("note"), "k", None)) & ~M.equals(F.col("note"), "k", "69")).select("event_id")
 
 
 @query(f"WITH {_CHUNKS} SELECT count(*) AS n FROM chunks")
@@ -407,9 +414,65 @@ def dump(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_CHUNKS} SELECT count(*) FILTER (WHERE false) AS n FROM chunks")
 def clear_then_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All items are deleted."""
-    rows = _rows(spark, sf_dir)
-    return R.delete(rows, rows.select(F.col("item_id").alias("id"))).agg(F.count("*").alias("n"))
+    c = _collection(spark, sf_dir)
+    c.clear()
+    return Collection(spark, c.name, c.path).df.agg(F.count("*").alias("n"))
+
+
+def _collection(spark: SparkSession, sf_dir: str) -> Collection:
+    """A collection of the documents' chunks, saved."""
+    c = Collection(spark, "documents", _fresh(spark, "collections"), MD5)
+    c.add_dataframe(_table(spark, sf_dir, "documents"), "doc_id", "text", F.to_json(F.struct("lang", "source")))
+    c.save()
+    return c
+
+
+@query(f"WITH {_CHUNKS} SELECT doc_id || '_' || chunk_idx AS chunk_id, text, lang, row_number() OVER (ORDER BY doc_id, chunk_idx) - 1 AS seq, list_sum({_MD5_CODE})::BIGINT AS total FROM (SELECT *, chunk AS text FROM chunks)")
+def save_and_reopen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The collection as another session finds it."""
+    c = _collection(spark, sf_dir)
+    df = Collection(spark, c.name, c.path).df
+    return df.select("chunk_id", "text", F.get_json_object("metadata", "$.lang").alias("lang"), "seq", F.aggregate("code", F.lit(0).cast("long"), lambda a, b: a + b).alias("total"))
+
+
+@query(f"WITH {_CHUNKS}, d AS (SELECT doc_id || '_' || chunk_idx AS chunk_id, doc_id * {_STEP} + chunk_idx AS seq, {_MD5_CODE} AS code FROM (SELECT *, chunk AS text FROM chunks)), q AS (SELECT item_id AS qid, {_MD5_CODE} AS q FROM benchmark), pairs AS (SELECT qid, chunk_id, seq, list_sum(list_transform(range(1, 65), lambda i: xor(code[i], q[i])))::BIGINT AS dist FROM d CROSS JOIN q) SELECT qid, chunk_id, dist FROM pairs QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, seq) <= 3")
+def collection_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark text in the saved collection, all in one pass over its planes."""
+    c = _collection(spark, sf_dir)
+    asked = [(r.item_id, r.text) for r in _table(spark, sf_dir, "benchmark").toLocalIterator()]
+    found = c.search(MD5.encode([t for _, t in asked]), 3)
+    names = F.broadcast(spark.createDataFrame([(n, i) for n, (i, _) in enumerate(asked)], "__q int, qid long"))
+    return found.join(names, "__q").select("qid", "chunk_id", "dist")
+
+
+@query(f"WITH {_CODES} SELECT 'vector ' || vec_id AS text, label::BIGINT AS label, list_sum(code)::BIGINT AS total, row_number() OVER (ORDER BY vec_id) - 1 AS seq FROM codes")
+def set_batch_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collection.set_batch_dataframe, saved and opened again."""
+    rows = _codes(spark, sf_dir).select("vec_id", F.concat(F.lit("vector "), F.col("vec_id")).alias("text"), F.to_json(F.struct("label")).alias("metadata"), "code")
+    c = Collection(spark, "vectors", _fresh(spark, "collections"), MD5)
+    c.set_batch_dataframe(rows, "text", "code", "metadata", "vec_id")
+    return Collection(spark, c.name, c.path).df.select("text", F.get_json_object("metadata", "$.label").cast("long").alias("label"), F.aggregate("code", F.lit(0).cast("long"), lambda a, b: a + b).alias("total"), "seq")
+
+
+@query(f"WITH {_CODES}, {_MEAN}, {_Q} SELECT vec_id::VARCHAR AS chunk_id, round(1 - {_MISS} / {DIMS // 8}.0::DOUBLE, 6) AS similarity FROM codes, q ORDER BY similarity DESC, vec_id LIMIT {K}")
+def code_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keyed index of codes; two ids are added again and one is removed and added."""
+    rows = _codes(spark, sf_dir).select("seq", F.col("vec_id").cast("string").alias("chunk_id"), "code")
+    index = S.CodeIndex(spark, rows)
+    again = rows.where("seq in (0, 1)").collect()
+    index.add_batch([r.chunk_id for r in again], [[0] * len(r.code) for r in again])
+    index.add_batch([r.chunk_id for r in again], [r.code for r in again])
+    ids, shares = index.search(_query_code(spark, sf_dir), K)
+    return spark.createDataFrame([(i, round(x, 6)) for i, x in zip(ids, shares)], "chunk_id string, similarity double")
+
+
+@query(f"SELECT split_part(source || CASE WHEN doc_id % 2 = 0 THEN '_x' ELSE '' END || '_' || doc_id, '_', 1) AS id, doc_id AS seq FROM documents")
+def listed_by_first_underscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix mode names an item by what stands before the first underscore."""
+    d = _table(spark, sf_dir, "documents")
+    item = F.concat("source", F.when(F.col("doc_id") % 2 == 0, "_x").otherwise(""))
+    rows = d.select(F.concat_ws("_", item, "doc_id").alias("chunk_id"), item.alias("item_id"), F.col("doc_id").alias("seq"), "text", F.lit("{}").alias("metadata"))
+    return R.listed(rows, "prefix").select("id", "seq")
 
 
 # sources
@@ -432,12 +495,14 @@ def _fresh(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
-@query("SELECT doc_id::VARCHAR AS a, lang AS b, source AS c, n_chars::VARCHAR AS d FROM documents")
+@query("SELECT doc_id::VARCHAR AS a, lang AS b, source AS c, n_chars::VARCHAR AS d, coalesce(nullif(replace(text, chr(13), ' '), ''), 'nan') AS e FROM documents")
 def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with quotes, commas and line breaks too; carriage returns, which readers take for line ends, are spaces."""
     at = _fresh(spark, "csv")
-    _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars").write.csv(at, header=True)
+    rows = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", F.replace("text", F.lit("\r"), F.lit(" ")).alias("text"))
+    rows.write.csv(at, header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="")
     cells = files.csv_rows(spark, at)
-    return cells.select(*[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate("abcd")])
+    return cells.select(*[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate("abcde")])
 
 
 _WORDS = r"regexp_extract_all(text, '[\p{L}\p{N}_]+|\s+|[^\p{L}\p{N}_\s]')"
@@ -469,6 +534,29 @@ def token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", T.word_token_count(F.col("text")).alias("n"))
 
 
+@query(f"SELECT doc_id, len({_WORDS})::BIGINT AS n, len({_WORDS})::BIGINT + 2 AS n_special FROM documents")
+def token_count_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokenizer's own count, in Arrow batches, and with two special tokens."""
+    text = F.col("text")
+    return _table(spark, sf_dir, "documents").select("doc_id", T.token_count(T.WordTokenizer())(text).alias("n"), T.token_count(T.WordTokenizer(), special=2)(text).alias("n_special"))
+
+
+@query("SELECT item_id, replace(trim(text), chr(10), chr(10) || chr(10)) AS text FROM benchmark")
+def docx_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word documents made of the benchmark's texts, a file each, written by the executors and read again."""
+    at = _fresh(spark, "docx").removeprefix("file://")
+
+    def write(batches):
+        for pdf in batches:
+            for i, t in zip(pdf["item_id"], pdf["text"]):
+                ctx._write(f"{at}/{i}.docx", files.docx_of(t))
+            yield pdf[["item_id"]]
+
+    _table(spark, sf_dir, "benchmark").select("item_id", "text").mapInPandas(write, "item_id long").write.format("noop").mode("overwrite").save()
+    found = files.read_docx(spark, f"{at}/*.docx")
+    return found.select(F.regexp_extract("file", r"(\d+)\.docx$", 1).cast("long").alias("item_id"), F.trim("text").alias("text"))
+
+
 @query(f"SELECT (row_number() OVER (ORDER BY doc_id) - 1)::INT AS pos, doc_id || '_0' AS chunk_id, text, lang, list_sum({_MD5_CODE})::BIGINT AS total FROM documents")
 def ctx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the test embedder's codes to a CTX file and back."""

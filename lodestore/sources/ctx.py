@@ -8,13 +8,15 @@ Rows: pos INT, chunk_id STRING, text STRING, embedding ARRAY<FLOAT>, metadata ST
 STRING. Positions pair the sections; where one is shorter its column is null. A text that isn't
 UTF-8 is null and shifts no other.
 
-The reader makes one partition of each file. A collection is one file, so the writer takes a
-single partition (coalesce(1) in order); it writes beside the target and renames.
+Paths are local ones or URIs of any file system that pyarrow knows (file, hdfs, s3, gs); executors
+and driver must share them. The reader makes one partition of each file. A collection is one
+file, so the writer takes a single partition (coalesce(1) in order) and holds it in memory, which
+the format bounds to 4 GB a section; it writes beside the target and renames.
 """
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import json
 import os
 import struct
@@ -23,6 +25,7 @@ from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -109,9 +112,44 @@ def rows_of(c: Contents, name: str) -> Iterator[tuple]:
         )
 
 
+def _fs(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path.removeprefix("file:")))
+
+
+def _exists(path: str) -> bool:
+    fs, p = _fs(path)
+    return fs.get_file_info(p).type == pafs.FileType.File
+
+
+def _read(path: str) -> bytes:
+    fs, p = _fs(path)
+    with fs.open_input_stream(p) as f:
+        return f.read()
+
+
+def _write(path: str, data: bytes) -> None:
+    fs, p = _fs(path)
+    fs.create_dir(os.path.dirname(p), recursive=True)
+    with fs.open_output_stream(p) as f:
+        f.write(data)
+
+
+def _delete(path: str) -> None:
+    if _exists(path):
+        fs, p = _fs(path)
+        fs.delete_file(p)
+
+
 def _files(path: str) -> list[str]:
-    path = path.removeprefix("file://")
-    return sorted(glob.glob(os.path.join(path, "*.ctx")) if os.path.isdir(path) else glob.glob(path))
+    """A file, the .ctx files of a folder, or those that match a pattern in their last part."""
+    fs, p = _fs(path)
+    info = fs.get_file_info(p)
+    if info.type == pafs.FileType.File:
+        return [path]
+    folder, pattern = (p, "*.ctx") if info.type == pafs.FileType.Directory else os.path.split(p)
+    there = fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
+    root = path[: len(path) - len(p)] if path.endswith(p) else ""
+    return sorted(root + x.path for x in there if x.type == pafs.FileType.File and fnmatch.fnmatch(x.base_name, pattern))
 
 
 class _Reader(DataSourceReader):
@@ -123,8 +161,7 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         if partition.value is not None:
-            with open(partition.value, "rb") as f:
-                yield from rows_of(loads(f.read()), partition.value)
+            yield from rows_of(loads(_read(partition.value)), partition.value)
 
 
 @dataclass
@@ -134,7 +171,7 @@ class _Written(WriterCommitMessage):
 
 class _Writer(DataSourceWriter):
     def __init__(self, path: str, header: dict[str, Any], columns: list[str], overwrite: bool):
-        self.path, self.header, self.columns, self.overwrite = path.removeprefix("file://"), header, columns, overwrite
+        self.path, self.header, self.columns, self.overwrite = path, header, columns, overwrite
 
     def write(self, iterator: Iterable) -> WriterCommitMessage:
         c = Contents(self.header)
@@ -147,10 +184,8 @@ class _Writer(DataSourceWriter):
             c.metadata[r["chunk_id"]] = json.loads(r["metadata"] or "{}")
         if not some:
             return _Written(None)
-        os.makedirs(os.path.dirname(self.path) or ".", exist_ok=True)
         part = f"{self.path}.{uuid.uuid4().hex}.part"
-        with open(part, "wb") as f:
-            f.write(dumps(c))
+        _write(part, dumps(c))
         return _Written(part)
 
     def commit(self, messages: list) -> None:
@@ -158,19 +193,19 @@ class _Writer(DataSourceWriter):
         if len(parts) > 1:
             self.abort(messages)
             raise ValueError("a CTX file is written from one partition; use coalesce(1)")
-        if os.path.exists(self.path) and not self.overwrite:
+        if _exists(self.path) and not self.overwrite:
             self.abort(messages)
             raise FileExistsError(self.path)
         if parts:
-            os.replace(parts[0], self.path)
+            fs, target = _fs(self.path)
+            fs.move(_fs(parts[0])[1], target)
         else:
-            with open(self.path, "wb") as f:
-                f.write(dumps(Contents(self.header)))
+            _write(self.path, dumps(Contents(self.header)))
 
     def abort(self, messages: list) -> None:
         for m in messages:
-            if m is not None and m.path and os.path.exists(m.path):
-                os.remove(m.path)
+            if m is not None and m.path:
+                _delete(m.path)
 
 
 class CtxDataSource(DataSource):
@@ -198,11 +233,10 @@ class Catalog:
     """Names of CTX files in a folder."""
 
     def __init__(self, folder: str = "contexts"):
-        self.folder = folder
-        os.makedirs(folder, exist_ok=True)
+        self.folder = folder.rstrip("/")
 
     def get(self, name: str) -> str:
-        return os.path.join(self.folder, f"{name}.ctx")
+        return f"{self.folder}/{name}.ctx"
 
     def read(self, spark: SparkSession, name: str) -> DataFrame:
         """The file's rows; none if there is no such file."""
@@ -216,12 +250,10 @@ class Catalog:
         return self.get(name)
 
     def header(self, name: str) -> dict[str, Any]:
-        with open(self.get(name), "rb") as f:
-            return loads(f.read()).header
+        return loads(_read(self.get(name))).header
 
     def delete(self, name: str) -> None:
-        if os.path.exists(self.get(name)):
-            os.remove(self.get(name))
+        _delete(self.get(name))
 
 
 def describe(c: Contents) -> str:

@@ -10,7 +10,9 @@ import io
 import os
 import re
 import zipfile
+from collections.abc import Callable
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,9 +60,12 @@ def rendered(df: DataFrame) -> Column:
     return F.array(*[cell(c, t) for c, t in df.dtypes])
 
 
-def csv_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(cells): each row's cells as strings; the first line is the header."""
-    df = spark.read.csv(path, header=True, inferSchema=True, multiLine=True, escape='"')
+def csv_rows(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """(cells): each row's cells as strings; the first line is the header.
+
+    multi_line: cells may have line breaks; a file is then read by one task. Without it large files are split.
+    """
+    df = spark.read.csv(path, header=True, inferSchema=True, multiLine=multi_line, escape='"')
     return df.select(rendered(df).alias("cells"))
 
 
@@ -81,6 +86,15 @@ def docx_text(data: bytes) -> str:
     return "".join(out).strip()
 
 
+def docx_of(text: str) -> bytes:
+    """The least Word document with a text, a paragraph for each line."""
+    body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(line)}</w:t></w:r></w:p>' for line in text.split("\n"))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{_W[1:-1]}"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
+
 def read_docx(spark: SparkSession, path: str) -> DataFrame:
     @F.pandas_udf("string")
     def text(data: pd.Series) -> pd.Series:
@@ -119,11 +133,22 @@ def pdf_pages_available() -> None:
         raise ImportError("reading PDF files needs the optional package pypdf") from e
 
 
-def pdf_chunks(spark: SparkSession, path: str, tokenizer: T.Tokenizer, chunk_size: int = T.CHUNK_TOKENS, use_ocr: bool = False) -> DataFrame:
-    """Pages joined without a separator, then chunked."""
-    if use_ocr:
-        raise ImportError("OCR needs an optional OCR package, which isn't installed")
-    pages = pdf_pages(spark, path).groupBy("file").agg(F.sort_array(F.collect_list(F.struct("page", "text"))).alias("p"))
+def ocr_pages(spark: SparkSession, path: str, ocr: Callable[[bytes], list[str]]) -> DataFrame:
+    """(file, page, text) by a function from a file's bytes to its pages' texts, such as an OCR package gives."""
+
+    @F.pandas_udf("array<string>")
+    def pages(data: pd.Series) -> pd.Series:
+        return pd.Series([ocr(bytes(d)) for d in data], dtype=object)
+
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.posexplode(pages("content")).alias("page", "text"))
+
+
+def pdf_chunks(spark: SparkSession, path: str, tokenizer: T.Tokenizer, chunk_size: int = T.CHUNK_TOKENS, use_ocr: bool = False, ocr: Callable[[bytes], list[str]] | None = None) -> DataFrame:
+    """Pages joined without a separator, then chunked. use_ocr: pages are read by `ocr`."""
+    if use_ocr and ocr is None:
+        raise ImportError("OCR needs a function that reads a file's pages")
+    read = ocr_pages(spark, path, ocr) if use_ocr and ocr else pdf_pages(spark, path)
+    pages = read.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("page", "text"))).alias("p"))
     whole = pages.select("file", F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text"))
     return T.exploded(whole, T.token_chunks(tokenizer, chunk_size)(F.col("text")), "file")
 

@@ -1,10 +1,12 @@
 import json
 import math
+import re
 
 import pytest
 
 from lodestore.functions import metadata as M
 from lodestore.functions import text as T
+from lodestore.operators import rows as R
 from lodestore.operators.collection import Collection
 from lodestore.operators.embed import Md5TestEmbedder
 from lodestore.sources import ctx, files
@@ -223,3 +225,132 @@ def test_token_windows():
     assert T.token_windows(t, "") == [""] and T.token_windows(t, "a b", 3) == ["a b"]
     assert "".join(T.token_windows(t, "a b c d, e", 3)) == "a b c d, e"
     assert "48;5" in T.show_tokens(["a", "b"])
+
+
+def test_duplicate_rows_of_an_item(spark, make):
+    c = make("dup")
+    rows = [(1, "k", "old " * 600), (2, "k", "new"), (3, "z", "z"), (4, "k", "newest")]
+    c.add_dataframe(spark.createDataFrame(rows, "at int, id string, body string"), "id", "body", order="at")
+    got = {r.chunk_id: r.text for r in c.df.collect()}
+    assert c.count() == len(got) == 3 and got["k_0"] == "newest" and got["k_1"] == ("old " * 600)[2048:] and got["z_0"] == "z"
+    c.add_dataframe(spark.createDataFrame(rows[:1], "at int, id string, body string"), "id", "body", order="at")
+    assert c.count() == 3 and [r.chunk_id for r in c.dump().collect()] == ["k_0", "k_1", "z_0"]
+
+
+def test_stream_keeps_the_last_row_of_an_item(spark, make, tmp_path):
+    rows = [(i % 3, i, f"text {i}") for i in range(60)]
+    spark.createDataFrame(rows, "id long, at int, body string").repartition(5).write.parquet(str(tmp_path / "in"))
+    c = make("s")
+    stream = spark.readStream.schema("id long, at int, body string").parquet(str(tmp_path / "in"))
+    ingest(stream, c, "id", "body", str(tmp_path / "cp"), available_now=True, order="at").awaitTermination()
+    assert {r.item_id: r.text for r in make("s").df.collect()} == {str(k): f"text {57 + k}" for k in range(3)}
+
+
+def _files(path):
+    import os
+
+    return {os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+
+
+def test_a_mutation_writes_its_buckets_only(spark, make, tmp_path):
+    c = make("b")
+    c.add_dataframe(spark.createDataFrame([(f"i{k}", f"text {k}") for k in range(200)], "id string, body string"), "id", "body")
+    c.save()
+    before = _files(tmp_path / "db" / "b")
+    assert len({f.split("bucket=")[1].split("/")[0] for f in before}) == 16
+    assert c.update("i7", "changed")
+    new = _files(tmp_path / "db" / "b") - before
+    assert len({f.split("bucket=")[1].split("/")[0] for f in new}) == 1
+    c.add("fresh", item_id="fresh")
+    c.save()
+    last = _files(tmp_path / "db" / "b") - before - new
+    assert len(last) == 1 and spark.read.parquet(*last).count() == 1  # appended
+    assert c.delete("i9") == 1 and make("b").count() == 200 and make("b").get("i7")[0][1] == "changed"
+    for k in range(12):
+        c.add(f"again {k}", item_id=f"more{k}")
+        c.save()
+    c.update("i1", "x")
+    again = make("b")
+    assert again.count() == 212 and all(len(v) <= 10 for v in again._saved["versions"].values())
+    assert [r.chunk_id for r in again.dump().collect()][-12:] == [f"more{k}_0" for k in range(12)]
+    assert len(_files(tmp_path / "db" / "b")) < 80
+
+
+def test_set_batch_of_a_table(spark, make):
+    c = make("t")
+    rows = [(k, f"t{k}", [k - 128] * 64, json.dumps({"k": k})) for k in range(128)] + [(200, "none", [5] * 64, None)]
+    c.set_batch_dataframe(spark.createDataFrame(rows, "at int, body string, e array<int>, m string"), "body", "e", "m", "at")
+    got = [(r.text, r.metadata, r.binary_vector[0]) for r in make("t").dump().collect()]
+    assert got == [(f"t{k}", json.dumps({"k": k}), k) for k in range(128)] + [("none", "{}", 5)]
+    d = make("d")
+    d.set_batch(["a", "b"], [[-128] * 64, [127] * 64])
+    assert [r.binary_vector[0] for r in d.dump().collect()] == [0, 127]
+
+
+def test_search_reads_planes_and_no_texts(spark, make):
+    c = make("p")
+    c.add_dataframe(spark.createDataFrame([(f"i{k}", f"text {k}") for k in range(50)], "id string, body string"), "id", "body")
+    c.save()
+    codes = c.embedder.encode(["text 3", "text 4"])
+    for asked in (codes[:1], codes):
+        plan = c.search(asked, 3)._jdf.queryExecution().executedPlan().toString()
+        scans = [x for x in plan.splitlines() if "FileScan" in x]
+        assert len(scans) == 1
+        read = re.findall(r"(\w+)#", scans[0].split("[")[1].split("]")[0])
+        assert set(read) - {"version"} == {"chunk_id", "seq", "width", *R.PLANES, "bucket"}
+    assert "bit_count" in c.search(codes[:1], 3)._jdf.queryExecution().executedPlan().toString()
+    assert [b[0] for b in c.retrieve(["text 4", "text 5"], top_k=2)] == ["i4_0", "i5_0"]
+
+
+def test_lists_of_queries_are_single_queries_merged(make):
+    c = make("q")
+    for i in range(40):
+        c.add(f"text {i}", {"n": i % 3}, f"i{i}")
+    texts = [f"text {i}" for i in (3, 8, 30)] + ["other"]
+    for options in ({}, {"metadata": {"n": 2}}, {"metadata": {"n": 2}, "prefilter": True}, {"metadata": {"n": 2}, "compat_scores": True}):
+        singles = [(r[3], q, r[0], r) for q, t in enumerate(texts) for r in c.retrieve(t, top_k=4, return_scores=True, **options)]
+        got = c.retrieve(texts, top_k=4, return_scores=True, **options)
+        assert [(r[3], r[0]) for r in got] == [(d, i) for d, _, i, _ in sorted(singles, key=lambda x: x[:2])[:4]]
+    c.save()
+    assert c.retrieve(texts, top_k=1, return_scores=True)[0][3] == 0
+
+
+def test_a_crash_before_the_pointer_leaves_the_old_state(spark, make, monkeypatch):
+    c = make("crash")
+    c.add("one", item_id="a")
+    c.save()
+    c.add("two", item_id="b")
+    monkeypatch.setattr(c, "_point", lambda pointer: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        c.save()
+    assert [r.chunk_id for r in make("crash").dump().collect()] == ["a_0"]
+
+
+def test_pdf_pages_with_a_reader(spark, tmp_path, monkeypatch):
+    import sys
+    import types
+
+    class Reader:
+        def __init__(self, f):
+            self.pages = [types.SimpleNamespace(extract_text=lambda t=t: t) for t in f.read().decode().split("|")]
+
+    monkeypatch.setitem(sys.modules, "pypdf", types.SimpleNamespace(PdfReader=Reader))
+    assert files.pdf_pages_of(b"one two|three") == ["one two", "three"]
+
+
+def test_rank_tokenizer(tmp_path):
+    import base64
+
+    ranks = [bytes([b]) for b in range(256)] + [b"he", b"ll", b"hell"]
+    (tmp_path / "r").write_bytes(b"".join(base64.b64encode(t) + f" {i}\n".encode() for i, t in enumerate(ranks)))
+    t = T.RankTokenizer(str(tmp_path / "r"), r"\w+|\s+|[^\w\s]+")
+    assert t.encode("hello") == [258, ord("o")] and t.decode(t.encode("hello é")) == "hello é"
+    assert "".join(T.token_windows(t, "hello hello", 2)) == "hello hello"
+
+
+def test_token_ids_are_the_same_in_every_process():
+    import subprocess
+    import sys
+
+    code = "from lodestore.functions.text import WordTokenizer; print(WordTokenizer().encode('a b'))"
+    assert len({subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env={"PYTHONHASHSEED": str(k), "PYTHONPATH": ":".join(sys.path)}).stdout for k in (1, 2)}) == 1

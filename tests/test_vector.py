@@ -78,11 +78,26 @@ def test_code_index(spark):
     assert index.search([1, 2, 3, 4, 5], 5) == (["a", "b"], [1.0, 0.75])
 
 
-def test_many_queries_beyond_the_broadcast(spark, monkeypatch):
+@pytest.mark.parametrize("width,planes", [(4, False), (4, True), (64, True), (70, False)])
+def test_many_queries_in_blocks_of_any_size(spark, monkeypatch, width, planes):
     rng = random.Random(3)
-    rows = [(i, [rng.randrange(256) for _ in range(4)]) for i in range(30)]
-    corpus = spark.createDataFrame(rows, "seq long, code array<int>")
-    queries = spark.createDataFrame(rows, "qid long, q array<int>")
-    few = sorted(tuple(r) for r in S.per_query(corpus, queries, 3).select("qid", "seq", "dist").collect())
-    monkeypatch.setattr(S, "BROADCAST_QUERIES", 5)
-    assert few == sorted(tuple(r) for r in S.per_query(corpus, queries, 3).select("qid", "seq", "dist").collect())
+    rows = [(i, [rng.choice((0, 1, 255, rng.randrange(256))) for _ in range(width)], f"n{i}") for i in range(60)] + [(90, None, "x"), (91, [1], "y")]
+    rows += [(100 + i, rows[i][1], "again") for i in range(20)]
+    corpus = spark.createDataFrame(rows, "seq long, code array<int>, name string").repartition(3)
+    corpus = S.with_planes(corpus) if planes else corpus
+    asked = [(f"q{i}", rows[i][1]) for i in range(30)] + [("none", None), ("odd", [3] * 5)]
+    want = sorted((q, d, s, n) for q, c in asked if c for d, s, n in sorted((sum(a ^ b for a, b in zip(c, r)), s, n) for s, r, n in rows if r and len(r) == len(c))[:3])
+    for block in (4096, 7, 1):
+        monkeypatch.setattr(S, "QUERY_BLOCK", block)
+        queries = spark.createDataFrame(asked if block > 1 else asked[:4], "qid string, q array<int>")
+        got = sorted(tuple(r) for r in S.per_query(corpus, queries, 3, keep=["name"]).collect())
+        assert got == [w for w in want if block > 1 or w[0] in ("q0", "q1", "q2", "q3")]
+    assert S.per_query(corpus, spark.createDataFrame([], "qid string, q array<int>"), 3).count() == 0
+
+
+def test_packing_without_lambdas_is_the_same(spark):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, [rng.uniform(-1, 1) for _ in range(64)]) for i in range(50)], "seq long, v array<float>")
+    both = df.select(V.pack_bits(df.v).alias("a"), V.pack_bits(df.v, 64).alias("b"))
+    assert both.where("a = b").count() == 50
+    assert both.select(*[(x == y).alias(f"p{i}") for i, (x, y) in enumerate(zip(V.planes(F.col("a")), V.planes(F.col("a"), width=8)))]).where(" and ".join(f"p{i}" for i in range(8))).count() == 50
