@@ -66,7 +66,7 @@ def slot_of(key: Column, size: int = SIZE) -> Column:
 
 def with_shard(df: DataFrame, key: Column, column: str, shards: Sequence[str] = SHARDS, size: int = SIZE) -> DataFrame:
     """df with the number of the shard that the key belongs to."""
-    literal = F.lit([int(x) for x in fill(shards, size)])
+    literal = F.expr(f"array({', '.join(map(str, fill(shards, size)))})")  # one text: a literal for each number takes seconds
     return df.withColumn(column, F.get(literal, slot_of(key, size)).cast("int"))
 
 
