@@ -204,11 +204,18 @@ def test_generations_change_nothing(monkeypatch):
     assert not wrong and [i.tolist() for i in ids] == [e.library.encode(t) for t in texts]
 
 
+def test_list_and_heap_are_the_same_agenda(spark, sf):
+    v, rng = pieces.encoder(pieces.MODEL).vocabulary, random.Random(5)
+    words = {w for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect() for w in (r.text or "").split()}
+    for w in [*words, *("".join(rng.choice("aaabs\u2581n") for _ in range(rng.randrange(60))) for _ in range(500))]:
+        assert v.merged(w) == v.merged_short(w)
+
+
 def test_every_text_is_checked_by_itself():
     with open(pieces.MODEL, "rb") as f:
         e = pieces.Encoder(f.read())
     assert e.encode(["one two", "two three", ""])[1] == []
-    e.known[pieces.SPACE + "two"] = e.known[pieces.SPACE + "one"]
+    e.known[" two"] = e.known[" one"]
     assert e.encode(["three one", "two", "one two", "one"])[1] == [1, 2]
     whole = e.parts
     e.parts = lambda text: whole(text)[:-1]
