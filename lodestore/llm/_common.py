@@ -10,7 +10,7 @@ import ctypes
 import functools
 import os
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -183,6 +183,18 @@ def slices(batch: pa.RecordBatch, text: int, size: int = 1 << 20) -> Iterator[pa
         at = to
 
 
+_HELD: tuple[str, Callable[[], None]] | None = None
+
+
+def hold(owner: str, drop: Callable[[], None] = lambda: None) -> None:
+    """Called where a task begins: what another operator's tasks keep in this worker goes first."""
+    global _HELD
+    if _HELD and _HELD[0] != owner:
+        _HELD[1]()
+        trim()
+    _HELD = (owner, drop)
+
+
 def trim() -> None:
     """Give freed memory back to the system: a worker that waits for its next task holds little."""
     pa.default_memory_pool().release_unused()

@@ -34,7 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Tokens, chunks, spare, tokenize
+from ._common import Tokens, chunks, hold, spare, tokenize
 
 LENGTH, COVERAGE, LEAST, DOCUMENT = 13, 0.8, 5, 0.5
 #: Tokens of an automaton: some 60 bytes each. Tokens of a part of an item.
@@ -204,6 +204,11 @@ def _load(name: str, sent: Broadcast) -> Matcher:
     return _loaded[1]
 
 
+def _forget() -> None:
+    global _loaded
+    _loaded = None
+
+
 def _clean(t: Tokens, covered: np.ndarray, limit: float) -> tuple[list[str | None], np.ndarray, np.ndarray, np.ndarray]:
     """Changed texts (None: unchanged), tokens removed, spans removed, whether the document goes."""
     removed = np.bincount(t.doc, covered, t.n_docs).astype(np.int64)
@@ -235,6 +240,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, column: str, length: int
 
     @F.pandas_udf(_RESULT)
     def match(text: pd.Series) -> pd.DataFrame:
+        hold("decontaminate", _forget)
         texts, out = text.tolist(), []
         ranges = list(chunks(texts))
         before: dict[int, np.ndarray] = {}

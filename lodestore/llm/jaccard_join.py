@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import buckets_for, cut, mix, slices, spare, tokenize, trim
+from ._common import buckets_for, cut, hold, mix, slices, spare, tokenize, trim
 
 N, THRESHOLD = 3, 0.5
 #: Sets in a sub-block; two meet in a block, so memory is bounded by twice as many sets.
@@ -86,6 +86,7 @@ def _mapper(n: int, reducers: int):
     """Arrow batches of (doc_id, text) to (bucket, keys, sizes, counts, grams, member_key, member_id); key 0: no n-gram."""
 
     def run(batches):
+        hold("jaccard_join")
         sent: set[int] = set()
         for batch in batches:
             for part in slices(batch, 1):

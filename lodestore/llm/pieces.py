@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices, trim
+from ._common import hold, slices, trim
 
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁"
@@ -299,6 +299,7 @@ _OUT = ["ids", "n_pieces", "checked", "round_trip"]
 
 def _encoded(path: str):
     def run(batches):
+        hold("pieces", _ENCODERS.clear)
         e = encoder(path)
         table = e.vocabulary
         for part in (p for b in batches for p in slices(b, 1)):

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import chunks, spare, tokenize, trim, unique_sorted
+from ._common import chunks, hold, spare, tokenize, trim, unique_sorted
 
 BITS = 20
 MAX_ROWS, MAX_BYTES = 8000, 256 << 20
@@ -114,6 +114,7 @@ def scores(texts: list[str | None], heads: list[Head]) -> np.ndarray:
 
 
 def _to_features(batches):
+    hold("quality")
     for pdf in batches:
         texts, out = pdf["text"].tolist(), []
         for a, b in chunks(texts):
@@ -153,6 +154,7 @@ def with_scores(docs: DataFrame, labels: DataFrame, column: str, max_rows: int =
 
     @F.pandas_udf("quality_score double, quality int, toxic_score double, toxic int, keep boolean")
     def score(text: pd.Series) -> pd.DataFrame:
+        hold("quality")
         good, bad = scores(text.tolist(), model.value)
         trim()
         quality, toxic = (good >= 0).astype(np.int32), (bad > 0).astype(np.int32)
