@@ -30,6 +30,8 @@ from ._common import chunks, hold, spare, tokenize, trim, unique_sorted
 
 BITS = 20
 MAX_ROWS, MAX_BYTES = 8000, 256 << 20
+#: Parts in which the fit's features come to the driver, one after the other.
+PARTS = 16
 _MASK = np.uint64((1 << BITS) - 1)
 
 
@@ -94,6 +96,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, smoothing: float = 1.0, cost
                 n[r] += 1
         share.append(n / n.sum())
     ratio = np.log(share[0] / share[1])
+    del share, n
     per_class = np.where(y == 1, len(y) / (2 * (y == 1).sum()), len(y) / (2 * (y == -1).sum()))
     w, bias = dual_coordinate_descent(rows, y, ratio, cost * per_class)
     used = np.zeros(size, bool)
@@ -135,14 +138,15 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_byte
     rows = texts.where("text is not null").join(F.broadcast(some), "id").groupBy("id", "order", "quality", "toxic").agg(F.min("text").alias("text"))
     sized = rows.mapInPandas(_to_features, "order long, quality int, toxic int, slots binary")
     so_far = Window.orderBy("order", "slots", "quality", "toxic").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = sized.withColumn("so_far", F.sum(F.length("slots")).over(so_far)).where(F.col("so_far") <= max_bytes).drop("so_far").toPandas()
-    found = found.sort_values(["order", "slots"], kind="stable")
-    slots = [np.frombuffer(x, np.int32) for x in found["slots"]]
+    found = sized.withColumn("so_far", F.sum(F.length("slots")).over(so_far)).where(F.col("so_far") <= max_bytes).select("order", "slots", "quality", "toxic")
+    found = [(o, bytes(s), q, t) for o, s, q, t in found.repartition(PARTS, "order").toLocalIterator()]
+    found.sort(key=lambda r: (r[0], r[1], *((x is not None, x or 0) for x in r[2:])))
     heads = {}
-    for name in ("quality", "toxic"):
-        has = np.flatnonzero(found[name].notna().to_numpy())
-        heads[name] = fit([slots[i] for i in has], found[name].to_numpy()[has])
-    del found, slots
+    for k, name in ((2, "quality"), (3, "toxic")):
+        has = [r for r in found if r[k] is not None]
+        heads[name] = fit([np.frombuffer(r[1], np.int32) for r in has], np.array([r[k] for r in has]))
+        trim()
+    del found, has
     trim()
     return heads
 

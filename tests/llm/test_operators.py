@@ -366,6 +366,12 @@ def brute_decontaminate(text, items, length=13, coverage=0.8, least=5):
     return len(w), len(hit)
 
 
+def test_each_text_is_matched_once(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 11)], "doc_id long, text string, n_chars long")
+    plan = decontaminate.decontaminate(docs, spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [match") == 1
+
+
 @pytest.mark.parametrize("tokens,part", [(500_000, 4096), (60, 30), (7, 13), (1, 20)])
 def test_matchers_of_any_size_find_the_same(spark, monkeypatch, tokens, part):
     monkeypatch.setattr(decontaminate, "MATCHER_TOKENS", tokens)
