@@ -258,13 +258,21 @@ class Encoder:
         plain = text.replace(SPACE, " ")
         if self.vocabulary.dummy_prefix:
             plain = " " + plain
-        return self.cut.findall(plain) if self.cut else [plain]
+        if not self.cut:
+            return [plain]
+        if not self.by_newline or "  " in plain or "\0" in plain:
+            return self.cut.findall(plain)
+        # a cut at each space and newline, several times as fast; new ones among these parts are cut further
+        found = plain.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+        return found if found[0] else found[1:]
 
     def _encode_new(self, part: str) -> bytes:
         """Encode a part by the agenda."""
         got = self.old.get(part)
         if got is not None:
             return got
+        if self.cut and len(finer := self.cut.findall(part)) > 1:
+            return b"".join(map(self.known.__getitem__, finer))
         symbols = part.replace(" ", SPACE)
         if len(part) <= SHORT or len(atoms := self.vocabulary.atoms(symbols)) == 1:
             return array("I", self.vocabulary.agenda(symbols)).tobytes()

@@ -211,6 +211,30 @@ def test_list_and_heap_are_the_same_agenda(spark, sf):
         assert v.merged(w) == v.merged_short(w)
 
 
+def test_texts_are_cut_by_pattern_only_where_spaces_repeat_or_a_part_is_new():
+    class Counted:
+        def __init__(self, cut):
+            self.cut, self.n = cut, 0
+
+        def findall(self, text):
+            self.n += 1
+            return self.cut.findall(text)
+
+    with open(pieces.MODEL, "rb") as f:
+        e = pieces.Encoder(f.read())
+    plain, e.cut = e.cut, Counted(e.cut)
+    rng = random.Random(8)
+    texts = ["one, two\nthree (four) five", *("".join(rng.choice("ab1 \n\r\t\0\u2581\u2028,.é漢") for _ in range(rng.randrange(25))) for _ in range(3000))]
+    ids, wrong = e.encode(texts)
+    assert not wrong and [i.tolist() for i in ids] == [e.library.encode(t) for t in texts]
+    for t in texts[1:]:  # the parts cut further are the pattern's
+        if t:
+            assert [p for x in e.parts(t) for p in plain.findall(x)] == plain.findall(" " + t.replace(pieces.SPACE, " "))
+    e.cut.n = 0
+    e.encode(texts[:1] * 10)
+    assert e.cut.n == 0
+
+
 def test_every_text_is_checked_by_itself():
     with open(pieces.MODEL, "rb") as f:
         e = pieces.Encoder(f.read())
