@@ -7,7 +7,7 @@ or the unknown piece where there are none.
 
 A merge can only join two characters that stand side by side in some piece, so a text falls
 apart, exactly, at every other pair of neighbours; equal parts are encoded once per worker and
-kept. The sentencepiece library also encodes each whole text, and `checked` says for each row
+kept, and the agendas of all new short parts of some texts run side by side in numpy. The sentencepiece library also encodes each whole text, and `checked` says for each row
 whether its ids are the library's. The vocabulary file's path is a parameter; it is read
 where the worker runs.
 
@@ -39,6 +39,8 @@ SPACE = "▁"
 KEEP = 350_000
 #: Characters of a part up to which a list is a faster agenda than a heap.
 SHORT = 32
+#: Agendas that run side by side; it bounds memory and changes no result.
+BATCH = 1 << 14
 
 
 def _fields(data: bytes):
@@ -143,6 +145,62 @@ class Vocabulary:
                 ids += [i] if i is not None else [self.bytes[b] for b in s.encode("utf-8", "replace")] if self.bytes else [self.unknown]
             return ids
 
+    def _tables(self) -> None:
+        """For agendas in numpy: each character's piece, the piece that two pieces make, and each piece's place by score."""
+        ids, n = self.ids, len(self.pieces)
+        self.of_char = np.full(0x110001, -1, np.int32)
+        for p, i in ids.items():
+            if len(p) == 1:
+                self.of_char[ord(p)] = i
+        made = [(left * n + right, i) for p, i in ids.items() for k in range(1, len(p)) if (left := ids.get(p[:k])) is not None and (right := ids.get(p[k:])) is not None]
+        self.pairs = pd.Index(np.array([x for x, _ in made], np.int64))
+        self.made = np.array([*(i for _, i in made), -1], np.int32)
+        self.place = np.unique([*(-x for x in self.scores), _NONE], return_inverse=True)[1].astype(np.int64) << 32  # equal scores have one place; that of no piece is the last
+
+    def agendas(self, parts: list[str]) -> list[bytes | None]:
+        """Ids of each part's pieces, as agenda() has them; none for a part with a character that is no piece. The parts aren't empty."""
+        if not hasattr(self, "pairs"):
+            self._tables()
+        made, place, pairs, width = self.made, self.place, self.pairs, len(self.pieces)
+        size = np.array(list(map(len, parts)), np.int64)
+        symbols = self.of_char[np.frombuffer("".join(parts).replace(" ", SPACE).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        good = np.minimum.reduceat(symbols, np.cumsum(size) - size) >= 0
+        symbols, size, owner = symbols[np.repeat(good, size)].astype(np.int64), size[good], np.flatnonzero(good)
+        out: list[bytes | None] = [None] * len(parts)
+        both = np.full(len(symbols), -1, np.int32)  # the piece that a symbol makes with the next one
+        if len(symbols):
+            both[:-1] = made[pairs.get_indexer(symbols[:-1] * width + symbols[1:])]
+            both[np.cumsum(size) - 1] = -1
+        while len(symbols):
+            # the best pair of each part: the least place by score, then the leftmost
+            start = np.cumsum(size) - size
+            best = np.minimum.reduceat(place[both] | np.arange(len(symbols)), start)
+            more = best < place[-1]
+            if not more.all():
+                stay = np.repeat(more, size)
+                ids, at = symbols[~stay].astype("<u4").tobytes(), 0
+                for k, n in zip(owner[~more].tolist(), size[~more].tolist()):
+                    out[k] = ids[at : (at := at + 4 * n)]
+                best = best[more] - start[more]
+                symbols, both, size, owner = symbols[stay], both[stay], size[more], owner[more]
+                if not len(symbols):
+                    break
+                start = np.cumsum(size) - size
+                best += start
+            at = best & 0xFFFFFFFF
+            symbols[at] = both[at]
+            stay = np.ones(len(symbols), bool)
+            stay[at + 1] = False
+            symbols, both = symbols[stay], both[stay]
+            size -= 1
+            gone = np.arange(len(at))  # one symbol of each part before
+            at, start = at - gone, start - gone
+            both[at] = -1
+            left, right = at[at > start] - 1, at[at < start + size - 1]
+            new = np.concatenate([left, right])
+            both[new] = made[pairs.get_indexer(symbols[new] * width + symbols[new + 1])]
+        return out
+
     def merged_short(self, part: str) -> list[str]:
         """The pieces, with the agenda as a list in the pairs' places: its first least entry is the best."""
         symbols, cost, none = list(part), self.cost.get, _NONE
@@ -278,13 +336,43 @@ class Encoder:
             return array("I", self.vocabulary.agenda(symbols)).tobytes()
         return b"".join(self.known[a.replace(SPACE, " ")] for a in atoms)  # an atom is as often a part itself
 
+    def _turn(self) -> None:
+        self.old, self.known = self.known, _Parts(self._encode_new)
+
+    def _learn(self, parts: set[str]) -> None:
+        """Encode the parts that are new, with their agendas side by side; what has to be encoded otherwise is left."""
+        new = [p for p in parts if p not in self.known]
+        if len(self.known) + len(new) > KEEP:
+            self._turn()
+            new = parts
+        known, old, short, whole = self.known, self.old, set(), []
+        for p, got in zip(new, map(old.get, new)):
+            if got is not None:
+                known[p] = got
+            elif self.cut and not (p[0] == " " and p[1:].isalnum()) and len(finer := self.cut.findall(p)) > 1:  # only a newline or punctuation divides a part
+                whole.append((p, finer))
+                for q in finer:
+                    if len(q) <= SHORT and q not in known and q not in old:
+                        short.add(q)
+            elif len(p) <= SHORT:
+                short.add(p)
+        todo = list(short)
+        for k in range(0, len(todo), BATCH):
+            some = todo[k : k + BATCH]
+            found = self.vocabulary.agendas(some)
+            known.update(zip(some, found) if None not in found else ((p, ids) for p, ids in zip(some, found) if ids is not None))
+        for p, finer in whole:
+            known[p] = b"".join(map(known.__getitem__, finer))
+
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[int]]:
         """Ids of each text; the numbers of texts that the library encodes otherwise."""
         out, wrong = [], []
+        cut = list(map(self.parts, texts))
+        self._learn(set().union(*cut))
         for k, text in enumerate(texts):
             if len(self.known) > KEEP:
-                self.old, self.known = self.known, _Parts(self._encode_new)
-            ids = b"".join(map(self.known.__getitem__, self.parts(text)))
+                self._turn()
+            ids = b"".join(map(self.known.__getitem__, cut[k]))
             if array("I", self.library.encode(text)).tobytes() != ids:
                 wrong.append(k)
             out.append(np.frombuffer(ids, "<u4").astype(np.int32))

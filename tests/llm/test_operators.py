@@ -211,6 +211,32 @@ def test_list_and_heap_are_the_same_agenda(spark, sf):
         assert v.merged(w) == v.merged_short(w)
 
 
+def test_new_short_parts_have_their_agendas_side_by_side(spark, sf, monkeypatch):
+    with open(pieces.MODEL, "rb") as f:
+        data = f.read()
+    texts, rng = [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()], random.Random(6)
+    odd = ["".join(rng.choice("aaabs n1\u2581é漢\0\ud800") for _ in range(rng.randrange(1, 40))) for _ in range(500)]
+    words = sorted({p for t in texts for p in pieces.Encoder(data).parts(t)})
+    for coarse in (1, 2000):  # with equal scores too: the leftmost is first
+        v = pieces.Vocabulary(data)
+        v.scores = [float(s // coarse) for s in v.scores]
+        v.cost = {p: -v.scores[i] for p, i in v.ids.items()}
+        parts = [*words, *odd, "漢\ud800"]
+        for p, ids in zip(parts, v.agendas(parts)):
+            assert (ids is None) == any(c not in v.ids for c in p.replace(" ", pieces.SPACE))
+            assert ids is None or np.frombuffer(ids, "<u4").tolist() == v.agenda(p.replace(" ", pieces.SPACE))
+        assert v.agendas(["\ud800", "\ud800a"]) == [None, None]
+    monkeypatch.setattr(pieces, "BATCH", 7)
+    e, alone = pieces.Encoder(data), []
+    one = e.vocabulary.agenda
+    e.vocabulary.agenda = lambda part: alone.append(part) or one(part)
+    short = [w for t in texts for w in t.split() if len(w) < pieces.SHORT and all(c in e.vocabulary.ids for c in w)]
+    for some in (short[:999], [" ".join(short), "\n".join(short)]):
+        ids, wrong = e.encode(some)
+        assert not wrong and [i.tolist() for i in ids] == [e.library.encode(t) for t in some]
+    assert len(short) > 2000 and set(alone) <= {"\n"}  # which is no piece
+
+
 def test_texts_are_cut_by_pattern_only_where_spaces_repeat_or_a_part_is_new():
     class Counted:
         def __init__(self, cut):
