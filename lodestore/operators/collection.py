@@ -146,7 +146,7 @@ class Collection:
     def export_ctx(self, folder: str) -> str:
         """Write the state as a CTX file."""
         disk = F.transform("code", lambda b: F.when(b < 128, b - 128).otherwise(b - 384).cast("float"))
-        out = self.df.repartition(1).sortWithinPartitions("seq").select("chunk_id", "text", disk.alias("embedding"), "metadata")
+        out = self.df.orderBy("seq").select("chunk_id", "text", disk.alias("embedding"), "metadata")
         return ctx.Catalog(folder).create(out, self.name, embedding_model=self.embedder.name, embedding_dtype=self.embedder.dtype, context_length=self.embedder.context_length)
 
     def import_ctx(self, folder: str) -> None:

@@ -561,11 +561,11 @@ def docx_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ctx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the test embedder's codes to a CTX file and back."""
     at = _fresh(spark, "ctx").removeprefix("file://")
-    rows = _table(spark, sf_dir, "documents").withColumn("code", MD5.column(F.col("text")))
+    rows = _table(spark, sf_dir, "documents").orderBy("doc_id").withColumn("code", MD5.column(F.col("text")))
     disk = F.transform("code", lambda b: F.when(b < 128, b - 128).otherwise(b - 384).cast("float"))
-    out = rows.select("doc_id", F.concat("doc_id", F.lit("_0")).alias("chunk_id"), "text", disk.alias("embedding"), F.to_json(F.struct("lang")).alias("metadata"))
+    out = rows.select(F.concat("doc_id", F.lit("_0")).alias("chunk_id"), "text", disk.alias("embedding"), F.to_json(F.struct("lang")).alias("metadata"))
     catalog = ctx.Catalog(at)
-    catalog.create(out.repartition(1).sortWithinPartitions("doc_id").drop("doc_id"), "documents")
+    catalog.create(out, "documents")
     code = F.transform("embedding", lambda v: F.pmod(v.cast("int"), F.lit(256)).bitwiseXOR(F.lit(128)))
     back = catalog.read(spark, "documents").withColumn("code", code)
     return back.select("pos", "chunk_id", "text", F.get_json_object("metadata", "$.lang").alias("lang"), F.aggregate("code", F.lit(0).cast("long"), lambda a, b: a + b).alias("total"))

@@ -191,6 +191,46 @@ def test_ctx_damage():
         ctx.dumps(ctx.Contents({}, [(1.0,)], ["x"], {"a": {}}))
 
 
+@pytest.mark.parametrize("section_bytes", [ctx.SECTION_BYTES, 1 << 20])
+def test_ctx_in_several_tasks(spark, tmp_path, section_bytes):
+    df = spark.range(20000, numPartitions=5).selectExpr("concat('é', id) chunk_id", "repeat(cast(id as string), cast(id % 7 as int)) text", "transform(sequence(0, 63), i -> cast(id + i as float)) embedding", """concat('{"n": ', id, '}') metadata""")
+    catalog = ctx.Catalog(str(tmp_path))
+    for _ in range(2):
+        catalog.create(df, "x", section_bytes=section_bytes)
+    files = sorted(p.name for p in tmp_path.iterdir())
+    assert len(files) == (1 if section_bytes > 1 << 20 else 5) and files[0] == "x.ctx"
+    back = catalog.read(spark, "x")
+    assert back.rdd.getNumPartitions() > 2
+    want = [(i, f"é{i}", str(i) * (i % 7), [float(i + k) for k in range(64)], json.dumps({"n": i})) for i in range(20000)]
+    assert [(r.pos, r.chunk_id, r.text, r.embedding, r.metadata) for r in back.orderBy("pos").collect()] == want
+    catalog.delete("x")
+    assert not list(tmp_path.iterdir())
+
+
+def test_ctx_ranges_are_the_whole_file(tmp_path):
+    vector = (1.5,) * 64
+    cases = [
+        ctx.Contents({"a": 1}, [vector] * 3, ["a", "ß" * 9, ""], {"k,": {"x": [1, "}"]}, "é": 3, '"': "long " * 99}),
+        ctx.Contents({}, [vector], ["a"] * 20000, {"k": {}}),
+        ctx.Contents({}, [], [], {str(i): i for i in range(20000)}),
+        ctx.Contents({}, [vector] * 9000, [], {}),
+        ctx.Contents(),
+    ]
+    whole = [ctx.dumps(c) for c in cases]
+    whole.append(whole[0].replace(b"\\u00e9", "éé__".encode()))  # not escaped
+    twice = b'{"a": 1, "b": 2, "\\u0061": 3}'
+    whole.append(whole[4][: whole[4].rindex(b"{}") - 4] + len(twice).to_bytes(4, "little") + twice)
+    whole.append(whole[0].replace("ß".encode(), b"\xff\xfe"))
+    for i, data in enumerate(whole):
+        at = str(tmp_path / f"{i}.ctx")
+        with open(at, "wb") as f:
+            f.write(data)
+        parts, rows, _ = ctx._ranges(at, 0)
+        want = list(ctx.rows_of(ctx.loads(data), at))
+        got = [tuple(r.values()) for p in parts for b in [ctx._batch(*p)] for r in b.to_pylist()] if parts and len(parts[0]) > 2 else [tuple(r) for p in parts for r in ctx._Reader("").read(ctx.InputPartition(p))]
+        assert rows == len(want) and got == want
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "t.txt").write_text("one two three")
     assert files.process_file(spark, str(tmp_path / "t.txt"), chunk_size=3) == ["one two", " three"]
