@@ -2,9 +2,15 @@
 
 A corpus has `seq` and `code` (array<int> of bytes), and `width` and planes p0..p7 where it has
 been through with_planes(). One query's code becomes literals, so the scan is a projection with a
-heap in each partition (TakeOrderedAndProject) and no shuffle. Many queries go through the corpus
-in blocks of QUERY_BLOCK: a block is broadcast, each Arrow batch of the corpus gives its k best
-rows for each query, and only these are shuffled.
+heap in each partition (TakeOrderedAndProject) and no shuffle. Up to QUERY_BLOCK queries are
+broadcast: each Arrow batch of the corpus gives its k best rows for each query, and only these are
+shuffled.
+
+More queries than that are joined in cells, a block of different queries against a chunk of
+different codes: at most k rows of a code can count, so each code is looked at once, by its least
+`seq`. Within a cell codes are grouped by the highest bits of their first 8 bytes. Groups that
+differ from a query's in p bits are p * 128 away at least, so a query that has k codes nearer than
+that is done. The distances of a group are one matrix product, exact in float32.
 """
 
 from __future__ import annotations
@@ -25,6 +31,8 @@ from . import rows as R
 
 #: Queries of a pass; of 64 bytes each, 256 KB.
 QUERY_BLOCK = 4096
+#: Different queries and codes of a cell at most; distances that are held at once.
+CELL_QUERIES, CELL_CODES, CELL_PAIRS = 1 << 16, 1 << 20, 1 << 22
 PLANES = R.PLANES
 
 
@@ -153,26 +161,133 @@ def nearest_of(corpus: DataFrame, codes: Sequence[Sequence[int]], k: int, keep:
 
 
 def per_query(corpus: DataFrame, queries: DataFrame, k: int, qid: str = "qid", keep: Sequence[str] = ()) -> DataFrame:
-    """The k nearest rows of each query (qid, q: array<int>): qid, dist, seq and the kept columns.
+    """The k nearest rows of each query (qid, q: array<int>): qid, dist, seq and the kept columns."""
+    asked = queries.where("q is not null").select(qid, "q")
+    part = asked.limit(QUERY_BLOCK + 1).collect()
+    if len(part) > QUERY_BLOCK:
+        return _join(corpus, asked, k, qid, keep)
+    names = corpus.sparkSession.createDataFrame([(i, r[qid]) for i, r in enumerate(part)], f"__q int, `{qid}` {queries.schema[qid].dataType.simpleString()}")
+    return _block(corpus, [list(r["q"]) for r in part], k, keep).join(F.broadcast(names), "__q").select(qid, "dist", "seq", *keep)
+
+
+def _bits(codes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(codes, axis=1).astype(np.float32)
+
+
+def nearest_codes(queries: np.ndarray, codes: np.ndarray, seq: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k codes of least (distance, seq) of each query, bytes in rows of one width: places of query and code, distance."""
+    weight = np.tile(2.0 ** np.arange(7, -1, -1), queries.shape[1]).astype(np.float32)
+    high = lambda x: np.packbits(x[:, :8] >> 7, axis=1)[:, 0].astype(np.int64) if x.shape[1] else np.zeros(len(x), np.int64)
+    group = high(codes)
+    order = np.argsort(group, kind="stable")
+    edge = np.searchsorted(group[order], np.arange(257))
+    there, asked = np.flatnonzero(np.diff(edge)), high(queries)
+    best = np.full((len(queries), k), -1, np.int64)
+    dist = np.full((len(queries), k), np.inf, np.float32)
+    by = np.argsort(asked, kind="stable")
+    for rows in (r[a : a + 8192] for r in np.split(by, np.flatnonzero(np.diff(asked[by])) + 1) for a in range(0, len(r), 8192)):
+        g = asked[rows[0]]
+        bits = _bits(queries[rows]) * weight
+        apart = np.bitwise_count(there ^ g)
+        for p in np.unique(apart):
+            live = np.flatnonzero(dist[rows, -1] >= p * 128.0)
+            if not len(live):
+                break
+            near = np.concatenate([order[edge[h] : edge[h + 1]] for h in there[apart == p]])
+            step = max(1, CELL_PAIRS // max(len(live), bits.shape[1]))
+            for a in range(0, len(near), step):
+                at = near[a : a + step]
+                own = _bits(codes[at])
+                d = bits[live].sum(1)[:, None] + (own @ weight)[None, :] - 2 * (bits[live] @ own.T)
+                most = dist[rows[live], -1]
+                if len(at) > k and np.isinf(most).any():
+                    most = np.minimum(most, np.partition(d, k - 1, axis=1)[:, k - 1])
+                x, y = np.nonzero(d <= most[:, None])
+                if not len(x):
+                    continue
+                # the best so far and the new ones, sorted for each query
+                hit = np.unique(x)
+                old = best[rows[live[hit]]]
+                who = np.concatenate([np.repeat(hit, k)[old.ravel() >= 0], x])
+                what = np.concatenate([old[old >= 0], at[y]])
+                far = np.concatenate([dist[rows[live[hit]]][old >= 0], d[x, y]])
+                o = np.lexsort((seq[what], far, who))
+                who, what, far = who[o], what[o], far[o]
+                rank = np.arange(len(who)) - np.searchsorted(who, who)
+                first = rank < k
+                target = rows[live[who[first]]], rank[first]
+                best[target], dist[target] = what[first], far[first]
+    q, n = np.nonzero(best >= 0)
+    return q, best[q, n], dist[q, n].astype(np.int64)
+
+
+def _packed():
+    """Arrow batches of (code, seq) and part to (part, width, codes, seqs)."""
 
-    The queries come to the driver a block at a time.
-    """
-    found, part = None, []
-
-    def go() -> None:
-        nonlocal found, part
-        names = corpus.sparkSession.createDataFrame([(i, r[qid]) for i, r in enumerate(part)], f"__q int, `{qid}` {queries.schema[qid].dataType.simpleString()}")
-        one = _block(corpus, [list(r["q"]) for r in part], k, keep).join(F.broadcast(names), "__q").drop("__q")
-        one = cut(one) if found is not None or len(part) == QUERY_BLOCK else one
-        found, part = one if found is None else found.unionByName(one), []
-
-    for row in queries.where("q is not null").select(qid, "q").toLocalIterator():
-        part.append(row)
-        if len(part) == QUERY_BLOCK:
-            go()
-    if part or found is None:
-        go()
-    return found.select(qid, "dist", "seq", *keep)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code, seq = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            width = code.value_lengths().to_numpy(zero_copy_only=False)
+            part = batch.column(2).to_numpy(zero_copy_only=False)
+            out = []
+            for w, c in np.unique(np.stack([width, part]), axis=1).T:
+                at = np.flatnonzero((width == w) & (part == c))
+                own = code.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.uint8)
+                out.append((c, w, own.tobytes(), seq[at].tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["part", "width", "codes", "seqs"])
+
+    return run
+
+
+def _cell(k: int):
+    """A cell's packed queries (side 0) and codes (side 1) to (q, code, dist, low)."""
+
+    def listed(codes: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(codes) + 1) * codes.shape[1], pa.int32()), pa.array(codes.ravel(), pa.int32()))
+
+    def run(table: pa.Table) -> pa.Table:
+        out = []
+        side, width = table["side"].to_numpy(), table["width"].to_numpy()
+        for w in np.unique(width):
+            own = []
+            for s in (0, 1):
+                at = pa.array(np.flatnonzero((side == s) & (width == w)))
+                own += [b"".join(table[c].take(at).to_pylist()) for c in ("codes", "seqs")]
+            q, codes = (np.frombuffer(own[i], np.uint8).reshape(len(own[i + 1]) // 8, w) for i in (0, 2))
+            seq = np.frombuffer(own[3], np.int64)
+            if len(q) and len(codes):
+                a, b, d = nearest_codes(q, codes, seq, k)
+                out.append(pa.table({"q": listed(q[a]), "code": listed(codes[b]), "dist": d, "low": seq[b]}))
+        return pa.concat_tables(out) if out else pa.table({"q": listed(np.zeros((0, 1), np.uint8)), "code": listed(np.zeros((0, 1), np.uint8)), "dist": np.zeros(0, np.int64), "low": np.zeros(0, np.int64)})
+
+    return run
+
+
+def _first(df: DataFrame, by: str, k: int, *order: str) -> DataFrame:
+    return df.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("__r") <= k)
+
+
+def _join(corpus: DataFrame, asked: DataFrame, k: int, qid: str, keep: Sequence[str]) -> DataFrame:
+    """per_query() for any number of queries, in cells."""
+    kept = [F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)]
+    few = _first(corpus.where("code is not null").select("code", F.col("seq").cast("long").alias("seq"), *kept), "code", k, "seq")
+    n = asked.sparkSession.sparkContext.defaultParallelism
+    total = asked.count()
+    blocks = max(-(-total // CELL_QUERIES), min(3 * n, -(-total // 2048)))
+    chunks = -(-corpus.count() // CELL_CODES) or 1
+    part = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int").alias("part")
+    kinds = "part int, width int, codes binary, seqs binary"
+    left = asked.select("q").distinct().select("q", F.lit(0).cast("long").alias("seq"), part("q", blocks)).mapInArrow(_packed(), kinds)
+    right = few.where("__r = 1").select("code", "seq", part("code", chunks)).mapInArrow(_packed(), kinds)
+    left = left.withColumns({"side": F.lit(0), "other": F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))}).withColumn("cell", F.col("part") * chunks + F.col("other"))
+    right = right.withColumns({"side": F.lit(1), "other": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))}).withColumn("cell", F.col("other") * chunks + F.col("part"))
+    cells = left.unionByName(right).repartition(blocks * chunks, "cell")
+    found = cells.groupBy("cell").applyInArrow(_cell(k), "q array<int>, code array<int>, dist long, low long")
+    if chunks > 1:
+        found = _first(found, "q", k, "dist", "low")
+    near = _first(found.select("q", "code", "dist").join(few.drop("__r"), "code"), "q", k, "dist", "seq")
+    return asked.join(near, "q").select(qid, "dist", "seq", *[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)])
 
 
 def merged(corpus: DataFrame, queries: DataFrame, k: int, qid: str = "qid", keep: Sequence[str] = ()) -> DataFrame:

@@ -95,6 +95,33 @@ def test_many_queries_in_blocks_of_any_size(spark, monkeypatch, width, planes):
     assert S.per_query(corpus, spark.createDataFrame([], "qid string, q array<int>"), 3).count() == 0
 
 
+@pytest.mark.parametrize("width,values", [(8, 256), (8, 3), (3, 256), (64, 256)])
+def test_nearest_codes_are_those_of_all_pairs(width, values, monkeypatch):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(S, "CELL_PAIRS", 3000)
+    codes, queries = (rng.integers(0, values, (n, width)).astype(np.uint8) for n in (900, 200))
+    seq = rng.permutation(900)
+    got = {}
+    for q, c, d in zip(*S.nearest_codes(queries, codes, seq, 5)):
+        got.setdefault(int(q), []).append((int(d), int(seq[c])))
+    for i, q in enumerate(queries):
+        assert got[i] == sorted(zip((codes ^ q).astype(int).sum(1).tolist(), seq.tolist()))[:5]
+    assert len(S.nearest_codes(queries, codes[:2], seq[:2], 5)[0]) == 400
+
+
+def test_many_queries_take_no_pass_for_each_block(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, [rng.randrange(256) for _ in range(8)]) for i in range(400)]
+    rows += [(1000 + i, rows[i % 9][1]) for i in range(100)]
+    corpus = spark.createDataFrame(rows, "seq long, code array<int>")
+    monkeypatch.setattr(S, "QUERY_BLOCK", 50)
+    monkeypatch.setattr(S, "CELL_QUERIES", 90)
+    monkeypatch.setattr(S, "CELL_CODES", 170)
+    monkeypatch.setattr(S, "_block", None)
+    got = sorted(tuple(r) for r in S.per_query(corpus, corpus.select(F.col("seq").alias("qid"), F.col("code").alias("q")), 5).collect())
+    assert got == sorted((i, d, s) for i, c in rows for d, s in sorted((sum(a ^ b for a, b in zip(c, r)), s) for s, r in rows)[:5])
+
+
 def test_packing_without_lambdas_is_the_same(spark):
     rng = random.Random(4)
     df = spark.createDataFrame([(i, [rng.uniform(-1, 1) for _ in range(64)]) for i in range(50)], "seq long, v array<float>")
