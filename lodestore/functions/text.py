@@ -6,16 +6,21 @@ import base64
 import hashlib
 import html
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_TOKENS = 512
 CHARS_A_TOKEN = 4
+#: Bytes of texts that are chunked at once.
+SLICE_BYTES = 1 << 20
 
 
 def fast_chunks(text: Column, tokens: int = CHUNK_TOKENS) -> Column:
@@ -41,6 +46,10 @@ class WordTokenizer:
     def pieces(self, text: str) -> list[str]:
         return self._RUN.findall(text)
 
+    def windows(self, text: str, tokens: int) -> list[str]:
+        """The text of so many pieces in a row at a time, without a list of the pieces."""
+        return re.findall(rf"(?:\w++|\s++|[^\w\s]){{1,{tokens}}}+", text)
+
     def encode(self, text: str) -> list[int]:
         """Ids by a hash that is the same in every process."""
         return [int.from_bytes(hashlib.blake2b(p.encode(), digest_size=8).digest(), "big") >> 1 for p in self.pieces(text)]
@@ -79,8 +88,7 @@ class RankTokenizer:
 def token_windows(tokenizer: Tokenizer, text: str, tokens: int = CHUNK_TOKENS) -> list[str]:
     """Texts of consecutive groups of tokens; a text of no more than that many tokens stays as it is."""
     if isinstance(tokenizer, WordTokenizer):
-        parts = tokenizer.pieces(text)
-        return [text] if len(parts) <= tokens else ["".join(parts[i : i + tokens]) for i in range(0, len(parts), tokens)]
+        return tokenizer.windows(text, tokens) or [text]
     ids = tokenizer.encode(text)
     return [text] if len(ids) <= tokens else [tokenizer.decode(ids[i : i + tokens]) for i in range(0, len(ids), tokens)]
 
@@ -88,13 +96,25 @@ def token_windows(tokenizer: Tokenizer, text: str, tokens: int = CHUNK_TOKENS) -
 def token_chunks(tokenizer: Tokenizer, tokens: int = CHUNK_TOKENS) -> Callable[[Column], Column]:
     """Arrow-batched chunker: array<string>; one empty chunk for an empty text, null for null."""
 
-    @F.pandas_udf("array<string>")
-    def chunk(text: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else token_windows(tokenizer, t, tokens) for t in text], dtype=object)
+    @F.arrow_udf("array<string>")
+    def chunk(text: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in text:
+            for part in _slices(batch):
+                yield pa.array([None if t is None else token_windows(tokenizer, t, tokens) for t in part.to_pylist()], pa.list_(pa.string()))
 
     return chunk
 
 
+def _slices(batch: pa.Array) -> Iterator[pa.Array]:
+    """Parts of SLICE_BYTES or one text, so what a worker holds beside the batch follows a part."""
+    end = np.cumsum(pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(batch):
+        to = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def token_count(tokenizer: Tokenizer, special: int = 0) -> Callable[[Column], Column]:
     """Tokens of a text, with so many special ones added."""
     count = (lambda t: len(tokenizer.pieces(t))) if isinstance(tokenizer, WordTokenizer) else (lambda t: len(tokenizer.encode(t)))

@@ -1,7 +1,9 @@
 import json
 import math
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from lodestore.functions import metadata as M
@@ -267,6 +269,23 @@ def test_token_windows():
     assert "48;5" in T.show_tokens(["a", "b"])
 
 
+def test_token_windows_hold_no_list_of_tokens():
+    text = "ab é_9, " * 200_000
+    tracemalloc.start()
+    parts = T.token_windows(T.WordTokenizer(), text, 512)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    pieces = T.WordTokenizer().pieces(text)
+    assert parts == ["".join(pieces[i : i + 512]) for i in range(0, len(pieces), 512)] and peak < 6 * len(text)
+    assert T.token_windows(T.WordTokenizer(), "", 512) == [""] and T.token_windows(T.WordTokenizer(), "a b", 2) == ["a ", "b"]
+
+
+def test_token_chunks_come_in_slices():
+    texts = ["word " * 30_000, None, "", *["x"] * 5] * 20
+    out = list(T.token_chunks(T.WordTokenizer()).func(iter([pa.array(texts)])))
+    assert len(out) > 2 and [t for o in out for t in o.to_pylist()] == [None if t is None else T.token_windows(T.WordTokenizer(), t) for t in texts]
+
+
 def test_duplicate_rows_of_an_item(spark, make):
     c = make("dup")
     rows = [(1, "k", "old " * 600), (2, "k", "new"), (3, "z", "z"), (4, "k", "newest")]
