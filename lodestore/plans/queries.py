@@ -495,12 +495,16 @@ def _fresh(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+#: Rows of a CSV file: with line breaks in cells, a file is read by one task.
+CSV_ROWS = 5000
+
+
 @query("SELECT doc_id::VARCHAR AS a, lang AS b, source AS c, n_chars::VARCHAR AS d, coalesce(nullif(replace(text, chr(13), ' '), ''), 'nan') AS e FROM documents")
 def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with quotes, commas and line breaks too; carriage returns, which readers take for line ends, are spaces."""
     at = _fresh(spark, "csv")
     rows = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", F.replace("text", F.lit("\r"), F.lit(" ")).alias("text"))
-    rows.write.csv(at, header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="")
+    rows.write.option("maxRecordsPerFile", CSV_ROWS).csv(at, header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="")
     cells = files.csv_rows(spark, at)
     return cells.select(*[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate("abcde")])
 

@@ -1,5 +1,6 @@
 import pytest
 
+from lodestore.plans import queries
 from lodestore.plans.queries import ORACLE, QUERIES
 
 from .oracle import compare, connect
@@ -30,3 +31,9 @@ def test_plan_of_a_search_has_no_shuffle(spark, sf):
 def test_postfilter_stays_above_the_limit(spark, sf):
     text = QUERIES["knn_postfilter"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert text.index("try_variant_get") < text.rindex("GlobalLimit")
+
+
+def test_csv_files_have_a_bound(spark, sf, monkeypatch):
+    monkeypatch.setattr(queries, "CSV_ROWS", 20)
+    df = QUERIES["csv_rows"](spark, sf)
+    assert len(df.inputFiles()) >= df.count() / 20 > 5
