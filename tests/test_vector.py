@@ -119,7 +119,10 @@ def test_many_queries_take_no_pass_for_each_block(spark, monkeypatch):
     monkeypatch.setattr(S, "CELL_CODES", 170)
     monkeypatch.setattr(S, "_block", None)
     got = sorted(tuple(r) for r in S.per_query(corpus, corpus.select(F.col("seq").alias("qid"), F.col("code").alias("q")), 5).collect())
-    assert got == sorted((i, d, s) for i, c in rows for d, s in sorted((sum(a ^ b for a, b in zip(c, r)), s) for s, r in rows)[:5])
+    want = [(i, d, s) for i, c in rows for d, s in sorted((sum(a ^ b for a, b in zip(c, r)), s) for s, r in rows)[:5]]
+    assert got == sorted(want)
+    best = S.merged(corpus, corpus.select(F.col("seq").alias("qid"), F.col("code").alias("q")), 5)
+    assert [(r.qid, r.dist, r.seq) for r in best.collect()] == sorted(want, key=lambda x: (x[1], x[0], x[2]))[:5]
 
 
 def test_packing_without_lambdas_is_the_same(spark):
